@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from imagora.plans import vector_plans
+from imagora.plans import text_plans, vector_plans
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (vector_plans,):
+for _module in (text_plans, vector_plans):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
+
+flagship = text_plans.bm25_quality
