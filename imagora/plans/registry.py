@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from imagora.plans import eval_plans, text_plans, vector_plans
+from imagora.plans import ablation_plans, eval_plans, ledger_plans, text_plans, vector_plans
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (text_plans, vector_plans, eval_plans):
+for _module in (text_plans, vector_plans, eval_plans, ablation_plans, ledger_plans):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
 

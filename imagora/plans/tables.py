@@ -39,3 +39,10 @@ def staged(spark: SparkSession, sf_dir: str, name: str,
     except AnalysisException:
         build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
+
+
+def once(path: str, write: Callable[[], object]) -> None:
+    """Run a writer the first time a path is asked for in this application."""
+    if path not in _WRITTEN:
+        write()
+        _WRITTEN.add(path)
