@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from imagora.functions import vector as vx
+
 # Patterns that decide what counts as a fence, a header, a sentence.
 FENCE = r"(?s)```[a-zA-Z0-9_+-]*\n(.*?)```"
 FRONTMATTER = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
 OUTER_WRAP = r"(?s)\A```[a-zA-Z0-9_+-]*\s*\n(.*)\n```\s*\z"
+LINE_BREAK = r"\r\n|\n|\r"
 SENTENCE_BREAK = r"[.\n;]+"
 MIN_SENTENCE_CHARS = 15
+WHITESPACE = " \t\n\x0b\f\r"
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"\A\s+|\s+\z", "")
+    return F.btrim(col, F.lit(WHITESPACE))
 
 
 def tokens(col: Column) -> Column:
     """Lower-cased whitespace tokens."""
-    parts = F.split(F.lower(F.coalesce(col, F.lit(""))), r"\s+")
-    return F.filter(parts, lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(col, F.lit(""))), r"\s+"), "")
 
 
 def sentences(col: Column, min_chars: int = MIN_SENTENCE_CHARS) -> Column:
@@ -56,15 +59,13 @@ def fields(name: Column, description: Column, content: Column) -> Column:
 
 
 def _header_value(lines: Column, key: str) -> Column:
-    """Value of the last ``key: value`` line, '' when the key is absent."""
+    """Value of the last ``key: value`` line, null when the key is absent."""
     hits = F.filter(
         lines,
         lambda ln: ln.contains(":") & (F.lower(strip(F.substring_index(ln, ":", 1))) == key),
     )
-    value = F.element_at(hits, -1)
-    return F.when(
-        F.size(hits) > 0, strip(F.regexp_replace(value, r"(?s)\A[^:]*:", ""))
-    ).otherwise(F.lit(""))
+    last = vx.bind(hits, lambda h: F.get(h, F.size(h) - F.lit(1)))
+    return strip(F.regexp_replace(last, r"(?s)\A[^:]*:", ""))
 
 
 def generated_fields(markdown: Column) -> Column:
@@ -74,23 +75,37 @@ def generated_fields(markdown: Column) -> Column:
     without a name the first non-blank line takes its place and the remaining
     non-blank lines make up the content.
     """
-    stripped = strip(F.coalesce(markdown, F.lit("")))
-    doc = F.when(
-        stripped.rlike(OUTER_WRAP), F.regexp_extract(stripped, OUTER_WRAP, 1)
-    ).otherwise(stripped)
-    has_header = doc.rlike(FRONTMATTER)
-    header = F.split(F.regexp_extract(doc, FRONTMATTER, 1), r"\r\n|\n|\r")
-    rest = F.when(has_header, F.regexp_replace(doc, FRONTMATTER, "")).otherwise(doc)
-    name = F.when(has_header, _header_value(header, "name")).otherwise(F.lit(""))
-    description = F.when(has_header, _header_value(header, "description")).otherwise(F.lit(""))
-    lines = F.filter(F.split(rest, r"\r\n|\n|\r"), lambda ln: strip(ln) != "")
-    title = F.when(
-        F.size(lines) > 0, F.regexp_replace(strip(F.get(lines, F.lit(0))), r"\A[# ]+", "")
-    ).otherwise(F.lit(""))
-    tail = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), "\n")
-    content = F.when(name == "", tail).otherwise(rest)
-    shown = F.when(name == "", title).otherwise(name)
-    return fields(shown, description, content)
+    def unwrap(text: Column) -> Column:
+        return F.when(text.rlike(OUTER_WRAP), F.regexp_extract(text, OUTER_WRAP, 1)).otherwise(text)
+
+    def header_and_rest(doc: Column) -> Column:
+        has = doc.rlike(FRONTMATTER)
+        header = F.when(has, F.split(F.regexp_extract(doc, FRONTMATTER, 1), LINE_BREAK))
+        return F.struct(
+            header.alias("header"),
+            F.when(has, F.regexp_replace(doc, FRONTMATTER, "")).otherwise(doc).alias("rest"))
+
+    def named(part: Column) -> Column:
+        lines = part["header"]
+        return F.struct(
+            F.coalesce(_header_value(lines, "name"), F.lit("")).alias("name"),
+            F.coalesce(_header_value(lines, "description"), F.lit("")).alias("description"),
+            part["rest"].alias("rest"))
+
+    def from_lines(lines: Column) -> Column:
+        title = F.regexp_replace(strip(F.get(lines, F.lit(0))), r"\A[# ]+", "")
+        tail = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), "\n")
+        return F.struct(F.coalesce(title, F.lit("")).alias("shown"), tail.alias("content"))
+
+    def titled(part: Column) -> Column:
+        lines = F.filter(F.split(part["rest"], LINE_BREAK), lambda ln: strip(ln) != "")
+        own = F.struct(part["name"].alias("shown"), part["rest"].alias("content"))
+        pick = F.when(part["name"] != "", own).otherwise(vx.bind(lines, from_lines))
+        return vx.bind(pick, lambda p: fields(p["shown"], part["description"], p["content"]))
+
+    text = strip(F.coalesce(markdown, F.lit("")))
+    return vx.bind(text, lambda t: vx.bind(unwrap(t), lambda d: vx.bind(
+        header_and_rest(d), lambda h: vx.bind(named(h), titled))))
 
 
 def decode_list(value: Column) -> Column:

@@ -127,7 +127,7 @@ def search(library: DataFrame, queries: DataFrame, k: int, keys: Sequence[str],
     lib = library.select("doc_id", F.col("field").cast("string").alias("field"), "vec") \
         .filter(F.size("vec") > 0)
     qs = queries.select(*keys, F.col("field").cast("string").alias("field"), "vec") \
-        .filter(F.size("vec") > 0)
+        .filter(F.size("vec") > 0).persist()
     out_type = T.StructType([
         *[qs.schema[c] for c in keys], T.StructField("field", T.StringType()),
         T.StructField("doc_id", lib.schema["doc_id"].dataType),
@@ -136,6 +136,7 @@ def search(library: DataFrame, queries: DataFrame, k: int, keys: Sequence[str],
     key_list = list(keys)
     if sizing.measured_bytes(qs) <= query_bytes:
         shared = spark.sparkContext.broadcast(qs.toArrow())
+        qs.unpersist()
 
         def task(batches):
             yield from _score_batches(batches, _blocks(shared.value, key_list), k, digits,

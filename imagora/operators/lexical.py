@@ -18,10 +18,11 @@ _DOC_MARK = ""
 
 
 def postings(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text",
-             vocabulary: DataFrame | None = None) -> DataFrame:
+             vocabulary: DataFrame | None = None, broadcast: bool = False) -> DataFrame:
     """(doc_id, dl, token, tf), plus one mark row per document (token '').
 
-    With a vocabulary only its tokens are kept. Rows are partitioned by
+    With a vocabulary only its tokens are kept; ``broadcast`` says its size was
+    checked. Rows are partitioned by
     document, so counting, weighting and summing per document all happen in
     the partition they land in.
     """
@@ -33,7 +34,7 @@ def postings(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if vocabulary is not None:
         marked = vocabulary.select("token").unionByName(
             vocabulary.sparkSession.createDataFrame([(_DOC_MARK,)], "token string"))
-        rows = rows.join(sizing.checked_broadcast(marked), "token", "left_semi")
+        rows = rows.join(F.broadcast(marked) if broadcast else marked, "token", "left_semi")
     return rows.repartition("doc_id").groupBy("doc_id", "dl", "token").agg(
         F.count(F.lit(1)).alias("tf"))
 
@@ -70,8 +71,11 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "d
     before they meet the postings.
     """
     terms = query_terms(queries, query_id, query)
+    # vocabulary and weights hold at most one row per query term, so the measured
+    # size of the terms bounds both
+    small = sizing.fits_broadcast(terms)
     vocabulary = terms.select("token").distinct()
-    posts = index if index is not None else postings(corpus, doc_id, text, vocabulary)
+    posts = index if index is not None else postings(corpus, doc_id, text, vocabulary, small)
     marks = F.col("token") == _DOC_MARK
     freq = posts.groupBy("token").agg(
         F.count(F.lit(1)).alias("df"), F.sum("dl").alias("len_sum"))
@@ -87,8 +91,7 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "d
         .filter(F.col("idf") > 0)
         .select("instance_id", "token", (F.col("qtf") * F.col("idf")).alias("w"))
     )
-    # the weights have at most one row per query term, so that table's size bounds theirs
-    if sizing.fits_broadcast(terms):
+    if small:
         hits = posts.join(F.broadcast(weights), "token")
     else:
         hits = sizing.salted_join(posts, weights, ["token"], F.col("doc_id"))

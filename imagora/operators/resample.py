@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imagora.functions.hashing import draw
-from imagora.operators import ranking
+from imagora.operators import ranking, sizing
 
 MEAN_DIGITS = 12
 CHUNK_VALUES = 1 << 16
@@ -38,7 +38,7 @@ def hashed_means(values: DataFrame, group: Sequence[str], value: str, replicates
     ranked = ranking.hashed_rank(
         values.select(*group, "instance_id", F.col(value).alias("_v")), group, ["instance_id"], seed)
     key = F.concat_ws(":", F.lit(str(seed)), *[F.col(g).cast("string") for g in group])
-    drawn = ranked.select(
+    drawn = sizing.fan_out(ranked, *group, "draw_rank").select(
         *group, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
         F.col("draw_rank").alias("_slot"), "group_n", key.alias("_k"),
     ).select(*group, "replicate",

@@ -67,6 +67,7 @@ def generate_missing(grid: DataFrame, stored: DataFrame, client: Client,
                      partitions: int | None = None) -> DataFrame:
     """Rows for wanted samples not stored yet: (grid columns, text, status).
 
+    A batch the client refuses is halved until the refused rows stand alone.
     Every sample gets one retry; one that fails twice is a row with status
     'failed' and no text, to be counted and left out of packs.
     """
@@ -81,8 +82,9 @@ def generate_missing(grid: DataFrame, stored: DataFrame, client: Client,
         except Exception:
             if len(frame) == 1:
                 return pd.Series([None], dtype=object)
-            rows = [attempt(frame.iloc[[i]]) for i in range(len(frame))]
-            return pd.concat(rows, ignore_index=True)
+            half = len(frame) // 2
+            return pd.concat([attempt(frame.iloc[:half]), attempt(frame.iloc[half:])],
+                             ignore_index=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:

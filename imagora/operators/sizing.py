@@ -44,6 +44,27 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan of fewer splits than cores, redistributed for CPU-heavy work.
+
+    Tables with enough files or row groups are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows spread over all shuffle partitions before they multiply.
+
+    Small tables would otherwise be merged into one partition and the rows
+    made from them would all come out of one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
+
+
 def salted_join(big: DataFrame, other: DataFrame, keys: list[str], spread: Column,
                 salts: int = SALTS) -> DataFrame:
     """Inner join whose hot keys are spread over ``salts`` partitions.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from imagora.functions import prompts
@@ -114,9 +115,8 @@ def write_jsonl(spark, sf):
     """Line positions in the written order, over all part files."""
     lines = spark.read.text(_pack_files(spark, sf)).select(
         F.get_json_object("value", "$.instance_id").alias("instance_id"),
-        F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("_b"),
+        F.col("_metadata.file_name").alias("part"),
         F.monotonically_increasing_id().alias("_m"))
-    from pyspark.sql import Window
     per_part = Window.partitionBy("part").orderBy("_m")
     parts = lines.groupBy("part").agg(F.count(F.lit(1)).alias("_c"))
     before = parts.select("part", (F.sum("_c").over(Window.orderBy("part")) - F.col("_c")).alias("_o"))

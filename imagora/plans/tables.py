@@ -8,13 +8,19 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from imagora.operators import sizing
 from imagora.session import shared_dir
 
 _WRITTEN: set[str] = set()
 
 
+# tables whose rows cost real work, and the column that spreads them
+_HEAVY = {"documents": "doc_id", "embeddings": "vec_id", "conversations": "conv_id"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return sizing.spread(df, _HEAVY[name]) if name in _HEAVY else df
 
 
 def stage_path(spark: SparkSession, sf_dir: str, name: str) -> str:

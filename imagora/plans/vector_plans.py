@@ -56,7 +56,7 @@ def centroid_fields(spark, sf):
 
 @_register("dense_scores", f"""WITH {vs.sql_base()},
 s AS (SELECT q.instance_id, e.vec_id AS doc_id, round(list_dot_product(q.v, e.v), 6) AS score FROM q, e)
-SELECT instance_id, count(*) AS n_docs, max(score) AS best, sum(CASE WHEN rn <= 100 THEN 1 ELSE 0 END) AS kept,
+SELECT instance_id, count(*) AS n_docs, max(score) AS best, count(CASE WHEN rn <= 100 THEN 1 END) AS kept,
   min(CASE WHEN rn <= 100 THEN score END) AS depth_score
 FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, doc_id) AS rn FROM s)
 GROUP BY 1""")

@@ -12,6 +12,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+SAME = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def duck(sf_dir: str):
     import duckdb
 
@@ -56,6 +59,11 @@ def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None):
         return {**res, "ok": False, "why": f"columns {sorted(df.columns)} vs {sorted(want_cols)}"}
     a = rows_of(df.columns, [tuple(r) for r in got])
     b = rows_of(want_cols, want)
+    kinds = dict(zip(want_cols, (str(d[1]) for d in cur.description)))
+    types = [f"{f.name}: {f.dataType.simpleString()}/{kinds[f.name]}" for f in df.schema.fields
+             if SAME.get(f.dataType.simpleString()) != kinds[f.name]]
+    if types:
+        res["types"] = types
     if len(a) != len(b):
         return {**res, "ok": False, "why": f"rows {len(a)} vs {len(b)}: {a[:2]} | {b[:2]}"}
     bad = [(x, y) for x, y in zip(a, b) if x != y]
@@ -84,7 +92,8 @@ def main(argv):
         bad += r["ok"] is False
         empty = "  EMPTY" if r["rows"] == 0 else ""
         print(f"{'OK ' if r['ok'] else '-- ' if r['ok'] is None else 'BAD'} {n:28s} rows={r['rows']:<8d}"
-              f" spark={r['spark_s']:.1f}s duck={r.get('duck_s', 0):.1f}s {r['why']}{empty}", flush=True)
+              f" spark={r['spark_s']:.1f}s duck={r.get('duck_s', 0):.1f}s {r['why']}{empty}"
+              f"{'  TYPES ' + ', '.join(r['types']) if r.get('types') else ''}", flush=True)
     print("failed:", bad, "of", len(names))
 
 
