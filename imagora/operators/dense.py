@@ -21,7 +21,8 @@ from imagora.operators import ranking, sizing
 BLOCK_CELLS = 4 << 20
 QUERY_BLOCK_BYTES = 64 << 20
 GRID_QUERIES = 4096
-GRID_DOCS = 1 << 17
+GRID_BYTES = 64 << 20
+HIT_BYTES = 40
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -134,7 +135,8 @@ def search(library: DataFrame, queries: DataFrame, k: int, keys: Sequence[str],
         T.StructField("score", T.DoubleType())])
     out_arrow = to_arrow_schema(out_type)
     key_list = list(keys)
-    if sizing.measured_bytes(qs) <= query_bytes:
+    n_queries, q_bytes = sizing.measure(qs)
+    if _broadcast_is_cheaper(lib, n_queries, q_bytes, k, query_bytes):
         shared = spark.sparkContext.broadcast(qs.toArrow())
         qs.unpersist()
 
@@ -144,22 +146,51 @@ def search(library: DataFrame, queries: DataFrame, k: int, keys: Sequence[str],
 
         local = lib.mapInArrow(task, out_type)
     else:
-        local = _grid(lib, qs, k, key_list, digits, out_type, out_arrow)
+        local = _grid(lib, qs, n_queries, q_bytes, k, key_list, digits, out_type, out_arrow)
     return ranking.top_k(local, [*keys, "field"], k, [F.desc("score"), F.asc("doc_id")])
 
 
-def _grid(lib: DataFrame, qs: DataFrame, k: int, keys: list[str], digits: int,
-          out_type: T.StructType, out_arrow: pa.Schema) -> DataFrame:
-    n_q = max(1, -(-qs.count() // GRID_QUERIES))
-    n_d = max(1, -(-lib.count() // GRID_DOCS))
+def _grid_shape(spark, n_docs: int, n_queries: int, q_bytes: int) -> tuple[int, int]:
+    """Library chunks and query blocks, each about GRID_BYTES, for all cores."""
+    vec = max(1, q_bytes // max(1, n_queries))
+    chunks = max(1, -(-n_docs * vec // GRID_BYTES))
+    blocks = max(1, -(-q_bytes // GRID_BYTES), -(-n_queries // GRID_QUERIES))
+    return chunks, max(blocks, -(-spark.sparkContext.defaultParallelism // chunks))
+
+
+def _broadcast_is_cheaper(lib: DataFrame, n_queries: int, q_bytes: int, k: int,
+                          query_bytes: int) -> bool:
+    """Whether sending k rows per query from each scan task beats the grid.
+
+    Few queries always broadcast. With many, each task of a small library would
+    send nearly all its scores, so both ways are priced by the bytes they move.
+    """
+    if q_bytes > query_bytes:
+        return False
+    if n_queries <= GRID_QUERIES:
+        return True
+    n_docs = lib.count()
+    tasks = lib.rdd.getNumPartitions()
+    chunks, blocks = _grid_shape(lib.sparkSession, n_docs, n_queries, q_bytes)
+    by_task = tasks * n_queries * min(k, -(-n_docs // tasks)) * HIT_BYTES
+    by_cell = n_docs * blocks * (q_bytes // n_queries) + chunks * n_queries * k * HIT_BYTES
+    return by_task <= by_cell
+
+
+def _grid(lib: DataFrame, qs: DataFrame, n_queries: int, q_bytes: int, k: int, keys: list[str],
+          digits: int, out_type: T.StructType, out_arrow: pa.Schema) -> DataFrame:
+    n_d, n_q = _grid_shape(lib.sparkSession, lib.count(), n_queries, q_bytes)
     left = lib.withColumn("_d", F.pmod(F.xxhash64("doc_id"), F.lit(n_d)).cast("int")) \
         .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     right = qs.withColumn("_q", F.pmod(F.xxhash64(*keys), F.lit(n_q)).cast("int")) \
         .withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
 
     def cell(docs: pa.Table, block: pa.Table) -> pa.Table:
-        out = list(_score_batches(iter(docs.to_batches()), _blocks(block, keys), k, digits,
-                                  out_arrow, keys))
+        out = []
+        if docs.num_rows and block.num_rows:
+            out = list(_score_batches(iter(docs.combine_chunks().to_batches()),
+                                      _blocks(block, keys), k, digits, out_arrow, keys))
         return pa.Table.from_batches(out, schema=out_arrow)
 
-    return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(cell, out_type)
+    on = ["field", "_d", "_q"]
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(cell, out_type)

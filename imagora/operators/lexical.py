@@ -79,12 +79,10 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "d
     marks = F.col("token") == _DOC_MARK
     freq = posts.groupBy("token").agg(
         F.count(F.lit(1)).alias("df"), F.sum("dl").alias("len_sum"))
-    size = freq.agg(
+    size = freq.agg(F.struct(
         F.max(F.when(marks, F.col("df"))).alias("n_docs"),
-        F.max(F.when(marks, F.col("len_sum") / F.col("df"))).alias("avgdl"),
-    )
-    n_docs = size.select("n_docs").scalar()
-    avgdl = size.select("avgdl").scalar()
+        F.max(F.when(marks, F.col("len_sum") / F.col("df"))).alias("avgdl")).alias("s")).scalar()
+    n_docs, avgdl = size["n_docs"], size["avgdl"]
     idf = F.log((n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     weights = (
         terms.join(freq.filter(~marks).select("token", idf.alias("idf")), "token")

@@ -21,7 +21,7 @@ from imagora.operators import ranking, sizing
 
 MEAN_DIGITS = 12
 CHUNK_VALUES = 1 << 16
-REPLICATE_BLOCK = 256
+REPLICATE_BLOCK = 1024
 SLAB_CELLS = 1 << 22
 
 
@@ -36,15 +36,20 @@ def hashed_means(values: DataFrame, group: Sequence[str], value: str, replicates
     """(group, replicate, mean): each replicate draws n rows of the group with
     replacement; slot i of replicate b takes index md5(seed:group:b:i) mod n."""
     ranked = ranking.hashed_rank(
-        values.select(*group, "instance_id", F.col(value).alias("_v")), group, ["instance_id"], seed)
+        values.select(*group, "instance_id", F.col(value).alias("_v")), group, ["instance_id"],
+        seed).select(*group, "draw_rank", "group_n", "_v").persist()
+    lookup = ranked.select(*group, "draw_rank", "_v")
+    if sizing.fits_broadcast(lookup):
+        # the draws then stay where they are made; only replicate sums move
+        lookup = F.broadcast(lookup)
     key = F.concat_ws(":", F.lit(str(seed)), *[F.col(g).cast("string") for g in group])
     drawn = sizing.fan_out(ranked, *group, "draw_rank").select(
         *group, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
         F.col("draw_rank").alias("_slot"), "group_n", key.alias("_k"),
     ).select(*group, "replicate",
              draw(F.col("_k"), F.col("replicate"), F.col("_slot"), F.col("group_n")).alias("draw_rank"))
-    return drawn.join(ranked.select(*group, "draw_rank", "_v"), [*group, "draw_rank"]).groupBy(
-        *group, "replicate").agg(F.round(F.avg("_v"), MEAN_DIGITS).alias("mean"))
+    return drawn.join(lookup, [*group, "draw_rank"]).groupBy(*group, "replicate").agg(
+        F.round(F.avg("_v"), MEAN_DIGITS).alias("mean"))
 
 
 def multinomial_means(values: DataFrame, group: Sequence[str], value: str, replicates: int,

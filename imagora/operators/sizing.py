@@ -29,10 +29,15 @@ def row_bytes(df: DataFrame) -> Column:
     return total
 
 
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a table, counted by one distributed aggregate."""
+    row = df.select(row_bytes(df).cast("bigint").alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    return int(row["n"]), int(row["b"] or 0)
+
+
 def measured_bytes(df: DataFrame) -> int:
-    """Bytes of a table, counted by one distributed aggregate."""
-    row = df.select(row_bytes(df).cast("bigint").alias("b")).agg(F.sum("b").alias("b")).first()
-    return int(row["b"] or 0)
+    return measure(df)[1]
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -44,7 +49,7 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer splits than cores, redistributed for CPU-heavy work.
 
     Tables with enough files or row groups are returned as they are.
@@ -52,7 +57,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(cores)
 
 
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:

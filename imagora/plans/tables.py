@@ -14,13 +14,13 @@ from imagora.session import shared_dir
 _WRITTEN: set[str] = set()
 
 
-# tables whose rows cost real work, and the column that spreads them
-_HEAVY = {"documents": "doc_id", "embeddings": "vec_id", "conversations": "conv_id"}
+# tables whose rows cost real work
+_HEAVY = ("documents", "embeddings", "conversations")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return sizing.spread(df, _HEAVY[name]) if name in _HEAVY else df
+    return sizing.spread(df) if name in _HEAVY else df
 
 
 def stage_path(spark: SparkSession, sf_dir: str, name: str) -> str:
