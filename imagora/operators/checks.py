@@ -37,7 +37,7 @@ def violations(df: DataFrame, key: Sequence[str], rules: Mapping[str, tuple[str,
         F.when(~ok, F.struct(F.lit(name).alias("rule"), F.lit(field).alias("field"),
                              F.col(field).cast("string").alias("value")))
         for name, (field, ok) in rules.items()])
-    return df.select(*key, F.explode(F.array_compact(found)).alias("v")).select(*key, "v.*")
+    return df.select(*key, F.explode(F.array_compact(found)).alias("_v")).select(*key, "_v.*")
 
 
 def validate_run(run: DataFrame, expected: DataFrame, keys: Sequence[str],
@@ -113,7 +113,7 @@ def reconcile(manifest: DataFrame, actual: DataFrame, keys: Sequence[str],
         F.when(~F.col(f"_m_{f}").eqNullSafe(F.col(f"_a_{f}")),
                F.struct(F.lit(f).alias("field"), F.col(f"_m_{f}").alias("recorded"),
                         F.col(f"_a_{f}").alias("found"))) for f in fields]))
-    return j.select(*keys, F.explode(found).alias("d")).select(*keys, "d.*")
+    return j.select(*keys, F.explode(found).alias("_d")).select(*keys, "_d.*")
 
 
 def stamp(run_meta: DataFrame, identity: Mapping[str, Column], cache: Mapping[str, Column]) -> DataFrame:
