@@ -34,10 +34,17 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _sortable(column) -> np.ndarray:
-    values = column.to_pylist()
-    if values and isinstance(values[0], str):
-        return np.array(values, dtype=str)
-    return np.array(values)
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return np.array(column.to_pylist(), dtype=str)
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _by_field(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
+    """Each field present in a batch with the mask of its rows."""
+    codes = batch.column("field").dictionary_encode()
+    index = codes.indices.to_numpy(zero_copy_only=False)
+    for code, field in enumerate(codes.dictionary.to_pylist()):
+        yield field, index == code
 
 
 class _Best:
@@ -83,12 +90,10 @@ def _score_batches(batches: Iterator[pa.RecordBatch], blocks: dict, k: int, digi
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        field_col = np.array(batch.column("field").to_pylist(), dtype=object)
         ids = _sortable(batch.column("doc_id"))
-        for field in set(field_col.tolist()):
+        for field, mask in _by_field(batch):
             if field not in blocks:
                 continue
-            mask = field_col == field
             vecs = _matrix(batch.column("vec").filter(pa.array(mask)))
             q = blocks[field][1]
             if field not in best:
@@ -136,9 +141,11 @@ def search(library: DataFrame, queries: DataFrame, k: int, keys: Sequence[str],
     out_arrow = to_arrow_schema(out_type)
     key_list = list(keys)
     n_queries, q_bytes = sizing.measure(qs)
-    if _broadcast_is_cheaper(lib, n_queries, q_bytes, k, query_bytes):
-        shared = spark.sparkContext.broadcast(qs.toArrow())
-        qs.unpersist()
+    cheap = _broadcast_is_cheaper(lib, n_queries, q_bytes, k, query_bytes)
+    table = qs.toArrow() if cheap else None
+    qs.unpersist()
+    if table is not None:
+        shared = spark.sparkContext.broadcast(table)
 
         def task(batches):
             yield from _score_batches(batches, _blocks(shared.value, key_list), k, digits,

@@ -34,7 +34,9 @@ def postings(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if vocabulary is not None:
         marked = vocabulary.select("token").unionByName(
             vocabulary.sparkSession.createDataFrame([(_DOC_MARK,)], "token string"))
-        rows = rows.join(F.broadcast(marked) if broadcast else marked, "token", "left_semi")
+        # distinct tokens: the inner join keeps each row at most once
+        rows = rows.join(F.broadcast(marked), "token", "left_semi") if broadcast else \
+            sizing.salted_join(rows, marked, ["token"], F.col("doc_id"))
     return rows.repartition("doc_id").groupBy("doc_id", "dl", "token").agg(
         F.count(F.lit(1)).alias("tf"))
 

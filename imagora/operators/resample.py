@@ -35,13 +35,16 @@ def hashed_means(values: DataFrame, group: Sequence[str], value: str, replicates
                  seed: int | str = 0) -> DataFrame:
     """(group, replicate, mean): each replicate draws n rows of the group with
     replacement; slot i of replicate b takes index md5(seed:group:b:i) mod n."""
-    ranked = ranking.hashed_rank(
-        values.select(*group, "instance_id", F.col(value).alias("_v")), group, ["instance_id"],
-        seed).select(*group, "draw_rank", "group_n", "_v").persist()
-    lookup = ranked.select(*group, "draw_rank", "_v")
-    if sizing.fits_broadcast(lookup):
-        # the draws then stay where they are made; only replicate sums move
-        lookup = F.broadcast(lookup)
+    rows = values.select(*group, "instance_id", F.col(value).alias("_v"))
+    ranked = ranking.hashed_rank(rows, group, ["instance_id"], seed).select(
+        *group, "draw_rank", "group_n", "_v")
+    if sizing.fits_broadcast(rows):
+        # one row per measured row: small enough to keep and to broadcast, so the
+        # draws stay where they are made and only replicate sums move
+        ranked = ranked.persist()
+        lookup = F.broadcast(ranked.select(*group, "draw_rank", "_v"))
+    else:
+        lookup = ranked.select(*group, "draw_rank", "_v")
     key = F.concat_ws(":", F.lit(str(seed)), *[F.col(g).cast("string") for g in group])
     drawn = sizing.fan_out(ranked, *group, "draw_rank").select(
         *group, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),

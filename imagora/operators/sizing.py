@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
+SPREAD_PER_SPLIT = 32
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -52,12 +53,14 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer splits than cores, redistributed for CPU-heavy work.
 
-    Tables with enough files or row groups are returned as they are.
+    Tables with enough files or row groups are returned as they are; a small
+    table on a large cluster is cut into a bounded number of pieces.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    splits = df.rdd.getNumPartitions()
+    if splits >= cores:
         return df
-    return df.repartition(cores)
+    return df.repartition(min(cores, splits * SPREAD_PER_SPLIT))
 
 
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:

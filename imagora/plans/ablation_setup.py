@@ -71,6 +71,10 @@ def k_scores_with_routed(spark: SparkSession, sf: str) -> DataFrame:
 
 def k_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """(variant, k_samples, domain, instance_id, a, b): K against K=4 on test ids."""
+    return staged(spark, sf, "k_pairs", lambda: build_k_pairs(spark, sf))
+
+
+def build_k_pairs(spark: SparkSession, sf: str) -> DataFrame:
     test = es.validation(spark, sf).filter("NOT is_validation").select("domain", "instance_id")
     rows = k_scores_with_routed(spark, sf).join(test, ["domain", "instance_id"])
     on = ["domain", "instance_id", "variant"]

@@ -116,7 +116,7 @@ def metric_pivot(spark, sf):
 
 @_register("validation_split", es.SQL_SCORES + " SELECT domain, instance_id, is_validation FROM val")
 def validation_split(spark, sf):
-    return es.validation(spark, sf)
+    return es.build_validation(spark, sf)
 
 
 @_register("split_test", es.SQL_SCORES + """
@@ -166,13 +166,13 @@ def unique_candidates(spark, sf):
 @_register("route_domain", es.SQL_ROUTER + """
 SELECT domain, pick, round(best, 6) AS best, degenerate, n_val, n_variants FROM router""")
 def route_domain(spark, sf):
-    return es.router(spark, sf).withColumn("best", F.round("best", 6))
+    return es.build_router(spark, sf).withColumn("best", F.round("best", 6))
 
 
 @_register("routed_run", es.SQL_ROUTER + """
 SELECT domain, source_variant, instance_id, doc_id, round(score, 6) AS score, rank FROM routed""")
 def routed_run(spark, sf):
-    r = routing.routed_run(es.annotated_run(spark, sf), es.router(spark, sf))
+    r = routing.routed_run(es.annotated_run(spark, sf), es.build_router(spark, sf))
     return r.select("domain", "source_variant", "instance_id", "doc_id",
                     F.round("score", 6).alias("score"), "rank")
 

@@ -30,15 +30,25 @@ def ndcg10(spark: SparkSession, sf: str) -> DataFrame:
                                     F.col("`nDCG@10`").alias("value"))
 
 
-def validation(spark: SparkSession, sf: str) -> DataFrame:
+def build_validation(spark: SparkSession, sf: str) -> DataFrame:
     ids = metrics.common_instances(scores(spark, sf), ("domain",), "variant")
     return splits.validation_split(ids)
 
 
-def router(spark: SparkSession, sf: str) -> DataFrame:
+def validation(spark: SparkSession, sf: str) -> DataFrame:
+    """The recorded split, written once."""
+    return staged(spark, sf, "validation", lambda: build_validation(spark, sf))
+
+
+def build_router(spark: SparkSession, sf: str) -> DataFrame:
     return routing.route(ndcg10(spark, sf), validation(spark, sf))
 
 
+def router(spark: SparkSession, sf: str) -> DataFrame:
+    """The recorded decisions, written once."""
+    return staged(spark, sf, "router", lambda: build_router(spark, sf))
+
+
 def routed(spark: SparkSession, sf: str) -> DataFrame:
     return staged(spark, sf, "routed_run", lambda: routing.routed_run(
         annotated_run(spark, sf), router(spark, sf)))
