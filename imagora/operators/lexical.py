@@ -37,6 +37,9 @@ def postings(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text",
         # distinct tokens: the inner join keeps each row at most once
         rows = rows.join(F.broadcast(marked), "token", "left_semi") if broadcast else \
             sizing.salted_join(rows, marked, ["token"], F.col("doc_id"))
+    # stated here, the filter joins infer is the same in every branch, which lets
+    # them share this shuffle
+    rows = rows.filter(F.col("token").isNotNull())
     return rows.repartition("doc_id").groupBy("doc_id", "dl", "token").agg(
         F.count(F.lit(1)).alias("tf"))
 
@@ -81,22 +84,22 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "d
     marks = F.col("token") == _DOC_MARK
     freq = posts.groupBy("token").agg(
         F.count(F.lit(1)).alias("df"), F.sum("dl").alias("len_sum"))
-    size = freq.agg(F.struct(
+    size = freq.agg(
         F.max(F.when(marks, F.col("df"))).alias("n_docs"),
-        F.max(F.when(marks, F.col("len_sum") / F.col("df"))).alias("avgdl")).alias("s")).scalar()
-    n_docs, avgdl = size["n_docs"], size["avgdl"]
-    idf = F.log((n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    weights = (
-        terms.join(freq.filter(~marks).select("token", idf.alias("idf")), "token")
-        .filter(F.col("idf") > 0)
-        .select("instance_id", "token", (F.col("qtf") * F.col("idf")).alias("w"))
-    )
+        F.max(F.when(marks, F.col("len_sum") / F.col("df"))).alias("avgdl"),
+    ).withColumn("_one", F.lit(1))
+    idf = F.log((F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    # one row of totals joins the token table, so all branches read one shuffle
+    known = freq.select("token", "df", F.lit(1).alias("_one")).join(
+        F.broadcast(size), "_one").select("token", "avgdl", idf.alias("idf")).filter("idf > 0")
+    weights = terms.join(known, "token").select(
+        "instance_id", "token", "avgdl", (F.col("qtf") * F.col("idf")).alias("w"))
     if small:
         hits = posts.join(F.broadcast(weights), "token")
     else:
         hits = sizing.salted_join(posts, weights, ["token"], F.col("doc_id"))
     part: Column = F.col("w") * F.col("tf") * F.lit(k1 + 1) / (
-        F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / avgdl))
+        F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("instance_id", "doc_id").agg(F.sum(part).alias("score"))
     ranked = ranking.rank_hits(scored, ["instance_id"], k).select(
         "instance_id", "doc_id", "score", "rank")

@@ -251,10 +251,10 @@ def test_payload_scan(spark, tmp_path):
 
 
 def test_named_runs_take_identity_from_file_names(spark, tmp_path):
-    for n in ("champ-two_stage.json", "champ-always-r.json", "champ-bare.eval.json"):
+    for n in ("alpha-two_stage.json", "alpha-always-r.json", "alpha-bare.eval.json"):
         (tmp_path / n).write_text(json.dumps(PAYLOAD))
     got = {(r.dataset, r.variant) for r in json_files.read_named_runs(spark, str(tmp_path)).collect()}
-    assert got == {("champ", "two_stage"), ("champ", "always-r")}
+    assert got == {("alpha", "two_stage"), ("alpha", "always-r")}
 
 
 def test_corpus_scan_with_fallback(spark, tmp_path):
