@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from imagora.operators import gating, metrics, packs, ranking, routing, splits
+from imagora.operators import gating, hypothesis, metrics, packs, ranking, routing, splits
 from imagora.plans import eval_setup as es
 from imagora.plans import vector_setup as vs
 
@@ -235,7 +235,6 @@ SELECT w.domain, b.c / 1000.0::DOUBLE AS tau, count(*) AS n_test,
   round(avg(CASE WHEN floor(w.a6 / 1000.0) >= b.c THEN 0.0 ELSE 1.0 END), 6) AS fusion_share
 FROM wide w JOIN best b USING (domain) WHERE NOT w.is_validation GROUP BY ALL""")
 def route_l2a(spark, sf):
-    from imagora.operators import hypothesis
     agree = hypothesis.agreement(vs.samples(spark, sf, ("skill",)), vs.K).select("instance_id", "agreement")
     wide = es.ndcg10(spark, sf).groupBy("domain", "instance_id").agg(
         F.max(F.when(F.col("variant") == "hypo_skill", F.col("value"))).alias("single"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imagora.functions import text as tx
-from imagora.operators import sizing
+from imagora.operators import samples, sizing
 from imagora.plans.tables import load
 
 K = 4
@@ -101,9 +101,8 @@ def conversation_samples(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id", F.when(F.col("n") <= 3, F.lit("sentence")).when(F.col("n") <= 5, F.lit("passage"))
         .otherwise(F.lit("skill")).alias("template"))
     answers = turns.filter(F.col("role") == "assistant")
-    from imagora.operators.samples import positions_within
     return (
-        positions_within(answers, ["conv_id"], ["turn"])
+        samples.positions_within(answers, ["conv_id"], ["turn"])
         .join(first, "conv_id").join(shape, "conv_id")
         .select(F.col("conv_id").alias("instance_id"), domain_of(F.col("query")).alias("domain"),
                 "query", "template", "sample_index", "text"))

@@ -20,7 +20,8 @@ K_VALUES = (1, 2, 4, 8, 10)
 K_MAX = 10
 OFFSETS = {"sentence": 1, "passage": 2, "skill": 3}
 GOLD_SPAN = 3
-# (field, first element, length); the code field exists for even labels only
+# (field, first element, length); the code field exists for labels below five only
+CODE_LABELS = 5
 SLICES = {"meta": (1, 16), "body": (17, 32), "code": (49, 16), "lex": (33, 32)}
 VARIANTS = ("hypo_sentence", "hypo_passage", "hypo_skill", "fused", "two_stage")
 
@@ -74,7 +75,7 @@ def field_rows(df: DataFrame, keep: list[str], label: str, fields: tuple[str, ..
     """One row per field of a vector."""
     structs = [
         F.struct(F.lit(f).alias("field"),
-                 (F.when(F.col(label) % 2 == 0, _field(F.col("vec"), f)) if f == "code"
+                 (F.when(F.col(label) < CODE_LABELS, _field(F.col("vec"), f)) if f == "code"
                   else _field(F.col("vec"), f)).alias("vec"))
         for f in fields]
     return df.select(*keep, F.explode(F.array(*structs)).alias("f")).select(
@@ -194,14 +195,14 @@ cent AS (SELECT template, instance_id, {sql_norm('v')} AS v FROM craw)"""
 def sql_library(fields=("full", "meta", "body", "code", "lex")) -> str:
     parts = [
         f"SELECT vec_id AS doc_id, '{f}' AS field, {_sql_field('v', f)} AS v FROM e"
-        + (" WHERE label % 2 = 0" if f == "code" else "") for f in fields]
+        + (f" WHERE label < {CODE_LABELS}" if f == "code" else "") for f in fields]
     return "lib AS (" + " UNION ALL ".join(parts) + ")"
 
 
 def sql_fields() -> str:
     parts = [
         f"SELECT instance_id, sample_index, '{f}' AS field, {_sql_field('v', f)} AS v FROM samp "
-        f"WHERE template = 'skill'" + (" AND sample_label % 2 = 0" if f == "code" else "")
+        f"WHERE template = 'skill'" + (f" AND sample_label < {CODE_LABELS}" if f == "code" else "")
         for f in ("meta", "body", "code")]
     return f"""
 sf AS ({' UNION ALL '.join(parts)}),
