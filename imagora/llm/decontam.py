@@ -29,6 +29,8 @@ COMMON = 8
 STEP = 8
 PASSAGE_STEPS = 6
 MIN_COSINE = 0.6
+#: In a space of fewer directions (a few texts, or always the same) every window is a candidate.
+MIN_RANK = 16
 MIN_COMMON = 0.8
 MIN_COMMON_WITH_ANSWER = 0.6
 SHORT = 5
@@ -413,12 +415,13 @@ def find(column: pa.Array, space: LatentSpace, items: Items) -> dict[int, dict[i
         if not len(chosen):
             continue
         vectors = items.vectors[chosen].T
+        least = MIN_COSINE if space.basis.shape[1] >= MIN_RANK else -2.0
         for i in range(0, n_steps, WINDOWS_AT_ONCE):
             v = window[i:i + WINDOWS_AT_ONCE]
             size = np.sqrt(np.einsum("ij,ij->i", v, v))
             dots = v @ vectors
-            rows, cols = np.nonzero(dots >= MIN_COSINE * np.maximum(size, 1e-9)[:, None])
-            cosine = dots[rows, cols] / size[rows]
+            rows, cols = np.nonzero(dots >= least * np.maximum(size, 1e-9)[:, None])
+            cosine = dots[rows, cols] / np.maximum(size[rows], 1e-9)
             item, at = chosen[cols], rows + i
             text = text_of[at]
             begin = t.first[text] + (at - first[text]) * STEP
