@@ -7,7 +7,7 @@ import os
 import time
 
 from imagora.plans import registry
-from imagora.session import local_session
+from imagora.session import local_session, ship_package
 
 HEADLINE = (
     "parse_generated embed_text bm25_index bm25_topk hybrid_topk fused_topk_text gate_s2_text "
@@ -21,6 +21,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
+    ship_package(spark)
     # start the JVM's and the Python workers' own machinery before timing
     spark.range(1000).repartition(8).mapInPandas(lambda it: it, "id long").selectExpr("sum(id)").collect()
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE

@@ -14,16 +14,29 @@ OUTER_WRAP = r"(?s)\A```[a-zA-Z0-9_+-]*\s*\n(.*)\n```\s*\z"
 LINE_BREAK = r"\r\n|\n|\r"
 SENTENCE_BREAK = r"[.\n;]+"
 MIN_SENTENCE_CHARS = 15
-WHITESPACE = " \t\n\x0b\f\r"
+# What Unicode and the C0 separators count as white space.
+WHITESPACE = (" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+              "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+SPACES = f"[{WHITESPACE}]+"
+
+# The offline stand-in document.
+STAND_IN_NAME = "draft-answer"
+STAND_IN_BODY = "Restate what is being asked\nWork it out in small parts"
+STAND_IN_CODE = "answer = combine(parts)"
 
 
 def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
+def is_blank(col: Column) -> Column:
+    """Whether a text has nothing but white space; null stays null."""
+    return strip(col) == ""
+
+
 def tokens(col: Column) -> Column:
     """Lower-cased whitespace tokens."""
-    return F.array_remove(F.split(F.lower(F.coalesce(col, F.lit(""))), r"\s+"), "")
+    return F.array_remove(F.split(F.lower(F.coalesce(col, F.lit(""))), SPACES), "")
 
 
 def sentences(col: Column, min_chars: int = MIN_SENTENCE_CHARS) -> Column:
@@ -135,6 +148,6 @@ def stand_in_document(query: Column, offset: Column | int = 0, width: int = 120)
     start = (F.lit(offset) if isinstance(offset, int) else offset) + F.lit(1)
     task = F.substr(strip(query), start.cast("int"), F.lit(width))
     return F.concat(
-        F.lit("---\nname: hypothetical-skill\ndescription: "), task,
-        F.lit("\n---\n1. analyse the task\n2. apply the method\n\n```python\nsolve()\n```"),
+        F.lit(f"---\nname: {STAND_IN_NAME}\ndescription: "), task,
+        F.lit(f"\n---\n{STAND_IN_BODY}\n\n```python\n{STAND_IN_CODE}\n```"),
     )

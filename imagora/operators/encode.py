@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,18 +26,14 @@ class HashedEncoder:
         self.dim = dim
 
     def __call__(self, token_lists: Sequence[Sequence[str]]) -> np.ndarray:
-        known: dict[str, int] = {}
-        out = np.zeros((len(token_lists), self.dim))
-        for row, toks in enumerate(token_lists):
-            buckets = np.empty(len(toks), dtype=np.int64)
-            for j, tok in enumerate(toks):
-                b = known.get(tok)
-                if b is None:
-                    b = int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % self.dim
-                    known[tok] = b
-                buckets[j] = b
-            out[row] = np.bincount(buckets, minlength=self.dim)
-        return out
+        sizes = np.fromiter((len(t) for t in token_lists), dtype=np.int64, count=len(token_lists))
+        flat = np.empty(int(sizes.sum()), dtype=object)
+        flat[:] = list(chain.from_iterable(token_lists))
+        codes, distinct = pd.factorize(flat)
+        buckets = np.fromiter((int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % self.dim for t in distinct),
+                              dtype=np.int64, count=len(distinct))
+        cells = np.repeat(np.arange(len(sizes)), sizes) * self.dim + buckets[codes]
+        return np.bincount(cells, minlength=len(sizes) * self.dim).reshape(len(sizes), self.dim).astype(np.float64)
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:

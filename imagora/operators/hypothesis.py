@@ -36,16 +36,20 @@ def centroid_with_query(samples: DataFrame, query_vectors: DataFrame, k: int | N
 
 
 def field_centroids(samples: DataFrame, anchors: DataFrame, k: int | None = None,
-                    keys: Sequence[str] = ("instance_id",)) -> DataFrame:
+                    keys: Sequence[str] = ("instance_id",), drawn: DataFrame | None = None) -> DataFrame:
     """(keys, field, vec) for queries that have samples.
 
     ``samples``: keys, sample_index, field, vec, one row per non-empty field;
     ``anchors``: keys, vec, the query in the meta space. Each field is averaged
     over the samples that have it. The query joins the meta field only, with
     the weight of one among all samples, also those without a meta text.
+    ``drawn``: keys, sample_index of every sample, also those without any field
+    text; a query that has only such samples keeps the query's own vector.
     """
     rows = samples if k is None else samples.filter(F.col("sample_index") < k)
-    counts = rows.groupBy(*keys).agg(F.count_distinct("sample_index").alias("n"))
+    listed = samples if drawn is None else drawn
+    listed = listed if k is None else listed.filter(F.col("sample_index") < k)
+    counts = listed.groupBy(*keys).agg(F.count_distinct("sample_index").alias("n"))
     means = _sample_lists(rows, [*keys, "field"], None).select(
         *keys, "field", vx.mean_of(F.col("vecs")).alias("mean"))
     anchored = counts.join(anchors.select(*keys, F.col("vec").alias("anchor")), list(keys))

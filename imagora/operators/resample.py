@@ -39,9 +39,8 @@ def hashed_means(values: DataFrame, group: Sequence[str], value: str, replicates
     ranked = ranking.hashed_rank(rows, group, ["instance_id"], seed).select(
         *group, "draw_rank", "group_n", "_v")
     if sizing.fits_broadcast(rows):
-        # one row per measured row: small enough to keep and to broadcast, so the
-        # draws stay where they are made and only replicate sums move
-        ranked = ranked.persist()
+        # one row per measured row: small enough to broadcast, so the draws stay
+        # where they are made and only replicate sums move
         lookup = F.broadcast(ranked.select(*group, "draw_rank", "_v"))
     else:
         lookup = ranked.select(*group, "draw_rank", "_v")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from imagora.functions import prompts
 from imagora.functions.hashing import row_digest
+from imagora.functions import text as tx
 from imagora.operators import ranking
 
 # prompt frames (sample_key, prompt, temperature) in, frames with a text column out
@@ -112,7 +113,7 @@ def audit(grid: DataFrame, stored: DataFrame) -> DataFrame:
     have = stored.select("sample_key", "text").withColumn("_found", F.lit(True))
     rows = grid.select("sample_key", "template", "sample_index").join(have, "sample_key", "left")
     found = F.coalesce("_found", F.lit(False))
-    blank = F.trim(F.regexp_replace("text", r"\s+", " ")) == ""
+    blank = tx.is_blank(F.col("text"))
     out = rows.groupBy("template", "sample_index").agg(
         F.count(F.lit(1)).alias("expected"),
         F.count_if(found & F.col("text").isNotNull() & ~blank).alias("present"),
@@ -126,20 +127,20 @@ def audit_errors(grid: DataFrame, stored: DataFrame, limit: int = ERROR_EXAMPLES
     """Up to ``limit`` failing keys per (template, sample_index)."""
     rows = grid.select("sample_key", "template", "sample_index").join(
         stored.select("sample_key", "text"), "sample_key", "left")
-    bad = rows.filter(F.col("text").isNull() | (F.trim("text") == "")).drop("text")
+    bad = rows.filter(F.col("text").isNull() | tx.is_blank(F.col("text"))).drop("text")
     return ranking.top_k(bad, ["template", "sample_index"], limit, [F.asc("sample_key")])
 
 
-def prefix_pack(samples: DataFrame, k: int, keys: Sequence[str] = ("instance_id",)) -> DataFrame:
-    """(keys, template, n, texts, usable): the first k texts of each query in order.
+def prefix_pack(samples: DataFrame, k: int | None = None, keys: Sequence[str] = ("instance_id",)) -> DataFrame:
+    """(keys, template, n, texts, usable): the first k texts of each query in order, or all.
 
-    At most k texts per row. ``usable`` is false where a sample is absent or blank.
+    ``usable`` is false where a sample is blank, or one of the k is absent.
     """
-    rows = samples.filter(F.col("sample_index") < k)
+    rows = samples if k is None else samples.filter(F.col("sample_index") < k)
     packed = rows.groupBy(*keys, "template").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("sample_index", "text"))),
                     lambda s: s["text"]).alias("texts"))
-    whole = (F.size("texts") == k) & ~F.exists("texts", lambda t: F.trim(t) == "")
+    whole = (F.size("texts") == (F.size("texts") if k is None else k)) & ~F.exists("texts", tx.is_blank)
     return packed.withColumn("n", F.size("texts")).withColumn("usable", whole)
 
 

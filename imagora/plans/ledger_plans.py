@@ -93,7 +93,7 @@ def _pack_files(spark, sf):
 
     def write():
         s = ts.conversation_samples(spark, sf)
-        p = samples.as_instance_packs(samples.prefix_pack(s, 10, ("instance_id", "domain", "query")),
+        p = samples.as_instance_packs(samples.prefix_pack(s, None, ("instance_id", "domain", "query")),
                                       ("instance_id", "domain", "query"))
         json_files.write_jsonl(p.withColumn("instance_id", F.col("instance_id").cast("string")), path,
                                ["instance_id"])
@@ -240,9 +240,13 @@ def _grid(spark, sf, k=3):
 
 
 def _stored(spark, sf, k=3):
-    """Conversation answers keyed like the grid; short ones blank, long ones unreadable."""
+    """Conversation answers keyed like the grid; short ones blank, long ones unreadable.
+
+    Of several conversations with one query, the first one's answer stands.
+    """
     have = ts.conversation_samples(spark, sf).select(
-        "query", "template", "sample_index", "text").dropDuplicates(["query", "template", "sample_index"])
+        "query", "template", "sample_index", "instance_id", "text").groupBy("query", "template", "sample_index").agg(
+        F.min_by("text", F.struct("instance_id", "text")).alias("text"))
     text = F.when(F.length("text") < 200, F.lit("")).when(
         F.length("text") > 2500, F.lit(None).cast("string")).otherwise(F.col("text"))
     return _grid(spark, sf, k).join(have, ["query", "template", "sample_index"]).select(
@@ -252,7 +256,7 @@ def _stored(spark, sf, k=3):
 _SQL_GRIDQ = f"""WITH {ts.SQL_CONV}, {sql_templates()},
 grid AS (SELECT query, template, template_text, i AS sample_index, replace(template_text, '{{q}}', query) AS prompt
   FROM (SELECT DISTINCT query FROM cs), tpl, range(3) r(i)),
-st AS (SELECT DISTINCT query, template, sample_index, text FROM cs),
+st AS (SELECT query, template, sample_index, arg_min(text, (instance_id, text)) AS text FROM cs GROUP BY ALL),
 st2 AS (SELECT query, template, sample_index, CASE WHEN length(text) < 200 THEN '' WHEN length(text) > 2500 THEN NULL ELSE text END AS text FROM st)"""
 
 
@@ -268,16 +272,16 @@ def _offline_client(frame: pd.DataFrame) -> pd.Series:
     """Refuses any batch holding a prompt with a sharp s, else answers in a fixed form."""
     if frame["prompt"].str.contains("ß").any():
         raise RuntimeError("refused")
-    return "---\nname: hypothetical-skill\n---\n" + frame["prompt"].str.slice(-120)
+    return f"---\nname: {tx.STAND_IN_NAME}\n---\n" + frame["prompt"].str.slice(-120)
 
 
 def _generated(spark, sf):
     return samples.generate_missing(_grid(spark, sf), _stored(spark, sf), _offline_client)
 
 
-@_register("generate_missing", _SQL_GRIDQ + """
+@_register("generate_missing", _SQL_GRIDQ + f"""
 SELECT md5(g.query) AS query, g.template, g.sample_index, CASE WHEN g.prompt LIKE '%ß%' THEN 'failed' ELSE 'generated' END AS status,
-  CASE WHEN g.prompt LIKE '%ß%' THEN NULL ELSE md5('---' || chr(10) || 'name: hypothetical-skill' || chr(10) || '---' || chr(10) || right(g.prompt, 120)) END AS text
+  CASE WHEN g.prompt LIKE '%ß%' THEN NULL ELSE md5('---' || chr(10) || 'name: {tx.STAND_IN_NAME}' || chr(10) || '---' || chr(10) || right(g.prompt, 120)) END AS text
 FROM grid g LEFT JOIN st2 s USING (query, template, sample_index) WHERE s.query IS NULL""")
 def generate_missing(spark, sf):
     return _generated(spark, sf).select(F.md5("query").alias("query"), "template", "sample_index",
@@ -322,7 +326,7 @@ def prefix_check(spark, sf):
     s = ts.conversation_samples(spark, sf)
     altered = s.filter("domain <> 'long'").withColumn("text", F.when(
         F.col("template") == "passage", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    return samples.prefix_violations(samples.prefix_pack(s, 10), samples.prefix_pack(altered, 2), 2)
+    return samples.prefix_violations(samples.prefix_pack(s), samples.prefix_pack(altered, 2), 2)
 
 
 @_register("dup_query_check", f"""WITH {ts.SQL_CONV},

@@ -214,12 +214,13 @@ def _text_field_queries(spark, sf):
     return hypothesis.field_centroids(vecs, anchors, ts.K)
 
 
+_BODY_SQL = "'" + tx.STAND_IN_BODY.replace("\n", "' || chr(10) || '") + "'"
 _SQL_STAND = f"""
 st AS (SELECT instance_id, i AS sample_index, substr({ts.strip('query')}, CAST(1 + i * 40 AS BIGINT), 120) AS task
        FROM tq, range(4) r(i)),
-sfld AS (SELECT instance_id, sample_index, 'meta' AS field, {ts.sql_meta("'hypothetical-skill'", 'split_part(task, chr(10), 1)')} AS txt FROM st
-  UNION ALL SELECT instance_id, sample_index, 'body', '1. analyse the task' || chr(10) || '2. apply the method' FROM st
-  UNION ALL SELECT instance_id, sample_index, 'code', 'solve()' FROM st)"""
+sfld AS (SELECT instance_id, sample_index, 'meta' AS field, {ts.sql_meta(f"'{tx.STAND_IN_NAME}'", 'split_part(task, chr(10), 1)')} AS txt FROM st
+  UNION ALL SELECT instance_id, sample_index, 'body', {_BODY_SQL} FROM st
+  UNION ALL SELECT instance_id, sample_index, 'code', '{tx.STAND_IN_CODE}' FROM st)"""
 _SQL_FUSED_TEXT = f"""
 lfld AS (SELECT doc_id, 'meta' AS field, {ts.sql_meta('name', 'description')} AS txt FROM corpus
   UNION ALL SELECT doc_id, 'body', {_BODY} FROM corpus
@@ -278,9 +279,9 @@ top AS (SELECT instance_id, doc_id FROM bm25 WHERE rank = 1),
 cs0 AS (SELECT t.instance_id, t.doc_id, list_filter(list_transform(string_split_regex(d.text, '[.\\n;]+'),
   lambda x: {ts.strip('x')}), lambda x: length(x) >= 15)[1:40] AS ss FROM top t JOIN documents d USING (doc_id)),
 csent AS (SELECT instance_id, doc_id, unnest(range(0, len(ss))) AS pos, unnest(ss) AS txt FROM cs0),
-mds AS (SELECT instance_id, sample_index, '---' || chr(10) || 'name: hypothetical-skill' || chr(10) || 'description: '
-  || task || chr(10) || '---' || chr(10) || '1. analyse the task' || chr(10) || '2. apply the method' || chr(10)
-  || chr(10) || '```python' || chr(10) || 'solve()' || chr(10) || '```' AS md FROM st),
+mds AS (SELECT instance_id, sample_index, '---' || chr(10) || 'name: {tx.STAND_IN_NAME}' || chr(10) || 'description: '
+  || task || chr(10) || '---' || chr(10) || {_BODY_SQL} || chr(10)
+  || chr(10) || '```python' || chr(10) || '{tx.STAND_IN_CODE}' || chr(10) || '```' AS md FROM st),
 hs0 AS (SELECT instance_id, flatten(list(ss ORDER BY sample_index))[1:60] AS ss FROM (
   SELECT instance_id, sample_index, list_filter(list_transform(string_split_regex(md, '[.\\n;]+'),
     lambda x: {ts.strip('x')}), lambda x: length(x) >= 15) AS ss FROM mds) GROUP BY 1),

@@ -57,14 +57,14 @@ def containment(docs: DataFrame, needles: DataFrame) -> DataFrame:
 
     A containing document has the query's inner words as a run of its own, so
     four of them (words 2-5) select the candidates and only these are compared
-    in full. Needs queries of at least six words.
+    in full. Queries of fewer than ``ANCHOR`` + 2 words have no such inner words
+    and are held against every text.
     """
     words = F.split("query", r"\s+")
-    anchors = needles.select("instance_id", "query",
-                             F.array_join(F.slice(words, 2, ANCHOR), " ").alias("gram"),
-                             F.size(words).alias("_n"))
-    if anchors.filter(F.col("_n") < ANCHOR + 2).limit(1).count():
-        raise ValueError("containment needs queries of at least six words")
+    sized = needles.withColumn("_n", F.size(words))
+    short = sized.filter(F.col("_n") < ANCHOR + 2).select("instance_id", "query")
+    anchors = sized.filter(F.col("_n") >= ANCHOR + 2).select(
+        "instance_id", "query", F.array_join(F.slice(words, 2, ANCHOR), " ").alias("gram"))
     side = sizing.checked_broadcast(anchors.select("instance_id", "gram"))
     toks = docs.select("doc_id", F.split("text", r"\s+").alias("_t"))
     grams = toks.select("doc_id", F.explode(F.array_distinct(F.expr(
@@ -73,7 +73,9 @@ def containment(docs: DataFrame, needles: DataFrame) -> DataFrame:
     pairs = grams.join(side, "gram").select("doc_id", "instance_id").distinct()
     full = pairs.join(needles.select("instance_id", "query"), "instance_id").join(
         docs.select("doc_id", "text"), "doc_id")
-    return full.filter(F.contains("text", "query")).select("instance_id", "doc_id")
+    found = full.filter(F.contains("text", "query")).select("instance_id", "doc_id")
+    direct = docs.select("doc_id", "text").join(sizing.checked_broadcast(short), F.contains("text", "query"))
+    return found.unionByName(direct.select("instance_id", "doc_id"))
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
 _FALLBACK: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cpus: str | int = "*", memory: str = "16g") -> SparkSession:
@@ -30,13 +34,37 @@ def local_session(cpus: str | int = "*", memory: str = "16g") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder
-    stands in for it.
+    Only where the master is one local JVM may the setting be absent; a temporary
+    folder then stands in for it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder when the master is {master}")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="imagora-")
     return _FALLBACK[app]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application.
+
+    Task functions are pickled by module name, so workers must be able to import
+    them wherever the driver was started.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="imagora-zip-"), "imagora.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.join("imagora", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)

@@ -126,8 +126,8 @@ def taus(spark, groups, p_min):
 
 
 def test_pick_tau_examples(spark):
-    got = taus(spark, {0: [(.1, 1), (.2, 1), (.3, 0), (.4, 1)], 1: [(.1, 0), (.2, 0)]}, 0.9)
-    assert got == {0: 0.2, 1: None}
+    groups = {3: [(.5, 1), (.5, 0), (.7, 1), (.7, 1)], 4: [(.6, 1)], 5: [(.2, 0), (.2, 1), (.9, 1)]}
+    assert taus(spark, groups, 0.75) == {g: brute_tau(ps, 0.75) for g, ps in groups.items()}
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -140,9 +140,9 @@ def test_pick_tau_equals_row_by_row(spark, groups, p_min):
 
 def test_gate_blocks_skips_keeps_and_passes_unknown(spark):
     sig = spark.createDataFrame(
-        [("d", "a", .2, .9, True), ("d", "b", .8, .05, False), ("d", "c", .8, .9, False), ("d", "e", .5, .1, False)],
+        [("d", "a", .11, .3, True), ("d", "b", .66, .21, False), ("d", "c", .9, .4, False), ("d", "e", .35, .25, False)],
         "domain string, instance_id string, s1 double, s2 double, top1_wrong boolean")
-    tau = spark.createDataFrame([("d", .5, .1)], "domain string, tau1 double, tau2 double")
+    tau = spark.createDataFrame([("d", .35, .25)], "domain string, tau1 double, tau2 double")
     dec = gating.decide(sig, tau)
     assert {r.instance_id: r.decision for r in dec.collect()} == {
         "a": "blocked", "b": "skipped", "c": "kept", "e": "kept"}

@@ -290,3 +290,40 @@ def test_outcome_scan(spark, tmp_path):
     p = tmp_path / "o.json"
     p.write_text(json.dumps({"metrics": {"accuracy": 1.0}, "details": [{"instance_id": "a", "correct": True}]}))
     assert json_files.read_outcomes(spark, str(p)).collect()[0].correct is True
+
+
+# ------------------------------------------------------------------ whole packs and blank texts
+
+def test_pack_keeps_every_turn_and_one_blank_rule(spark):
+    rows = [(1, "passage", i, f"t{i}") for i in range(11)] + [(2, "passage", 0, "\n\u00a0"), (2, "passage", 1, "x")]
+    smp = spark.createDataFrame(rows, "instance_id int, template string, sample_index int, text string")
+    whole = {r.instance_id: (r.n, r.usable) for r in samples.prefix_pack(smp).collect()}
+    assert whole == {1: (11, True), 2: (2, False)}
+    assert {r.instance_id: r.usable for r in samples.prefix_pack(smp, 2).collect()} == {1: True, 2: False}
+    grid = smp.select(F.concat_ws(":", "instance_id", "sample_index").alias("sample_key"), "template", "sample_index")
+    stored = smp.select(F.concat_ws(":", "instance_id", "sample_index").alias("sample_key"), "text")
+    assert samples.audit(grid, stored).agg(F.sum("empty")).first()[0] == 1
+    assert [r.sample_key for r in samples.audit_errors(grid, stored).collect()] == ["2:0"]
+
+
+def test_short_queries_are_contained_too(spark):
+    from imagora.plans import text_setup
+
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, "twofold"), (3, None)], "doc_id int, text string")
+    qs = spark.createDataFrame([(0, "two three four"), (1, "two"), (2, "o three four five six seven e"), (3, "two three four five six seven nine")],
+                               "instance_id int, query string")
+    got = sorted((r.instance_id, r.doc_id) for r in text_setup.containment(docs, qs).collect())
+    assert got == [(0, 1), (1, 1), (1, 2), (2, 1)]
+
+
+def test_package_reaches_workers_and_shared_folder_is_asked_for(spark):
+    from types import SimpleNamespace
+
+    from imagora import session
+
+    session.ship_package(spark)
+    names = spark.range(1).mapInPandas(lambda it: (p.assign(id=len(__import__("imagora").__file__)) for p in it), "id long")
+    assert names.first()["id"] > 0
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://h:1"))
+    with pytest.raises(ValueError):
+        session.shared_dir(far)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from imagora.functions import prompts
 from imagora.functions import text as tx
 
-DOC = "# Tiling\n\nProse on tilings.\n\n```python\ndef tile(n):\n    return n\n```\n\nMore prose."
+DOC = "Intro line\n\n```sql\nSELECT 1\n```\nbetween\n```\nraw\n```\nend"
 
 
 def one(spark, col, **values):
@@ -13,10 +13,10 @@ def one(spark, col, **values):
 
 
 def test_fields_split_code_from_body(spark):
-    f = one(spark, tx.fields(F.col("n"), F.col("d"), F.col("c")), n="Tiling", d="Counting tilings.", c=DOC)
-    assert f.meta == "Tiling. Counting tilings."
-    assert f.code == "def tile(n):\n    return n"
-    assert "def tile" not in f.body and f.body.startswith("# Tiling") and f.body.endswith("More prose.")
+    f = one(spark, tx.fields(F.col("n"), F.col("d"), F.col("c")), n="q7", d="Two fences", c=DOC)
+    assert f.meta == "q7. Two fences"
+    assert f.code.split() == ["SELECT", "1", "raw"]
+    assert "SELECT" not in f.body and f.body.startswith("Intro line") and f.body.split()[-2:] == ["between", "end"]
 
 
 @pytest.mark.parametrize("name,desc,want", [
@@ -30,8 +30,8 @@ def gen(spark, md):
 
 
 def test_generated_with_header(spark):
-    f = gen(spark, "---\nname: to-md\ndescription: Turn: files\n---\n1. first step\n\n```py\nx=1\n```\n")
-    assert (f.meta, f.body, f.code) == ("to-md. Turn: files", "1. first step", "x=1")
+    f = gen(spark, "---\nowner: me\ndescription: a: b: c\nname:   spaced  \n---\n\n\n> quote\n")
+    assert (f.meta, f.body, f.code) == ("spaced. a: b: c", "> quote", "")
 
 
 def test_generated_last_key_wins_and_case_is_ignored(spark):
@@ -45,9 +45,8 @@ def test_generated_without_header(spark):
 
 
 def test_generated_outer_fence(spark):
-    f = gen(spark, "```markdown\n---\nname: sets\ndescription: Count sets\n---\n1. do it\n\n"
-                   "```skill\ndef f(n): pass\n```\n```")
-    assert f.meta == "sets. Count sets" and "do it" in f.body and f.code == "def f(n): pass"
+    f = gen(spark, "```\nTitle of it\n\ntext one\n```js\nlet a\n```\ntext two\n```\n")
+    assert f.meta == "Title of it" and "text one" in f.body and "text two" in f.body and f.code == "let a"
 
 
 @pytest.mark.parametrize("md", ["", "   ", None])
@@ -62,7 +61,7 @@ def test_sentences_keep_long_parts(spark):
 
 
 def test_tokens(spark):
-    assert one(spark, tx.tokens(F.col("t")), t="  The\tCat \n sat ") == ["the", "cat", "sat"]
+    assert one(spark, tx.tokens(F.col("t")), t="\u00a0Ein\u2003ZWEI\n\x1cdrei\t") == ["ein", "zwei", "drei"]
     assert one(spark, tx.tokens(F.col("t")), t=" ") == []
 
 
@@ -81,4 +80,4 @@ def test_render(spark):
 
 def test_stand_in_keeps_first_characters(spark):
     md = one(spark, tx.stand_in_document(F.col("q")), q="y" * 200)
-    assert "description: " + "y" * 120 + "\n---" in md and "```python\nsolve()\n```" in md
+    assert "description: " + "y" * 120 + "\n---" in md and tx.STAND_IN_CODE in md
