@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from imagora.llm.common import small, stage
 
 ROUNDS = 40
-SALTS = 16
 
 # fixed values: field types and the variant types they admit
 TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"],
@@ -93,7 +92,6 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     one = stage(one, "calls")
     levels = depths(one.select("call_id", F.when(F.col("parent_id") != F.col("call_id"), F.col("parent_id"))
                                .alias("parent_id")))
-    # results per call are counted in two steps, since one id may hold many
     said = results.filter("call_id IS NOT NULL").groupBy("call_id").agg(
         F.count(F.lit(1)).alias("n_results"), F.min("content").alias("content"))
     fields = schemas.groupBy("tool").agg(F.sort_array(F.collect_set(
