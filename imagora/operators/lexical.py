@@ -17,31 +17,46 @@ B = 0.75
 _DOC_MARK = ""
 
 
+def _counted(tokens: Column) -> Column:
+    """Array of (token, tf) of one row's tokens, and the mark.
+
+    Sorting inside the row brings equal tokens together; a token's count is the
+    distance between the starts of two runs. One-element arrays bind the sorted
+    tokens and the starts, so each is computed once.
+    """
+    def runs(s: Column, starts: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(starts, i + F.lit(1)), F.size(s) + F.lit(1))
+        return F.transform(starts, lambda p, i: F.struct(
+            F.get(s, p - F.lit(1)).alias("token"), (end(i) - p).cast("bigint").alias("tf")))
+
+    def first_of_run(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s))).otherwise(
+            F.array().cast("array<int>"))
+        return F.filter(places, lambda i: (i == 1) | (F.get(s, i - F.lit(1)) != F.get(s, i - F.lit(2))))
+
+    nested = F.transform(F.array(F.sort_array(tokens)), lambda s: F.transform(
+        F.array(first_of_run(s)), lambda starts: runs(s, starts)))
+    mark = F.array(F.struct(F.lit(_DOC_MARK).alias("token"), F.lit(1).cast("bigint").alias("tf")))
+    return F.concat(F.get(F.get(nested, F.lit(0)), F.lit(0)), mark)
+
+
 def postings(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text",
-             vocabulary: DataFrame | None = None, broadcast: bool = False) -> DataFrame:
+             vocabulary: DataFrame | None = None) -> DataFrame:
     """(doc_id, dl, token, tf), plus one mark row per document (token '').
 
-    With a vocabulary only its tokens are kept; ``broadcast`` says its size was
-    checked. Rows are partitioned by
-    document, so counting, weighting and summing per document all happen in
-    the partition they land in.
+    Tokens are counted inside the document's row, so nothing is shuffled; ids
+    must be unique. ``vocabulary``, whose size the caller has checked, is
+    broadcast and only its tokens are kept.
     """
-    toks = corpus.select(F.col(doc_id).alias("doc_id"), tx.tokens(F.col(text)).alias("_t"))
-    rows = toks.select(
-        "doc_id", F.size("_t").cast("bigint").alias("dl"),
-        F.explode(F.concat("_t", F.array(F.lit(_DOC_MARK)))).alias("token"),
-    )
-    if vocabulary is not None:
-        marked = vocabulary.select("token").unionByName(
-            vocabulary.sparkSession.createDataFrame([(_DOC_MARK,)], "token string"))
-        # distinct tokens: the inner join keeps each row at most once
-        rows = rows.join(F.broadcast(marked), "token", "left_semi") if broadcast else \
-            sizing.salted_join(rows, marked, ["token"], F.col("doc_id"))
-    # stated here, the filter joins infer is the same in every branch, which lets
-    # them share this shuffle
-    rows = rows.filter(F.col("token").isNotNull())
-    return rows.repartition("doc_id").groupBy("doc_id", "dl", "token").agg(
-        F.count(F.lit(1)).alias("tf"))
+    toks = corpus.select(F.col(doc_id).alias("doc_id"),
+                         F.coalesce(tx.tokens(F.col(text)), F.array().cast("array<string>")).alias("_t"))
+    rows = toks.select("doc_id", F.size("_t").cast("bigint").alias("dl"),
+                       F.inline(_counted(F.col("_t"))))
+    if vocabulary is None:
+        return rows
+    marked = vocabulary.select("token").unionByName(
+        vocabulary.sparkSession.createDataFrame([(_DOC_MARK,)], "token string"))
+    return rows.join(F.broadcast(marked), "token", "left_semi").select("doc_id", "dl", "token", "tf")
 
 
 def token_table(posts: DataFrame) -> DataFrame:
@@ -79,19 +94,23 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "d
     # vocabulary and weights hold at most one row per query term, so the measured
     # size of the terms bounds both
     small = sizing.fits_broadcast(terms)
-    vocabulary = terms.select("token").distinct()
-    posts = index if index is not None else postings(corpus, doc_id, text, vocabulary, small)
+    if index is None:
+        # a vocabulary too large to broadcast filters little; the weights do it below
+        found = postings(corpus, doc_id, text, terms.select("token").distinct() if small else None)
+        # counted rows move once: as keys of a local grouping no column is pruned in
+        # any branch below, so all of them read this one exchange
+        posts = found.filter(F.col("token").isNotNull()).repartition("doc_id").select(
+            "doc_id", "dl", "token", "tf").distinct()
+    else:
+        posts = index
     marks = F.col("token") == _DOC_MARK
     freq = posts.groupBy("token").agg(
         F.count(F.lit(1)).alias("df"), F.sum("dl").alias("len_sum"))
-    size = freq.agg(
+    size = freq.agg(F.struct(
         F.max(F.when(marks, F.col("df"))).alias("n_docs"),
-        F.max(F.when(marks, F.col("len_sum") / F.col("df"))).alias("avgdl"),
-    ).withColumn("_one", F.lit(1))
-    idf = F.log((F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    # one row of totals joins the token table, so all branches read one shuffle
-    known = freq.select("token", "df", F.lit(1).alias("_one")).join(
-        F.broadcast(size), "_one").select("token", "avgdl", idf.alias("idf")).filter("idf > 0")
+        F.max(F.when(marks, F.col("len_sum") / F.col("df"))).alias("avgdl")).alias("size")).scalar()
+    idf = F.log((size["n_docs"] - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    known = freq.select("token", "len_sum", size["avgdl"].alias("avgdl"), idf.alias("idf")).filter("idf > 0 AND len_sum > 0")
     weights = terms.join(known, "token").select(
         "instance_id", "token", "avgdl", (F.col("qtf") * F.col("idf")).alias("w"))
     if small:
