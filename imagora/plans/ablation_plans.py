@@ -32,15 +32,35 @@ def _round(df, *names, digits=6):
 
 # ------------------------------------------------------------------ roll-ups
 
-@_register("pick_counts", ab.SQL_K + """
-SELECT k_samples, count(CASE WHEN pick = 'hypo_sentence' THEN 1 END) AS hypo_sentence,
-  count(CASE WHEN pick = 'hypo_passage' THEN 1 END) AS hypo_passage,
-  count(CASE WHEN pick = 'hypo_skill' THEN 1 END) AS hypo_skill FROM krt GROUP BY 1""")
+@_register("pick_counts", ab.SQL_K + "\nSELECT k_samples, " + ", ".join(
+    f"count(CASE WHEN pick = '{v}' THEN 1 END) AS {v}" for v in vs.VARIANTS) + " FROM krt GROUP BY 1")
 def pick_counts(spark, sf):
-    return ab.k_router(spark, sf).groupBy("k_samples").pivot("pick", list(ab.HYPO)).agg(
+    return ab.k_router(spark, sf).groupBy("k_samples").pivot("pick", list(vs.VARIANTS)).agg(
         F.count(F.lit(1))).na.fill(0)
 
 
+@_register("k_matrix", ab.SQL_K + """,
+sp AS (SELECT kar.*, unnest(['all', CASE WHEN is_validation THEN 'validation' ELSE 'test' END]) AS split
+  FROM kar JOIN kval USING (domain, instance_id) WHERE d IN (1, 5, 10, 50)),
+cell AS (SELECT k_samples, domain, variant, split, d, count(*) AS n, avg(rec) AS rec, avg(nd) AS nd FROM sp GROUP BY ALL),
+long AS (SELECT k_samples, domain, variant, split, 'Recall@' || d AS metric, n, rec AS value FROM cell
+  UNION ALL SELECT k_samples, domain, variant, split, 'nDCG@' || d, n, nd FROM cell)
+SELECT k_samples, domain, variant, split, metric, 'instances' AS unit, n, round(value, 6) AS value FROM long
+UNION ALL SELECT k_samples, '__all_micro__', variant, split, metric, 'instances', sum(n)::BIGINT, round(sum(value * n) / sum(n), 6)
+  FROM long GROUP BY ALL
+UNION ALL SELECT k_samples, '__all_macro__', variant, split, metric, 'domains', count(*), round(avg(value), 6) FROM long GROUP BY ALL""")
+def k_matrix(spark, sf):
+    """Every K, domain (and both roll-ups), variant (and routed), split and metric."""
+    keys = ["k_samples", "domain", "variant", "split"]
+    rows = metrics.with_splits(ab.k_metrics_with_routed(spark, sf), es.validation(spark, sf))
+    names = [f"{family}@{d}" for d in metrics.DEPTHS for family in ("Recall", "nDCG")]
+    means = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(F.col(f"`{m}`")).alias(m) for m in names])
+    cells = metrics.to_long(means, [*keys, "n"]).withColumn("unit", F.lit("instances"))
+    both = metrics.micro_macro(cells, ["k_samples", "variant", "split", "metric"])
+    return _round(cells.unionByName(both), "value")
+
+
 @_register("k_curve", ab.SQL_K + """,
 m AS (SELECT variant, k_samples, avg(value) AS value FROM ksr GROUP BY ALL)
 SELECT variant, round(max(CASE WHEN k_samples = 1 THEN value END), 6) AS k1, round(max(CASE WHEN k_samples = 2 THEN value END), 6) AS k2,
@@ -301,18 +321,20 @@ def fleet_paired(spark, sf):
 # ------------------------------------------------------------------ completeness over the matrix
 
 @_register("matrix_gaps", ab.SQL_K + """,
-have AS (SELECT DISTINCT k_samples, domain, variant FROM ksr),
-want AS (SELECT k_samples, domain, variant FROM kk, (SELECT DISTINCT domain FROM q),
+have AS (SELECT DISTINCT k_samples, domain, CASE WHEN k_samples = 2 AND variant = 'fused' THEN 'fused_old' ELSE variant END AS variant FROM ksr),
+want AS (SELECT k::INTEGER AS k_samples, domain, variant FROM kk, (SELECT DISTINCT domain FROM q),
   (VALUES ('hypo_sentence'), ('hypo_passage'), ('hypo_skill'), ('fused'), ('two_stage'), ('routed')) v(variant))
 SELECT k_samples, domain, variant, 'missing' AS problem FROM (SELECT * FROM want EXCEPT SELECT * FROM have)
 UNION ALL SELECT k_samples, domain, variant, 'extra' FROM (SELECT * FROM have EXCEPT SELECT * FROM want)""")
 def matrix_gaps(spark, sf):
-    """The K runs hold only single-vector variants; the rest shows as missing."""
+    """The matrix is whole; renaming one variant at one K shows both problems."""
     grid = F.array(*[F.struct(F.lit(k).alias("k_samples"), F.lit(v).alias("variant"))
                      for k in vs.K_VALUES for v in (*vs.VARIANTS, "routed")])
     want = vs.query_ids(spark, sf).select("domain").distinct().select(
         "domain", F.explode(grid).alias("g")).select("g.k_samples", "domain", "g.variant")
-    have = ab.k_scores_with_routed(spark, sf).select("k_samples", "domain", "variant").distinct()
+    renamed = F.when((F.col("k_samples") == 2) & (F.col("variant") == "fused"), F.lit("fused_old")).otherwise(
+        F.col("variant"))
+    have = ab.k_scores_with_routed(spark, sf).select("k_samples", "domain", renamed.alias("variant")).distinct()
     return checks.matrix_gaps(want, have, ["k_samples", "domain", "variant"])
 
 

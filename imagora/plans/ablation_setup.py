@@ -1,7 +1,6 @@
 """Runs over several K, arm outcomes, and a models x domains matrix.
 
-``k_scores`` re-runs the single-vector variants of the vector experiment at
-every K. ``cells`` reads orders by region (model), market segment (domain),
+``k_metrics`` re-runs all variants of the vector experiment at every K. ``cells`` reads orders by region (model), market segment (domain),
 priority (K) and status (variant).
 """
 
@@ -10,63 +9,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imagora.operators import dense, hypothesis, metrics, routing, splits
+from imagora.operators import metrics, routing, splits
 from imagora.plans import eval_setup as es
 from imagora.plans import vector_setup as vs
 from imagora.plans.tables import load, staged
 
 K_OF_PRIORITY = {"1": 1, "2": 2, "3": 4, "4": 8, "5": 10}
-HYPO = ("hypo_sentence", "hypo_passage", "hypo_skill")
-
-
-def build_k_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """(k_samples, domain, variant, instance_id, value): nDCG@10 at every K.
-
-    One sample table serves all K, since K is a bound on the sample index, and
-    one pass over the library scores them all.
-    """
-    ks = F.filter(F.array(*[F.lit(k) for k in vs.K_VALUES]), lambda k: k > F.col("sample_index"))
-    smp = vs.samples(spark, sf, k=vs.K_MAX).select(
-        "instance_id", "sample_index", "vec", F.concat(F.lit("hypo_"), "template").alias("variant"),
-        F.explode(ks).alias("k_samples"))
-    grid = F.array(*[F.struct(F.lit(k).alias("k_samples"), F.lit(v).alias("variant"))
-                     for k in vs.K_VALUES for v in HYPO])
-    qv = vs.queries(spark, sf).select("instance_id", "vec", F.explode(grid).alias("g")).select(
-        "g.k_samples", "g.variant", "instance_id", "vec")
-    keys = ("k_samples", "variant", "instance_id")
-    qs = hypothesis.centroid_with_query(smp, qv, None, keys).select(
-        *keys, F.lit("full").alias("field"), "vec")
-    hits = dense.search(vs.library(spark, sf, ("full",)), qs, 10, keys).drop("field")
+
+
+def build_k_metrics(spark: SparkSession, sf: str) -> DataFrame:
     known = vs.gold(spark, sf).select("instance_id").distinct()
-    run = hits.join(vs.query_ids(spark, sf), "instance_id").join(known, "instance_id", "left_semi")
-    wide = metrics.per_instance_wide(run, vs.gold(spark, sf), ("k_samples", "domain", "variant"), (10,))
-    return wide.select("k_samples", "domain", "variant", "instance_id",
-                       F.col("`nDCG@10`").alias("value"))
+    run = vs.build_k_run(spark, sf).join(known, "instance_id", "left_semi")
+    return metrics.per_instance_wide(run, vs.gold(spark, sf), ("k_samples", "domain", "variant"))
+
+
+def k_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """(k_samples, domain, variant, instance_id, Recall@d..., nDCG@d...), written once."""
+    return staged(spark, sf, "k_metrics", lambda: build_k_metrics(spark, sf))
+
+
+def _value(rows: DataFrame) -> DataFrame:
+    return rows.select("k_samples", "domain", "variant", "instance_id", F.col("`nDCG@10`").alias("value"))
 
 
 def k_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return staged(spark, sf, "k_scores", lambda: build_k_scores(spark, sf))
+    """(k_samples, domain, variant, instance_id, value): nDCG@10 at every K."""
+    return _value(k_metrics(spark, sf))
 
 
 def k_router(spark: SparkSession, sf: str) -> DataFrame:
-    """(k_samples, domain, pick, degenerate): one routing per K."""
+    """(k_samples, domain, pick, best, degenerate, n_val): one routing per K."""
     val = es.validation(spark, sf)
     ks = k_scores(spark, sf).withColumn(
         "domain", F.concat_ws("|", F.col("k_samples").cast("string"), "domain"))
     grid = val.withColumn("k", F.explode(F.array(*[F.lit(k) for k in vs.K_VALUES]))).select(
         F.concat_ws("|", F.col("k").cast("string"), "domain").alias("domain"),
         "instance_id", "is_validation")
-    routed = routing.route(ks, grid, HYPO)
+    routed = routing.route(ks, grid, routing.STRICT_ORDER)
     return routed.select(
         F.substring_index("domain", "|", 1).cast("int").alias("k_samples"),
         F.substring_index("domain", "|", -1).alias("domain"), "pick", "best", "degenerate", "n_val")
 
 
-def k_scores_with_routed(spark: SparkSession, sf: str) -> DataFrame:
-    base = k_scores(spark, sf)
-    picks = k_router(spark, sf).select("k_samples", "domain", F.col("pick").alias("variant"))
+def k_metrics_with_routed(spark: SparkSession, sf: str) -> DataFrame:
+    base = k_metrics(spark, sf)
+    # one row per K and domain
+    picks = F.broadcast(k_router(spark, sf).select("k_samples", "domain", F.col("pick").alias("variant")))
     routed = base.join(picks, ["k_samples", "domain", "variant"]).withColumn("variant", F.lit("routed"))
-    return base.unionByName(routed.select(*base.columns))
+    return base.unionByName(routed.select(*[F.col(f"`{c}`") for c in base.columns]))
+
+
+def k_scores_with_routed(spark: SparkSession, sf: str) -> DataFrame:
+    return _value(k_metrics_with_routed(spark, sf))
 
 
 def k_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,39 +129,24 @@ trade AS (SELECT 'm' || n_regionkey AS model, c_mktsegment AS domain,
 cells AS (SELECT model, domain, k_samples, variant, count(*) AS n, avg(price) AS value, 'instances' AS unit
   FROM trade GROUP BY ALL)"""
 
-SQL_K = es.SQL_SCORES.replace(vs.sql_run(), "", 1)
-SQL_K = vs.sql_run() + SQL_K + """,
-samp10 AS (SELECT a.vec_id AS instance_id, a.template, a.i AS sample_index, b.v
-  FROM (SELECT vec_id, label, t.template, t.off, i.i FROM e,
-    (VALUES ('sentence', 1), ('passage', 2), ('skill', 3)) t(template, off), range(10) i(i)) a
-  JOIN e b ON b.vec_id = a.vec_id + a.off + a.i AND b.label >= a.label),
-kk(k_samples) AS (VALUES (1), (2), (4), (8), (10)),
-kpos AS (SELECT k_samples, template, instance_id, pos, avg(x) AS x FROM (
-    SELECT k_samples, template, instance_id, unnest(v) AS x, unnest(range(1, 65)) AS pos FROM samp10 JOIN kk ON sample_index < k_samples
-    UNION ALL SELECT k_samples, template, instance_id, unnest(v), unnest(range(1, 65))
-    FROM q, kk, (VALUES ('sentence'), ('passage'), ('skill')) t(template)) GROUP BY ALL),
-kcent AS (SELECT k_samples, template, instance_id, """ + vs.sql_norm("v") + """ AS v FROM (
-    SELECT k_samples, template, instance_id, list(x ORDER BY pos) AS v FROM kpos GROUP BY ALL)),
-khit AS (SELECT k_samples, template, instance_id, doc_id, rank FROM (
-    SELECT c.k_samples, c.template, c.instance_id, e.vec_id AS doc_id, row_number() OVER (
-      PARTITION BY c.k_samples, c.template, c.instance_id
-      ORDER BY round(list_dot_product(c.v, e.v), 6) DESC, e.vec_id) AS rank FROM kcent c, e) WHERE rank <= 10),
-ksc AS (SELECT c.k_samples, q.domain, 'hypo_' || c.template AS variant, c.instance_id,
-    coalesce(sum(1 / log2(h.rank + 1)), 0) / any_value(idl.ideal) AS value
-  FROM kcent c JOIN q USING (instance_id) JOIN ng USING (instance_id) JOIN idl ON idl.n = ng.n AND idl.d = 10
-  LEFT JOIN (khit JOIN gold USING (instance_id, doc_id)) h
-    ON h.k_samples = c.k_samples AND h.template = c.template AND h.instance_id = c.instance_id
-  GROUP BY c.k_samples, q.domain, c.template, c.instance_id),
+SQL_K = es.SQL_SCORES.replace(vs.sql_run(), vs.sql_run(vs.sql_base_over_k()), 1) + """,
+kall AS MATERIALIZED (SELECT (instance_id % 100)::INTEGER AS k_samples, domain, variant, instance_id // 100 AS instance_id, d, rec, nd FROM pi),
+kval AS (SELECT domain, instance_id, rn <= greatest(1, floor(0.2::DOUBLE * n)) AS is_validation FROM (
+  SELECT domain, instance_id, count(*) OVER (PARTITION BY domain) AS n,
+    row_number() OVER (PARTITION BY domain ORDER BY md5('0:' || instance_id), instance_id) AS rn
+  FROM (SELECT DISTINCT domain, instance_id FROM kall))),
+ksc AS (SELECT k_samples, domain, variant, instance_id, nd AS value FROM kall WHERE d = 10),
 kvs AS (SELECT k_samples, domain, variant, avg(value) AS score, count(*) AS n_val FROM ksc
-  JOIN val USING (domain, instance_id) WHERE is_validation GROUP BY ALL),
-kord(variant, o) AS (VALUES ('hypo_sentence', 1), ('hypo_passage', 2), ('hypo_skill', 3)),
+  JOIN kval USING (domain, instance_id) WHERE is_validation GROUP BY ALL),
+kord(variant, o) AS (VALUES ('hypo_sentence', 1), ('hypo_passage', 2), ('hypo_skill', 3), ('fused', 4), ('two_stage', 5)),
 krt AS (SELECT k_samples, domain, CASE WHEN max(score) <= 0 THEN 'hypo_skill'
     ELSE first(variant ORDER BY round(score, 10) DESC, o) END AS pick, max(score) AS best, max(score) <= 0 AS degenerate,
     max(n_val) AS n_val FROM kvs JOIN kord USING (variant) GROUP BY ALL),
-ksr AS (SELECT * FROM ksc UNION ALL SELECT s.k_samples, s.domain, 'routed', s.instance_id, s.value
-  FROM ksc s JOIN krt r ON r.k_samples = s.k_samples AND r.domain = s.domain AND r.pick = s.variant),
+kar AS (SELECT * FROM kall UNION ALL SELECT s.k_samples, s.domain, 'routed', s.instance_id, s.d, s.rec, s.nd
+  FROM kall s JOIN krt r ON r.k_samples = s.k_samples AND r.domain = s.domain AND r.pick = s.variant),
+ksr AS (SELECT k_samples, domain, variant, instance_id, nd AS value FROM kar WHERE d = 10),
 kpair AS (SELECT a.variant, a.k_samples, a.domain, a.instance_id, a.value AS a, b.value AS b, a.value - b.value AS v
-  FROM ksr a JOIN ksr b USING (domain, variant, instance_id) JOIN val USING (domain, instance_id)
+  FROM ksr a JOIN ksr b USING (domain, variant, instance_id) JOIN kval USING (domain, instance_id)
   WHERE a.k_samples <> 4 AND b.k_samples = 4 AND NOT is_validation)"""
 
 SQL_OUT = """

@@ -151,6 +151,65 @@ def run(spark: SparkSession, sf: str) -> DataFrame:
     return staged(spark, sf, "vector_run", lambda: build_run(spark, sf))
 
 
+def build_k_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """(k_samples, variant, instance_id, field, doc_id, score, rank): the paths of
+    every single-vector and fused query at every K, from one pass over the library.
+
+    One sample table serves all K, since K is a bound on the sample index.
+    """
+    keys = ("k_samples", "instance_id")
+    smp = k_samples(spark, sf)
+    qv = queries(spark, sf).select(F.explode(_k_array()).alias("k_samples"), "instance_id", "vec")
+    fields = hypothesis.field_centroids(
+        field_rows(smp.filter("template = 'skill'"), [*keys, "sample_index"], "sample_label",
+                   ("meta", "body", "code")),
+        qv.select(*keys, _field(F.col("vec"), "meta").alias("vec")), None, keys)
+    lex = qv.select(*keys, F.lit("lex").alias("field"), _field(F.col("vec"), "lex").alias("vec"))
+    bare = qv.join(smp.filter("template = 'skill'").select(*keys).distinct(), list(keys), "left_anti").select(
+        *keys, F.lit("full").alias("field"), "vec")
+    fused = fields.unionByName(lex).unionByName(bare).withColumn("variant", F.lit("fused"))
+    hypo = k_centroids(spark, sf, tuple(OFFSETS)).withColumn("field", F.lit("full"))
+    cols = ["k_samples", "variant", "instance_id", "field", "vec"]
+    return dense.search(library(spark, sf), hypo.select(*cols).unionByName(fused.select(*cols)),
+                        fusion.PATH_DEPTH, ("k_samples", "variant", "instance_id"))
+
+
+def _k_array():
+    return F.array(*[F.lit(k) for k in K_VALUES])
+
+
+def k_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """The samples of every K: a sample appears once for each K above its index."""
+    used = F.filter(_k_array(), lambda k: k > F.col("sample_index"))
+    return samples(spark, sf, k=K_MAX).withColumn("k_samples", F.explode(used))
+
+
+def k_centroids(spark: SparkSession, sf: str, templates: tuple[str, ...]) -> DataFrame:
+    """(k_samples, variant, instance_id, vec): query + sample centroids at every K."""
+    keys = ("k_samples", "variant", "instance_id")
+    smp = k_samples(spark, sf).filter(F.col("template").isin(*templates)).withColumn(
+        "variant", F.concat(F.lit("hypo_"), "template"))
+    names = F.array(*[F.lit(f"hypo_{t}") for t in templates])
+    qv = queries(spark, sf).select("instance_id", "vec", F.explode(names).alias("variant")).select(
+        "variant", "instance_id", "vec", F.explode(_k_array()).alias("k_samples"))
+    return hypothesis.centroid_with_query(smp, qv, None, keys).select(*keys, "vec")
+
+
+def build_k_run(spark: SparkSession, sf: str) -> DataFrame:
+    """(k_samples, domain, variant, instance_id, doc_id, score, rank): all five variants at every K."""
+    paths = staged(spark, sf, "k_paths", lambda: build_k_paths(spark, sf))
+    keys = ("k_samples", "instance_id")
+    cols = ["k_samples", "variant", "instance_id", "doc_id", "score", "rank"]
+    hypo = paths.filter((F.col("variant") != "fused") & (F.col("rank") <= fusion.TOP_K))
+    fused = fusion.rrf(paths.filter(F.col("variant") == "fused"), keys)
+    two = fusion.rerank_cosine(fused.select(*keys, "doc_id", "rank"),
+                               k_centroids(spark, sf, ("skill",)).select(*keys, "vec"),
+                               full_vectors(spark, sf), fusion.TOP_K, keys)
+    return hypo.select(*cols).unionByName(
+        fused.withColumn("variant", F.lit("fused")).select(*cols)).unionByName(
+        two.withColumn("variant", F.lit("two_stage")).select(*cols)).join(query_ids(spark, sf), "instance_id")
+
+
 # ------------------------------------------------------------------ oracle SQL
 
 def sql_norm(v: str) -> str:
@@ -231,9 +290,26 @@ fused AS (SELECT * FROM (SELECT instance_id, doc_id, score,
           WHERE rank <= 50)"""
 
 
-def sql_run(k: int = K) -> str:
+def sql_base_over_k() -> str:
+    """The base tables for every K at once: instance_id is vec_id * 100 + K."""
+    offs = ", ".join(f"('{t}', {o})" for t, o in OFFSETS.items())
+    return f"""
+kk(k) AS (VALUES {', '.join(f'({k})' for k in K_VALUES)}),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
+q AS (SELECT vec_id * 100 + k AS instance_id, 'd' || CAST(label // 2 AS VARCHAR) AS domain, v FROM e, kk),
+gold AS (SELECT a.vec_id * 100 + k AS instance_id, b.vec_id AS doc_id
+         FROM (SELECT vec_id, unnest(range(1, {GOLD_SPAN + 1})) AS o FROM e) a
+         JOIN e b ON b.vec_id = a.vec_id + a.o, kk),
+samp AS (SELECT a.vec_id * 100 + k AS instance_id, a.template, a.i AS sample_index,
+                b.label AS sample_label, b.v
+         FROM (SELECT vec_id, label, t.template, t.off, i.i FROM e,
+               (VALUES {offs}) t(template, off), range({K_MAX}) i(i)) a
+         JOIN e b ON b.vec_id = a.vec_id + a.off + a.i AND b.label >= a.label JOIN kk ON a.i < k)"""
+
+
+def sql_run(base: str = "") -> str:
     """CTE chain ending in run(domain, variant, instance_id, doc_id, score, rank)."""
-    return "WITH " + sql_base(k) + "," + sql_cent() + "," + sql_library() + "," + sql_fields() + """,
+    return "WITH " + (base or sql_base()) + "," + sql_cent() + "," + sql_library() + "," + sql_fields() + """,
 hypo AS (SELECT * FROM (SELECT 'hypo_' || template AS variant, instance_id, doc_id, score,
            row_number() OVER (PARTITION BY template, instance_id ORDER BY score DESC, doc_id) AS rank
          FROM (SELECT c.template, c.instance_id, e.vec_id AS doc_id,
