@@ -1,7 +1,7 @@
 """Bootstrap of means: paired, stratified and hierarchical.
 
-Two engines give the replicate means. ``hashed_means`` draws indices from md5,
-so SQL can repeat it draw by draw. ``multinomial_means`` is for large groups:
+Two engines give the replicate means. ``hashed_means`` draws indices by integer
+mixing, so SQL can repeat it draw by draw. ``multinomial_means`` is for large groups:
 equal values are counted first, the draws of a replicate are split over chunks
 of distinct values and then inside each chunk, and no draw ever becomes a row.
 """
@@ -16,13 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from imagora.functions.hashing import draw
+from imagora.functions.hashing import MULTIPLIERS, SHIFTS, WORD_MASK, draw, mix_word, seed_word
 from imagora.operators import ranking, sizing
 
 MEAN_DIGITS = 12
 CHUNK_VALUES = 1 << 16
 REPLICATE_BLOCK = 1024
 SLAB_CELLS = 1 << 22
+# draws a task holds at a time; they stay in the processor's cache
+DRAW_CELLS = 1 << 16
 
 
 def named_seed(key: str, base_seed: int = 0) -> int:
@@ -34,24 +36,65 @@ def named_seed(key: str, base_seed: int = 0) -> int:
 def hashed_means(values: DataFrame, group: Sequence[str], value: str, replicates: int,
                  seed: int | str = 0) -> DataFrame:
     """(group, replicate, mean): each replicate draws n rows of the group with
-    replacement; slot i of replicate b takes index md5(seed:group:b:i) mod n."""
-    rows = values.select(*group, "instance_id", F.col(value).alias("_v"))
-    ranked = ranking.hashed_rank(rows, group, ["instance_id"], seed).select(
-        *group, "draw_rank", "group_n", "_v")
-    if sizing.fits_broadcast(rows):
-        # one row per measured row: small enough to broadcast, so the draws stay
-        # where they are made and only replicate sums move
-        lookup = F.broadcast(ranked.select(*group, "draw_rank", "_v"))
-    else:
-        lookup = ranked.select(*group, "draw_rank", "_v")
+    replacement. Slot i of replicate b takes index mix(mix(i) xor mix(word + b)) mod n,
+    where word is the digest of seed:group; groups hold fewer than 2^31 rows."""
+    rows = values.select(*group, "instance_id", F.col(value).cast("double").alias("_v"))
     key = F.concat_ws(":", F.lit(str(seed)), *[F.col(g).cast("string") for g in group])
-    drawn = sizing.fan_out(ranked, *group, "draw_rank").select(
-        *group, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
-        F.col("draw_rank").alias("_slot"), "group_n", key.alias("_k"),
-    ).select(*group, "replicate",
-             draw(F.col("_k"), F.col("replicate"), F.col("_slot"), F.col("group_n")).alias("draw_rank"))
-    return drawn.join(lookup, [*group, "draw_rank"]).groupBy(*group, "replicate").agg(
-        F.round(F.avg("_v"), MEAN_DIGITS).alias("mean"))
+    # digests and slot words once per row, before the rows multiply
+    worded = ranking.hashed_rank(rows, group, ["instance_id"], seed).select(
+        *group, "draw_rank", "group_n", "_v", seed_word(key).alias("_k"),
+        mix_word(F.col("draw_rank").cast("bigint")).alias("_slot"))
+    # a measured table of this size bounds every group in it
+    draws = _array_draws if sizing.fits_broadcast(rows) else _joined_draws
+    return draws(worded, group, replicates).withColumn("mean", F.round("mean", MEAN_DIGITS))
+
+
+def _array_draws(worded: DataFrame, group: Sequence[str], replicates: int) -> DataFrame:
+    """Draws of small groups as arrays: a task holds one group and one block of
+    replicates, and no draw becomes a row."""
+    g = list(group)
+    blocks = -(-replicates // REPLICATE_BLOCK)
+    fields = ", ".join(f"`{c}` {worded.schema[c].dataType.simpleString()}" for c in g)
+
+    def mixed(word: np.ndarray) -> np.ndarray:
+        for factor, shift in zip(MULTIPLIERS, SHIFTS):
+            word = (word * factor) & WORD_MASK
+            word ^= word >> shift
+        return word
+
+    def means(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("draw_rank")
+        v, slot = pdf["_v"].to_numpy(), pdf["_slot"].to_numpy(dtype=np.int64)
+        first = int(pdf["_block"].iloc[0]) * REPLICATE_BLOCK
+        reps = np.arange(first, min(replicates, first + REPLICATE_BLOCK), dtype=np.int64)
+        word = mixed((int(pdf["_k"].iloc[0]) + reps) & WORD_MASK)
+        slab = max(1, DRAW_CELLS // len(v))
+        out = np.concatenate([
+            v[mixed(word[i:i + slab, None] ^ slot[None, :]) % len(v)].mean(axis=1)
+            for i in range(0, len(reps), slab)])
+        table = pd.DataFrame({"replicate": reps, "mean": out})
+        for c in reversed(g):
+            table.insert(0, c, pdf[c].iloc[0])
+        return table
+
+    each = worded.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    parts = int(worded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return each.repartition(parts, *g, "_block").groupBy(*g, "_block").applyInPandas(
+        means, f"{fields}, replicate int, mean double")
+
+
+def _joined_draws(worded: DataFrame, group: Sequence[str], replicates: int) -> DataFrame:
+    """Draws of groups of any size as rows that look up their values by a join."""
+    each = sizing.fan_out(worded, *group, "draw_rank").select(
+        *group, "group_n", "_k", "_slot",
+        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    words = each.select(
+        *group, "group_n", "replicate",
+        F.col("_slot").bitwiseXOR(mix_word((F.col("_k") + F.col("replicate")).bitwiseAND(F.lit(WORD_MASK))))
+        .alias("_word"))
+    drawn = words.select(*group, "replicate", (mix_word(F.col("_word")) % F.col("group_n")).alias("draw_rank"))
+    return drawn.join(worded.select(*group, "draw_rank", "_v"), [*group, "draw_rank"]).groupBy(
+        *group, "replicate").agg(F.avg("_v").alias("mean"))
 
 
 def multinomial_means(values: DataFrame, group: Sequence[str], value: str, replicates: int,

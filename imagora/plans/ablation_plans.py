@@ -11,8 +11,7 @@ from imagora.plans import vector_setup as vs
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-B_PAIR = 1000
-B_GROUP = 200
+REPLICATES = 10_000
 
 
 def _register(name, sql=None):
@@ -149,33 +148,33 @@ _SQL_VP = es.SQL_SCORES + """, vp AS (SELECT 'two_stage-hypo_skill' AS compariso
   FROM pi x JOIN pi y USING (domain, instance_id, d) WHERE x.variant = 'two_stage' AND y.variant = 'hypo_skill' AND d = 10)"""
 
 
-@_register("bootstrap_paired", _SQL_VP + "," + ab.sql_means("bm", "vp", "comparison", B_PAIR) + f"""
+@_register("bootstrap_paired", _SQL_VP + "," + ab.sql_means("bm", "vp", "comparison", REPLICATES) + f"""
 SELECT (SELECT count(*) FROM vp) AS n, (SELECT round(avg(v), 6) FROM vp) AS difference, {ab.SQL_CI},
   round({ab.SQL_P_UNCAPPED}, 6) AS p_two_sided FROM bm""")
 def bootstrap_paired(spark, sf):
-    out = resample.paired(_variant_pairs(spark, sf), ["comparison"], B_PAIR, p_value="uncapped")
+    out = resample.paired(_variant_pairs(spark, sf), ["comparison"], REPLICATES, p_value="uncapped")
     return _round(out.select("n", "difference", "ci_low", "ci_high", "p_two_sided"),
                   "difference", "ci_low", "ci_high", "p_two_sided")
 
 
-@_register("bootstrap_stats", _SQL_VP + "," + ab.sql_means("bm", "vp", "comparison, domain", B_PAIR, "11") + f""",
+@_register("bootstrap_stats", _SQL_VP + "," + ab.sql_means("bm", "vp", "comparison, domain", REPLICATES, "11") + f""",
 o AS (SELECT domain, count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(v), 6) AS difference FROM vp GROUP BY 1)
 SELECT domain, any_value(n) AS n, any_value(mean_a) AS mean_a, any_value(mean_b) AS mean_b, any_value(difference) AS difference,
   {ab.SQL_CI}, {ab.SQL_P}, count(*) AS replicates FROM bm JOIN o USING (domain) GROUP BY domain""")
 def bootstrap_stats(spark, sf):
-    out = resample.paired(_variant_pairs(spark, sf), ["comparison", "domain"], B_PAIR, seed=11)
+    out = resample.paired(_variant_pairs(spark, sf), ["comparison", "domain"], REPLICATES, seed=11)
     return _round(out.drop("comparison", "dist_mean"),
                   "mean_a", "mean_b", "difference", "ci_low", "ci_high", "p_two_sided")
 
 
-@_register("bootstrap_macro", _SQL_VP + "," + ab.sql_means("bm", "vp", "comparison, domain", B_PAIR, "5") + f""",
+@_register("bootstrap_macro", _SQL_VP + "," + ab.sql_means("bm", "vp", "comparison, domain", REPLICATES, "5") + f""",
 mm AS (SELECT b, round(avg(mean), 12) AS mean FROM bm GROUP BY 1)
 SELECT (SELECT count(*) FROM vp) AS n_instances, (SELECT count(DISTINCT domain) FROM vp) AS n_strata,
   (SELECT round(avg(x), 6) FROM (SELECT avg(a) AS x FROM vp GROUP BY domain)) AS mean_a,
   (SELECT round(avg(x), 6) FROM (SELECT avg(b) AS x FROM vp GROUP BY domain)) AS mean_b,
   round(avg(mean), 6) AS difference, {ab.SQL_CI}, {ab.SQL_P}, count(*) AS replicates FROM mm""")
 def bootstrap_macro(spark, sf):
-    out = resample.macro(_variant_pairs(spark, sf), ["comparison"], "domain", B_PAIR, seed=5)
+    out = resample.macro(_variant_pairs(spark, sf), ["comparison"], "domain", REPLICATES, seed=5)
     return _round(out.drop("comparison"), "mean_a", "mean_b", "difference", "ci_low", "ci_high",
                   "p_two_sided")
 
@@ -210,13 +209,13 @@ p AS (SELECT domain, instance_id, is_validation, 'gated-vs-always' AS pair, gate
 ap AS (SELECT pair, domain || '/full' AS scope, domain || '|' || instance_id AS instance_id, v FROM p
   UNION ALL SELECT pair, 'pooled/full', domain || '|' || instance_id, v FROM p
   UNION ALL SELECT pair, domain || '/test', domain || '|' || instance_id, v FROM p WHERE NOT is_validation),
-{ab.sql_means('bm', 'ap', 'pair, scope', B_GROUP)},
+{ab.sql_means('bm', 'ap', 'pair, scope', REPLICATES)},
 o AS (SELECT pair, scope, count(*) AS n, round(avg(v), 6) AS delta FROM ap GROUP BY ALL)
 SELECT pair, scope, any_value(n) AS n, any_value(delta) AS delta,
   round(least(1.0::DOUBLE, 2 * least(count(CASE WHEN mean <= 0 THEN 1 END), count(*) - count(CASE WHEN mean <= 0 THEN 1 END)) / count(*)), 6) AS p
 FROM bm JOIN o USING (pair, scope) GROUP BY pair, scope""")
 def bootstrap_arms(spark, sf):
-    out = resample.paired(_arm_pairs(spark, sf), ["pair", "scope"], B_GROUP, p_value="one_count")
+    out = resample.paired(_arm_pairs(spark, sf), ["pair", "scope"], REPLICATES, p_value="one_count")
     return out.select("pair", "scope", "n", F.round("difference", 6).alias("delta"),
                       F.round("p_two_sided", 6).alias("p"))
 
@@ -224,7 +223,7 @@ def bootstrap_arms(spark, sf):
 @_register("bootstrap_multinomial")
 def bootstrap_multinomial(spark, sf):
     """The arm pairs at 10,000 replicates with counted values (numpy draws)."""
-    out = resample.paired(_arm_pairs(spark, sf), ["pair", "scope"], 10_000, p_value="one_count",
+    out = resample.paired(_arm_pairs(spark, sf), ["pair", "scope"], REPLICATES, p_value="one_count",
                           engine=resample.multinomial_means)
     return _round(out.drop("dist_mean"), "mean_a", "mean_b", "difference", "ci_low", "ci_high",
                   "p_two_sided")
@@ -241,13 +240,13 @@ _SQL_CELLP = ab.SQL_TRADE + """,
 cp0 AS (SELECT model, domain, k_samples, avg(price) AS value FROM trade GROUP BY ALL),
 cp AS (SELECT a.k_samples, model, domain, a.value AS a, b.value AS b, a.value - b.value AS v
   FROM cp0 a JOIN cp0 b USING (model, domain) WHERE a.k_samples <> 4 AND b.k_samples = 4)"""
-_SQL_HIER = """
+_SQL_HIER = f"""
 hu AS (SELECT k_samples, model, row_number() OVER (PARTITION BY k_samples ORDER BY md5('3:' || model), model) - 1 AS oi, count(*) OVER (PARTITION BY k_samples) AS onn
   FROM (SELECT DISTINCT k_samples, model FROM cp)),
 hi AS (SELECT k_samples, domain, row_number() OVER (PARTITION BY k_samples ORDER BY md5('3:' || domain), domain) - 1 AS ii, count(*) OVER (PARTITION BY k_samples) AS inn
   FROM (SELECT DISTINCT k_samples, domain FROM cp)),
 hs AS (SELECT k_samples, onn, inn, b, i, ('0x' || substr(md5('3:' || k_samples || ':' || b || ':' || i), 1, 8))::BIGINT % onn AS oi
-  FROM (SELECT DISTINCT k_samples, onn FROM hu) JOIN (SELECT DISTINCT k_samples, inn FROM hi) USING (k_samples), range(1000) t(b), range(100) s(i) WHERE i < onn),
+  FROM (SELECT DISTINCT k_samples, onn FROM hu) JOIN (SELECT DISTINCT k_samples, inn FROM hi) USING (k_samples), range({REPLICATES}) t(b), range(100) s(i) WHERE i < onn),
 hd AS (SELECT k_samples, b, oi, ('0x' || substr(md5('3:' || k_samples || ':' || i || ':' || b || ':' || j), 1, 8))::BIGINT % inn AS ii
   FROM hs, range(100) s(j) WHERE j < inn),
 hm AS (SELECT hd.k_samples, hd.b, round(avg(v), 12) AS mean FROM hd JOIN hu USING (k_samples, oi) JOIN hi USING (k_samples, ii)
@@ -260,16 +259,16 @@ o AS (SELECT k_samples, count(DISTINCT model) AS n_outer, count(DISTINCT domain)
 SELECT k_samples, any_value(n_outer) AS n_outer, any_value(n_inner) AS n_inner, any_value(mean_a) AS mean_a, any_value(mean_b) AS mean_b,
   any_value(difference) AS difference, {ab.SQL_CI}, {ab.SQL_P}, count(*) AS replicates FROM hm JOIN o USING (k_samples) GROUP BY k_samples""")
 def bootstrap_hier(spark, sf):
-    out = resample.hierarchical(_cell_pairs(spark, sf), ["k_samples"], "model", "domain", B_PAIR, seed=3)
+    out = resample.hierarchical(_cell_pairs(spark, sf), ["k_samples"], "model", "domain", REPLICATES, seed=3)
     return _round(out, "mean_a", "mean_b", "difference", "ci_low", "ci_high", "p_two_sided")
 
 
 @_register("paired_report", ab.SQL_K + f""",
 micro AS (SELECT variant, k_samples, 'micro' AS scope, domain || '|' || instance_id AS instance_id, a, b, v FROM kpair
   UNION ALL SELECT variant, k_samples, 'domain:' || domain, domain || '|' || instance_id, a, b, v FROM kpair WHERE variant = 'routed'),
-{ab.sql_means('bm', 'micro', 'variant, k_samples, scope', B_GROUP)},
+{ab.sql_means('bm', 'micro', 'variant, k_samples, scope', REPLICATES)},
 o AS (SELECT variant, k_samples, scope, count(*) AS n, avg(a) AS mean_k, avg(b) AS mean_k4, avg(v) AS difference FROM micro GROUP BY ALL),
-{ab.sql_means('dm', 'kpair', 'variant, k_samples, domain', B_GROUP)},
+{ab.sql_means('dm', 'kpair', 'variant, k_samples, domain', REPLICATES)},
 mm AS (SELECT variant, k_samples, b, round(avg(mean), 12) AS mean FROM dm GROUP BY ALL),
 mo AS (SELECT variant, k_samples, sum(n)::BIGINT AS n, avg(a) AS mean_k, avg(b) AS mean_k4 FROM (
   SELECT variant, k_samples, domain, count(*) AS n, avg(a) AS a, avg(b) AS b FROM kpair GROUP BY ALL) GROUP BY ALL)
@@ -286,9 +285,9 @@ def paired_report(spark, sf):
         "instance_id", F.concat_ws("|", "domain", F.col("instance_id").cast("string")))
     cols = ["variant", "k_samples", "scope", "n", "mean_k", "mean_k4", "difference", "ci_low",
             "ci_high", "p_two_sided"]
-    plain = resample.paired(scoped, ["variant", "k_samples", "scope"], B_GROUP).withColumnsRenamed(
+    plain = resample.paired(scoped, ["variant", "k_samples", "scope"], REPLICATES).withColumnsRenamed(
         {"mean_a": "mean_k", "mean_b": "mean_k4"})
-    macro = resample.macro(pairs, ["variant", "k_samples"], "domain", B_GROUP).withColumnsRenamed(
+    macro = resample.macro(pairs, ["variant", "k_samples"], "domain", REPLICATES).withColumnsRenamed(
         {"mean_a": "mean_k", "mean_b": "mean_k4", "n_instances": "n"}).withColumn("scope", F.lit("macro"))
     return _round(plain.select(*cols).unionByName(macro.select(*cols)),
                   "mean_k", "mean_k4", "difference", "ci_low", "ci_high", "p_two_sided")
@@ -297,7 +296,7 @@ def paired_report(spark, sf):
 @_register("fleet_paired", f"WITH {_SQL_CELLP}, {_SQL_HIER}, " + f"""
 fu AS (SELECT k_samples, 'macro' AS scope, model AS instance_id, avg(a) AS a, avg(b) AS b, avg(a) - avg(b) AS v FROM cp GROUP BY ALL
   UNION ALL SELECT k_samples, 'domain:' || domain, model, a, b, v FROM cp),
-{ab.sql_means('bm', 'fu', 'k_samples, scope', B_PAIR)},
+{ab.sql_means('bm', 'fu', 'k_samples, scope', REPLICATES)},
 o AS (SELECT k_samples, scope, count(*) AS n, avg(v) AS difference FROM fu GROUP BY ALL)
 SELECT k_samples, scope, any_value(n) AS n_units, round(any_value(difference), 6) AS difference, {ab.SQL_CI}, {ab.SQL_P}
 FROM bm JOIN o USING (k_samples, scope) GROUP BY k_samples, scope
@@ -310,8 +309,8 @@ def fleet_paired(spark, sf):
         F.avg("a").alias("a"), F.avg("b").alias("b")).withColumn("scope", F.lit("macro"))
     by_domain = cells.select("k_samples", F.col("model").alias("instance_id"), "a", "b",
                              F.concat(F.lit("domain:"), "domain").alias("scope"))
-    units = resample.paired(by_model.unionByName(by_domain), ["k_samples", "scope"], B_PAIR)
-    hier = resample.hierarchical(cells, ["k_samples"], "model", "domain", B_PAIR, seed=3).withColumn(
+    units = resample.paired(by_model.unionByName(by_domain), ["k_samples", "scope"], REPLICATES)
+    hier = resample.hierarchical(cells, ["k_samples"], "model", "domain", REPLICATES, seed=3).withColumn(
         "scope", F.lit("hierarchical")).withColumnRenamed("n_outer", "n")
     cols = ["k_samples", "scope", "n", "difference", "ci_low", "ci_high", "p_two_sided"]
     return _round(units.select(*cols).unionByName(hier.select(*cols)).withColumnRenamed("n", "n_units"),

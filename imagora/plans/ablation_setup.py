@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from imagora.functions import hashing
 from imagora.operators import metrics, routing, splits
 from imagora.plans import eval_setup as es
 from imagora.plans import vector_setup as vs
@@ -161,14 +162,25 @@ oval AS (SELECT domain, instance_id, rn <= greatest(1, floor(0.2::DOUBLE * n)) A
     row_number() OVER (PARTITION BY domain ORDER BY md5('0:' || instance_id), instance_id) AS rn FROM lab))"""
 
 
+def sql_mix(word: str) -> str:
+    """`hashing.mix_word` in SQL."""
+    for factor, shift in zip(hashing.MULTIPLIERS, hashing.SHIFTS):
+        word = f"(({word}) * {factor} & {hashing.WORD_MASK})"
+        word = f"xor({word}, {word} >> {shift})"
+    return word
+
+
 def sql_means(name: str, source: str, group: str, replicates: int, seed: str = "0",
               ident: str = "instance_id") -> str:
     """CTEs ending in ``name``(group, b, mean) of bootstrap means of column v."""
+    mask = hashing.WORD_MASK
     return f"""
-{name}_r AS (SELECT {group}, v, row_number() OVER (PARTITION BY {group} ORDER BY md5('{seed}:' || {ident}), {ident}) - 1 AS i,
-  count(*) OVER (PARTITION BY {group}) AS n, concat_ws(':', '{seed}', {group}) AS k FROM {source}),
-{name}_d AS (SELECT {group}, b, ('0x' || substr(md5(k || ':' || b || ':' || i), 1, 8))::BIGINT % n AS i
-  FROM {name}_r, range({replicates}) t(b)),
+{name}_r AS MATERIALIZED (SELECT {group}, v, i, n, {sql_mix('i')} AS slot,
+  ('0x' || substr(md5(concat_ws(':', '{seed}', {group})), 1, 8))::BIGINT & {mask} AS k FROM (
+  SELECT {group}, v, row_number() OVER (PARTITION BY {group} ORDER BY md5('{seed}:' || {ident}), {ident}) - 1 AS i,
+    count(*) OVER (PARTITION BY {group}) AS n FROM {source})),
+{name}_d AS (SELECT {group}, b, {sql_mix('word')} % n AS i FROM (
+  SELECT {group}, b, n, xor(slot, {sql_mix(f"(k + b) & {mask}")}) AS word FROM {name}_r, range({replicates}) t(b))),
 {name} AS (SELECT {group}, b, round(avg(v), 12) AS mean FROM {name}_d JOIN {name}_r USING ({group}, i) GROUP BY {group}, b)"""
 
 

@@ -27,10 +27,21 @@ def brute_means(name, values, replicates, seed):
     order = sorted(range(len(values)), key=lambda i: (hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i))
     v = [values[i] for i in order]
     n = len(v)
-    return [sum(v[md5_int(f"{seed}:{name}:{b}:{i}") % n] for i in range(n)) / n for b in range(replicates)]
+    mask = (1 << 31) - 1
 
+    def mix(word):
+        word = (word * 73244475) & mask
+        word ^= word >> 15
+        word = (word * 668265261) & mask
+        return word ^ (word >> 13)
 
-def test_hashed_means_draw_by_draw(spark):
+    word = md5_int(f"{seed}:{name}") & mask
+    return [sum(v[mix(mix(i) ^ mix((word + b) & mask)) % n] for i in range(n)) / n for b in range(replicates)]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_hashed_means_draw_by_draw(spark, monkeypatch, small):
+    monkeypatch.setattr(resample.sizing, "fits_broadcast", lambda df: small)
     groups = {"x": [0, 1, 1, -1, 0.5], "y": [2, 3]}
     got = {(r.g, r.replicate): r["mean"] for r in resample.hashed_means(
         diffs(spark, groups), ["g"], "v", 6, 9).collect()}
@@ -38,6 +49,14 @@ def test_hashed_means_draw_by_draw(spark):
         assert [got[(g, b)] for b in range(6)] == pytest.approx(brute_means(g, vs, 6, 9))
 
 
+def test_hashed_means_have_bootstrap_moments(spark):
+    values = np.round(np.random.default_rng(1).standard_normal(50), 1)
+    means = np.array([r["mean"] for r in resample.hashed_means(diffs(spark, {"x": values}), ["g"], "v", 4000).collect()])
+    assert len(means) == 4000
+    assert means.mean() == pytest.approx(values.mean(), abs=0.01)
+    assert means.std() == pytest.approx(values.std() / np.sqrt(50), rel=0.05)
+
+
 @pytest.mark.parametrize("chunk", [1 << 16, 3])
 def test_multinomial_means_have_bootstrap_moments(spark, chunk):
     rng = np.random.default_rng(0)
