@@ -255,6 +255,27 @@ def fused_topk_text(spark, sf):
     return out.select("instance_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
+@_register("fused_fallback_text", f"""WITH {ts.SQL_QUERIES}, {ts.SQL_CORPUS}, {ts.SQL_BM25}, {_SQL_STAND}, {_SQL_DENSE},
+{_SQL_FUSED_TEXT.rsplit("paths AS", 1)[0]}
+bare AS (SELECT instance_id FROM tq WHERE domain = 'short'),
+paths AS (SELECT instance_id, doc_id, rank FROM frk WHERE rank <= 100 AND instance_id NOT IN (SELECT instance_id FROM bare)
+          UNION ALL SELECT instance_id, doc_id, rank FROM dense WHERE rank <= 100 AND instance_id IN (SELECT instance_id FROM bare)
+          UNION ALL SELECT instance_id, doc_id, rank FROM bm25 WHERE rank <= 100) {_SQL_RRF}""")
+def fused_fallback_text(spark, sf):
+    """Short queries got no samples: they search by their own text instead of the fields."""
+    bare = ts.queries(spark, sf).filter("domain = 'short'").select("instance_id", "query")
+    fields = _text_field_queries(spark, sf).join(bare.select("instance_id"), "instance_id", "left_anti")
+    own = bare.select("instance_id", F.lit("full").alias("field"), encode.encode_text(F.col("query")).alias("vec"))
+    whole = load(spark, sf, "documents").select(
+        "doc_id", F.lit("full").alias("field"), encode.encode_text(F.col("text")).alias("vec"))
+    paths = dense.search(_text_field_library(spark, sf).unionByName(whole),
+                         fields.select("instance_id", "field", "vec").unionByName(own),
+                         fusion.PATH_DEPTH, ("instance_id",))
+    lex = lexical.bm25_topk(load(spark, sf, "documents"), ts.queries(spark, sf), fusion.PATH_DEPTH)
+    out = fusion.rrf(fusion.union_paths(paths, lex))
+    return out.select("instance_id", "doc_id", F.round("score", 9).alias("score"), "rank")
+
+
 # ------------------------------------------------------------------ coverage of sentences
 
 def _sentence_sides(spark, sf):
