@@ -12,7 +12,7 @@ from imagora.session import local_session, ship_package
 HEADLINE = (
     "parse_generated embed_text bm25_index bm25_topk hybrid_topk fused_topk_text gate_s2_text "
     "dense_topk centroid_single centroid_fields hypo_topk_skill field_paths fused_topk two_stage_topk "
-    "recall_at_k metric_grid micro_macro route_domain route_l2a route_l2b3 gate_calibrate gate_apply "
+    "recall_at_k k_matrix metric_grid micro_macro route_domain route_l2a route_l2b3 gate_calibrate gate_apply "
     "pack_top50 fleet_metrics leaderboard k_curve bootstrap_paired bootstrap_arms bootstrap_hier "
     "paired_report bootstrap_multinomial scan_run generate_missing text_totals table_digest bm25_quality"
 ).split()
