@@ -31,6 +31,29 @@ def is_present(col: Column) -> Column:
     return col.isNotNull()
 
 
+def json_kind(text: Column, path: str) -> Column:
+    """Type of the value at a path of JSON text; null where there is none, or no JSON."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), path, "variant"))
+
+
+def value_rules(field: str, path: str) -> dict[str, tuple[str, Column]]:
+    """Rules on one value of a JSON text: each names a type and fails where it does not hold."""
+    text = F.col(field)
+    kind = F.coalesce(json_kind(text, path), F.lit(""))
+    number = F.try_variant_get(F.try_parse_json(text), path, "double")
+    numeric = kind.rlike(r"\A(BIGINT|DOUBLE|DECIMAL|FLOAT)")
+    return {
+        "object": (field, F.coalesce(json_kind(text, "$").startswith("OBJECT"), F.lit(False))),
+        "present": (field, is_present(json_kind(text, path))),
+        "integer": (field, kind == "BIGINT"),
+        "number": (field, numeric),
+        "finite": (field, numeric & is_finite(number)),
+        "boolean": (field, kind == "BOOLEAN"),
+        "list": (field, kind.startswith("ARRAY")),
+        "string": (field, kind == "STRING"),
+    }
+
+
 def violations(df: DataFrame, key: Sequence[str], rules: Mapping[str, tuple[str, Column]]) -> DataFrame:
     """(key, rule, field, value) for each failed rule; rules: name -> (field, ok)."""
     found = F.array(*[
@@ -124,6 +147,17 @@ def stamp(run_meta: DataFrame, identity: Mapping[str, Column], cache: Mapping[st
         .withColumn("cache", F.struct(*[c.alias(n) for n, c in cache.items()]))
 
 
+def router_block(router: DataFrame, validation: DataFrame, fraction: float, seed: int,
+                 metric: str = "nDCG@10") -> DataFrame:
+    """(domain, pick, validation_metric, validation_fraction, seed, n_validation,
+    validation_ids_sha256, degenerate): how a router came to its picks."""
+    ids = table_digest(validation.filter("is_validation"), ["domain"], ["instance_id"])
+    return router.select("domain", "pick", "degenerate").join(ids, "domain").select(
+        "domain", "pick", F.lit(metric).alias("validation_metric"), F.lit(fraction).alias("validation_fraction"),
+        F.lit(seed).alias("seed"), F.col("n").alias("n_validation"),
+        F.col("digest").alias("validation_ids_sha256"), "degenerate")
+
+
 def write_new(df: DataFrame, path: str) -> None:
     """Write that refuses to replace what is there."""
     df.write.mode("errorifexists").parquet(path)
@@ -166,3 +200,14 @@ def restamp(meta: DataFrame, old: str, new: str, field: str = "source_revision")
         rev == new, F.lit("already_current")).otherwise(F.lit("rejected"))
     return meta.withColumn("action", action).withColumn(
         field, F.when(rev == old, F.lit(new)).otherwise(rev))
+
+
+def restamp_evidence(meta: DataFrame, group: Sequence[str], cols: Sequence[str], old: str, new: str,
+                     field: str = "source_revision") -> DataFrame:
+    """(group, action, n, before_sha256, after_sha256): digests of each file before and after the restamp."""
+    done = restamp(meta, old, new, field)
+    before = table_digest(meta, group, cols).withColumnRenamed("digest", "before_sha256")
+    after = table_digest(done, group, cols).select(*group, F.col("digest").alias("after_sha256"))
+    action = done.groupBy(*group).agg(F.max("action").alias("action"))
+    return before.join(after, list(group)).join(action, list(group)).select(
+        *group, "action", "n", "before_sha256", "after_sha256")

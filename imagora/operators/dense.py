@@ -141,19 +141,20 @@ def search(library: DataFrame, queries: DataFrame, k: int, keys: Sequence[str],
     out_arrow = to_arrow_schema(out_type)
     key_list = list(keys)
     n_queries, q_bytes = sizing.measure(qs)
-    cheap = _broadcast_is_cheaper(lib, n_queries, q_bytes, k, query_bytes)
+    # rows without a vector are counted too: that needs no vector of the library
+    n_docs = library.select("doc_id").count() if q_bytes > query_bytes or n_queries > GRID_QUERIES else 0
+    cheap = _broadcast_is_cheaper(lib, n_docs, n_queries, q_bytes, k, query_bytes)
     table = qs.toArrow() if cheap else None
     qs.unpersist()
     if table is not None:
-        shared = spark.sparkContext.broadcast(table)
+        shared = spark.sparkContext.broadcast(_blocks(table, key_list))
 
         def task(batches):
-            yield from _score_batches(batches, _blocks(shared.value, key_list), k, digits,
-                                      out_arrow, key_list)
+            yield from _score_batches(batches, shared.value, k, digits, out_arrow, key_list)
 
         local = lib.mapInArrow(task, out_type)
     else:
-        local = _grid(lib, qs, n_queries, q_bytes, k, key_list, digits, out_type, out_arrow)
+        local = _grid(lib, n_docs, qs, n_queries, q_bytes, k, key_list, digits, out_type, out_arrow)
     return ranking.top_k(local, [*keys, "field"], k, [F.desc("score"), F.asc("doc_id")])
 
 
@@ -165,7 +166,7 @@ def _grid_shape(spark, n_docs: int, n_queries: int, q_bytes: int) -> tuple[int,
     return chunks, max(blocks, -(-spark.sparkContext.defaultParallelism // chunks))
 
 
-def _broadcast_is_cheaper(lib: DataFrame, n_queries: int, q_bytes: int, k: int,
+def _broadcast_is_cheaper(lib: DataFrame, n_docs: int, n_queries: int, q_bytes: int, k: int,
                           query_bytes: int) -> bool:
     """Whether sending k rows per query from each scan task beats the grid.
 
@@ -176,7 +177,6 @@ def _broadcast_is_cheaper(lib: DataFrame, n_queries: int, q_bytes: int, k: int,
         return False
     if n_queries <= GRID_QUERIES:
         return True
-    n_docs = lib.count()
     tasks = lib.rdd.getNumPartitions()
     chunks, blocks = _grid_shape(lib.sparkSession, n_docs, n_queries, q_bytes)
     by_task = tasks * n_queries * min(k, -(-n_docs // tasks)) * HIT_BYTES
@@ -184,9 +184,9 @@ def _broadcast_is_cheaper(lib: DataFrame, n_queries: int, q_bytes: int, k: int,
     return by_task <= by_cell
 
 
-def _grid(lib: DataFrame, qs: DataFrame, n_queries: int, q_bytes: int, k: int, keys: list[str],
+def _grid(lib: DataFrame, n_docs: int, qs: DataFrame, n_queries: int, q_bytes: int, k: int, keys: list[str],
           digits: int, out_type: T.StructType, out_arrow: pa.Schema) -> DataFrame:
-    n_d, n_q = _grid_shape(lib.sparkSession, lib.count(), n_queries, q_bytes)
+    n_d, n_q = _grid_shape(lib.sparkSession, n_docs, n_queries, q_bytes)
     left = lib.withColumn("_d", F.pmod(F.xxhash64("doc_id"), F.lit(n_d)).cast("int")) \
         .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     right = qs.withColumn("_q", F.pmod(F.xxhash64(*keys), F.lit(n_q)).cast("int")) \

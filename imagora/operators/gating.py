@@ -42,6 +42,22 @@ def novelty(candidates: Column, hypotheses: Column, threshold: float = COVERED)
                   F.round(share, SIGNAL_DIGITS)).otherwise(F.lit(1.0))
 
 
+def signal_misses(asked: DataFrame, first: DataFrame, sampled: DataFrame) -> DataFrame:
+    """(domain, asked, no_hits, no_samples, scored): why records carry no signal.
+
+    ``asked``: domain, instance_id; ``first``: instance_id of records with a top document;
+    ``sampled``: instance_id of records with samples.
+    """
+    hit = first.select("instance_id").distinct().withColumn("_hit", F.lit(True))
+    smp = sampled.select("instance_id").distinct().withColumn("_smp", F.lit(True))
+    rows = asked.join(hit, "instance_id", "left").join(smp, "instance_id", "left")
+    no_hit = F.col("_hit").isNull()
+    return rows.groupBy("domain").agg(
+        F.count(F.lit(1)).alias("asked"), F.count_if(no_hit).alias("no_hits"),
+        F.count_if(~no_hit & F.col("_smp").isNull()).alias("no_samples"),
+        F.count_if(~no_hit & F.col("_smp").isNotNull()).alias("scored"))
+
+
 def pick_tau(rows: DataFrame, keys: Sequence[str], value: str, positive: str,
              p_min: float = P_MIN) -> DataFrame:
     """(keys, tau): the largest value whose prefix precision reaches p_min.

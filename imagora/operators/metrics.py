@@ -94,6 +94,16 @@ def missing_instances(run: DataFrame, wanted: DataFrame, keys: Sequence[str]) ->
                        "left_anti")
 
 
+def coverage(run: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, wanted, covered, missing, first_missing): how much of the wanted instances a run holds."""
+    have = run.select(*keys, "instance_id").distinct().withColumn("_h", F.lit(True))
+    joined = wanted.select(*keys, "instance_id").join(have, [*keys, "instance_id"], "left")
+    return joined.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("wanted"), F.count("_h").alias("covered"),
+        F.count_if(F.col("_h").isNull()).alias("missing"),
+        F.min(F.when(F.col("_h").isNull(), F.col("instance_id"))).alias("first_missing"))
+
+
 def micro_macro(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Domain cells (domain, keys, n, value) -> n-weighted and unweighted rows."""
     both = cells.groupBy(*keys).agg(

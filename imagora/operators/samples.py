@@ -163,6 +163,18 @@ def prefix_violations(big: DataFrame, small: DataFrame, k: int,
     return joined.select(*on, problem.alias("problem")).filter(F.col("problem").isNotNull())
 
 
+def query_differences(big: DataFrame, small: DataFrame) -> DataFrame:
+    """(instance_id, problem): queries absent, extra, or with another text in the smaller pack."""
+    a = big.groupBy("instance_id").agg(F.min("query").alias("_b"), F.lit(True).alias("_in_b"))
+    b = small.groupBy("instance_id").agg(F.min("query").alias("_s"), F.lit(True).alias("_in_s"))
+    problem = (
+        F.when(F.col("_in_b").isNull(), F.lit("extra"))
+        .when(F.col("_in_s").isNull(), F.lit("absent"))
+        .when(~F.col("_b").eqNullSafe(F.col("_s")), F.lit("query")))
+    return a.join(b, "instance_id", "full_outer").select("instance_id", problem.alias("problem")).filter(
+        F.col("problem").isNotNull())
+
+
 def duplicate_query_report(samples: DataFrame) -> DataFrame:
     """(query, template, instances, variants): distinct sample sets per query text.
 

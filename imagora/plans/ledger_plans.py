@@ -72,7 +72,7 @@ def scan_queries(spark, sf):
                        F.size("gold").cast("bigint").alias("n_gold"))
 
 
-def _run_files(spark, sf):
+def run_files(spark, sf):
     path = stage_path(spark, sf, "run_json")
     once(path, lambda: json_files.write_run_records(vs.run(spark, sf), vs.gold(spark, sf), path))
     return path
@@ -81,7 +81,7 @@ def _run_files(spark, sf):
 @_register("scan_run", vs.sql_run() + """
 SELECT domain, variant, instance_id, doc_id, rank, round(score, 6) AS score FROM run""")
 def scan_run(spark, sf):
-    records = json_files.read_run_records(spark, _run_files(spark, sf))
+    records = json_files.read_run_records(spark, run_files(spark, sf))
     hits = json_files.explode_hits(records, ("domain", "variant"))
     return hits.select("domain", "variant", F.col("instance_id").cast("bigint").alias("instance_id"),
                        F.col("doc_id").cast("bigint").alias("doc_id"), "rank",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from imagora.plans import ablation_plans, eval_plans, ledger_plans, text_plans, vector_plans
+from imagora.plans import ablation_plans, check_plans, eval_plans, ledger_plans, text_plans, vector_plans
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (text_plans, vector_plans, eval_plans, ablation_plans, ledger_plans):
+for _module in (text_plans, vector_plans, eval_plans, ablation_plans, ledger_plans, check_plans):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
 
@@ -14,7 +14,7 @@ for _module in (text_plans, vector_plans, eval_plans, ablation_plans, ledger_pla
 _RANKED = ("bm25_topk bm25_topk_padded fused_fallback_text dense_topk_text hybrid_topk fused_topk_text dense_topk "
            "hypo_topk_sentence hypo_topk_passage hypo_topk_skill field_paths fused_topk "
            "fused_fallback two_stage_topk rerank_cosine rrf routed_run gate_apply leaderboard "
-           "scan_run").split()
+           "scan_run scan_named_runs two_stage_topk_text").split()
 _INT_COLUMNS = {
     **{name: ("rank",) for name in _RANKED},
     **{name: ("pos",) for name in ("sentences", "embed_text", "max_sim", "l2_normalize",

@@ -317,6 +317,27 @@ sims AS (SELECT c.instance_id, c.doc_id, c.pos, c.hpos, coalesce(s.sim, 0) AS si
 msim AS (SELECT instance_id, doc_id, pos, max(sim) AS sim FROM sims GROUP BY ALL)"""
 
 
+@_register("two_stage_topk_text", f"""WITH {ts.SQL_QUERIES}, {ts.SQL_CORPUS}, {ts.SQL_BM25}, {_SQL_STAND}, {_SQL_SIDES.split("hs0 AS", 1)[0].rstrip().rstrip(",")},
+{_SQL_FUSED_TEXT},
+fz AS ({_SQL_RRF}),
+{ts.sql_embed('me', 'mds', 'instance_id, sample_index', 'md')},
+{ts.sql_embed('fe', 'documents', 'doc_id', 'text')},
+hx AS (SELECT instance_id, bucket, sum(w) / 5 AS x FROM (
+  SELECT instance_id, bucket, w FROM me UNION ALL SELECT instance_id, bucket, w FROM ae) GROUP BY ALL),
+hu AS (SELECT instance_id, bucket, x / sqrt(sum(x * x) OVER (PARTITION BY instance_id)) AS w FROM hx),
+rs AS (SELECT f.instance_id, f.doc_id, f.rank AS r1, round(coalesce(sum(hu.w * fe.w), 0), 6) AS score
+  FROM fz f LEFT JOIN fe ON fe.doc_id = f.doc_id LEFT JOIN hu ON hu.instance_id = f.instance_id AND hu.bucket = fe.bucket GROUP BY ALL)
+SELECT instance_id, doc_id, score, row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, r1) AS rank FROM rs""")
+def two_stage_topk_text(spark, sf):
+    """The fused list of each query in the order of whole sample documents and the query."""
+    anchors = ts.queries(spark, sf).select("instance_id", encode.encode_text(F.col("query")).alias("vec"))
+    smp = ts.stand_in_samples(spark, sf).select(
+        "instance_id", "sample_index", encode.encode_text(F.col("md")).alias("vec"))
+    whole = load(spark, sf, "documents").select("doc_id", encode.encode_text(F.col("text")).alias("vec"))
+    return fusion.rerank_cosine(fused_topk_text(spark, sf), hypothesis.centroid_with_query(smp, anchors, ts.K),
+                                whole, fusion.TOP_K).drop("first_rank")
+
+
 @_register("max_sim", f"""WITH {ts.SQL_QUERIES}, {ts.SQL_BM25}, {_SQL_STAND}, {_SQL_SIDES}
 SELECT instance_id, doc_id, pos, round(sim, 6) AS sim FROM msim""")
 def max_sim(spark, sf):

@@ -24,6 +24,7 @@ PAYLOAD = (
 PACK = "instance_id string, domain string, query string, imaginations map<string, array<string>>"
 OUTCOMES = "metrics map<string, double>, details array<struct<instance_id: string, correct: boolean>>"
 NAME_PATTERN = r"([^/=]*?)-([^/]*)\.json"
+STEM_PATTERN = r"(?:^|[/=])([^/=-]+-[^/=]*?\.json)(?:/|$)"
 FALLBACK_META_CHARS = 200
 
 
@@ -61,9 +62,12 @@ def annotated(instances: DataFrame) -> DataFrame:
 
 
 def instance_problems(instances: DataFrame, domain: str | None = None) -> DataFrame:
-    """(instance_id, problem): repeated ids, and rows of another domain."""
+    """(instance_id, problem): repeated ids, blank queries, and rows of another domain."""
     repeated = instances.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1") \
         .select("instance_id", F.lit("duplicate").alias("problem"))
+    blank = instances.filter(F.coalesce(tx.is_blank(F.col("query")), F.lit(True))).select(
+        "instance_id", F.lit("empty").alias("problem"))
+    repeated = repeated.unionByName(blank)
     if domain is None:
         return repeated
     foreign = instances.filter(F.col("domain") != domain).select(
@@ -82,10 +86,22 @@ def explode_gold(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return records.select(*keep, "instance_id", F.explode("gold_skill_ids").alias("doc_id"))
 
 
-def read_run_payload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _payloads(spark: SparkSession, path: str, array_file: bool) -> DataFrame:
+    """Run files with their name, without the ``.eval.json`` ones.
+
+    A file may be a folder of that name with parts of the run as lines.
+    """
+    raw = spark.read.schema(PAYLOAD).option("multiLine", array_file).option(
+        "recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), STEM_PATTERN, 1)
+    name = F.when(stem != "", stem).otherwise(F.col("_metadata.file_name"))
+    return raw.withColumn("file", name).filter(~F.col("file").endswith(".eval.json"))
+
+
+def read_run_payload(spark: SparkSession, path: str,
+                     array_file: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One-document runs -> (records, metadata rows, metric rows), each with the file."""
-    raw = spark.read.schema(PAYLOAD).option("multiLine", True).json(path).withColumn(
-        "file", F.col("_metadata.file_name"))
+    raw = _payloads(spark, path, array_file)
     records = raw.select("file", F.explode("results").alias("r")).select("file", "r.*")
     meta = raw.select("file", F.explode("metadata").alias("key", "value"))
     values = raw.select("file", F.explode("metrics").alias("metric", "value"))
@@ -136,14 +152,11 @@ def file_identity(path: Column) -> tuple[Column, Column]:
             F.regexp_extract(path, NAME_PATTERN, 2).alias("variant"))
 
 
-def read_named_runs(spark: SparkSession, path: str) -> DataFrame:
+def read_named_runs(spark: SparkSession, path: str, array_file: bool = True) -> DataFrame:
     """(dataset, variant, instance_id, gold_skill_ids, retrieved) of all run files
     under a path, without the ``.eval.json`` ones."""
-    raw = spark.read.schema(PAYLOAD).option("multiLine", True).option(
-        "recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
-    name = F.col("_metadata.file_name")
-    return raw.select(name.alias("_n"), "results").filter(~F.col("_n").endswith(".eval.json")).select(
-        *file_identity(F.col("_n")), F.explode("results").alias("r")).select("dataset", "variant", "r.*")
+    return _payloads(spark, path, array_file).select(
+        *file_identity(F.col("file")), F.explode("results").alias("r")).select("dataset", "variant", "r.*")
 
 
 def write_jsonl(df: DataFrame, path: str, order: Sequence[str]) -> None:
