@@ -3,12 +3,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imagora.functions import text as tx
 from imagora.operators import samples, sizing
-from imagora.plans.tables import load
+from imagora.plans.tables import load, staged
 
 K = 4
 OFFSET_STEP = 40
@@ -52,34 +54,38 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
                     domain_of(F.col("text")).alias("domain"), F.col("text").alias("query"))
 
 
-def containment(docs: DataFrame, needles: DataFrame) -> DataFrame:
+def containment(docs: DataFrame, needles: DataFrame,
+                keep: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """(instance_id, doc_id) where the document text contains the query text.
 
     A containing document has the query's inner words as a run of its own, so
     four of them (words 2-5) select the candidates and only these are compared
     in full. Queries of fewer than ``ANCHOR`` + 2 words have no such inner words
-    and are held against every text.
+    and are held against every text. Candidates are ids met by the 64-bit hash of
+    the four words; ``keep`` may write and reread them. Where they are of a checked
+    small size they go to the scan of the texts, which then move nowhere.
     """
     words = F.split("query", r"\s+")
     sized = needles.withColumn("_n", F.size(words))
     short = sized.filter(F.col("_n") < ANCHOR + 2).select("instance_id", "query")
     anchors = sized.filter(F.col("_n") >= ANCHOR + 2).select(
-        "instance_id", "query", F.array_join(F.slice(words, 2, ANCHOR), " ").alias("gram"))
+        "instance_id", "query", F.xxhash64(F.array_join(F.slice(words, 2, ANCHOR), " ")).alias("gram"))
     side = sizing.checked_broadcast(anchors.select("instance_id", "gram"))
     toks = docs.select("doc_id", F.split("text", r"\s+").alias("_t"))
     grams = toks.select("doc_id", F.explode(F.array_distinct(F.expr(
         f"transform(sequence(1, greatest(size(_t) - {ANCHOR - 1}, 1)),"
-        f" i -> array_join(slice(_t, i, {ANCHOR}), ' '))"))).alias("gram"))
-    pairs = grams.join(side, "gram").select("doc_id", "instance_id").distinct()
-    full = pairs.join(needles.select("instance_id", "query"), "instance_id").join(
-        docs.select("doc_id", "text"), "doc_id")
+        f" i -> xxhash64(array_join(slice(_t, i, {ANCHOR}), ' ')))"))).alias("gram"))
+    pairs = keep(grams.join(side, "gram").select("doc_id", "instance_id").distinct())
+    asked = sizing.checked_broadcast(pairs.join(needles.select("instance_id", "query"), "instance_id"))
+    full = docs.select("doc_id", "text").join(asked, "doc_id")
     found = full.filter(F.contains("text", "query")).select("instance_id", "doc_id")
     direct = docs.select("doc_id", "text").join(sizing.checked_broadcast(short), F.contains("text", "query"))
     return found.unionByName(direct.select("instance_id", "doc_id"))
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    return containment(load(spark, sf, "documents").select("doc_id", "text"), queries(spark, sf))
+    return containment(load(spark, sf, "documents").select("doc_id", "text"), queries(spark, sf),
+                       lambda pairs: staged(spark, sf, "gold_pairs", lambda: pairs))
 
 
 def stand_in_samples(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
