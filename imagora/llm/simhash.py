@@ -11,7 +11,9 @@ which links exactly the same pairs through at most 65 members per group.
 ``near_copies`` works at a similarity of 0.8, where a radius would have to be
 so wide that no bucket of fingerprint bits is selective. There min-wise keys of
 the shingles propose pairs, pivot tables and the Hamming distance discard
-them, and the similarity of the shingle sets is estimated for the rest.
+them, and the similarity of the shingle sets is estimated for the rest. Members
+of a bucket meet one hub first; what the hubs do not link meets in pairs, in
+large buckets in cells of ``CELL`` members that count common shingles.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from imagora.llm.common import content_key, stage
+from imagora.llm.common import content_key, small, stage
 from imagora.llm.components import connected
 
 SEED = 42
@@ -40,6 +42,8 @@ BINS = 256
 MIN_SIMILARITY = 0.8
 SKETCH_SLACK = 0.02
 WIDE_RADIUS = 26
+CELL = 128
+COLUMNS = 4096
 _MASK = (1 << 64) - 1
 
 
@@ -226,17 +230,112 @@ def similarity_column(a: Column, b: Column) -> Column:
     return similar(a, b)
 
 
+def shingle_column(text: Column, words: int) -> Column:
+    """The distinct shingle hashes of each text, sorted, eight bytes each."""
+
+    @F.arrow_udf("binary")
+    def shingles(column: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", words)).tobytes()
+                         for t in column.cast(pa.large_binary())], pa.binary())
+
+    return shingles(text)
+
+
+def shingles_of(docs: DataFrame, uids: DataFrame, words: int, text_col: str) -> DataFrame:
+    """(uid, shingles) of the texts named by ``uids``: distinct (uid)."""
+    text = F.col(f"`{text_col}`")
+    keyed = docs.select(F.xxhash64(*content_key(text)).alias("uid"), text.alias("text"))
+    named = keyed.join(small(uids), "uid", "left_semi")
+    return named.select("uid", shingle_column(F.col("text"), words).alias("shingles")).groupBy("uid").agg(
+        F.any_value("shingles").alias("shingles"))
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two of the sorted sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    owner, flat = owner[order], flat[order]
+    place = np.cumsum(np.r_[False, flat[1:] != flat[:-1]])
+    often = np.bincount(place) > 1
+    place = np.where(often[place], np.cumsum(often)[place] - 1, -1)
+    owner, place = owner[place >= 0], place[place >= 0]
+    out = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    for low in range(0, int(often.sum()), COLUMNS):
+        part = slice(*np.searchsorted(place, [low, low + COLUMNS]))
+        has = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        has[owner[part], place[part] - low] = 1
+        out += (has @ has.T).astype(np.int64)
+    return out
+
+
+def cell_edges(similarity: float):
+    """Links of one pair of cells, as many as it takes to connect what is similar there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        uid, label = (table.column(c).to_numpy() for c in ("uid", "label"))
+        a: list[int] = []
+        b: list[int] = []
+        if len(set(label.tolist())) > 1:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+            sizes = np.array([len(x) for x in sets])
+            same = common_counts(sets)
+            alike = same / np.maximum(sizes[:, None] + sizes[None, :] - same, 1) >= similarity
+            top = label.copy()
+            for i, j in np.argwhere(np.triu(alike, 1)).tolist():
+                if top[i] != top[j]:
+                    a.append(uid[i]), b.append(uid[j])
+                    top[top == top[j]] = top[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def rest_of_buckets(banded: DataFrame, labels: DataFrame, light: int) -> tuple[DataFrame, DataFrame]:
+    """What the hubs left open: (uid, hub) pairs of small buckets, (uid, label, band, key, i, j) cells of large ones.
+
+    Members of one label are linked already. Of a large bucket, the members of
+    its largest label meet all others, and all others meet one another.
+    """
+    member = banded.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select(
+        "uid", "band", "key", F.coalesce("label", "uid").alias("label"))
+    member = stage(member, "copy-members")
+    parts = member.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = parts.groupBy("band", "key").agg(
+        F.sum("c").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "label")).alias("top")).filter(
+            "parts > 1 AND n > 2").select("band", "key", "n", "top")
+    rest = stage(member.join(small(stage(mixed, "copy-mixed")), ["band", "key"]), "copy-rest")
+
+    few = rest.filter(F.col("n") <= light).select("band", "key", "uid", "label")
+    other = few.select("band", "key", F.col("uid").alias("hub"), F.col("label").alias("h_label"))
+    pairs = few.join(other, ["band", "key"]).filter("uid < hub AND label <> h_label").select("uid", "hub").distinct()
+
+    many = rest.filter(F.col("n") > light).withColumns({
+        "g1": F.ceil(F.col("top.c") / CELL), "g2": F.ceil((F.col("n") - F.col("top.c")) / CELL),
+        "most": F.col("label") == F.col("top.label")})
+    spot = F.xxhash64("uid", "band")
+    many = many.withColumn("own", F.when(F.col("most"), F.pmod(spot, F.col("g1"))).otherwise(
+        F.col("g1") + F.pmod(spot, F.col("g2"))))
+    first = F.when(F.col("most"), F.col("g1")).otherwise(F.lit(0))
+    cells = many.withColumn("with", F.explode(F.sequence(first, F.col("g1") + F.col("g2") - 1))).select(
+        "uid", "label", "band", "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+    return pairs, cells
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = MIN_SIMILARITY, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+                text_col: str = "text", light: int = LIGHT) -> DataFrame:
     """(doc_id, t0, t1, keep): groups of texts whose shingle sets are this similar.
 
     One row per distinct (id, text), named by the 128-bit key (t0, t1) of the
     text. ``keep`` marks the smallest id of each group (null ids last, then the
     smaller key). Texts without words are alike only if they are equal. In each
     band, members of a bucket are held against a member drawn by hash, another
-    one in every band, so a group of n copies makes at most n x bands pairs. The
-    similarity is estimated over ``BINS`` bins, so pairs within ``SKETCH_SLACK``
-    of the bound may fall on either side.
+    one in every band, so a group of n copies makes at most n x bands pairs.
+    Members of a bucket that this leaves in different groups are then all held
+    against each other: in pairs in buckets of up to ``light`` members, else in
+    cells, whose number grows with the square of the members outside the largest
+    group. The similarity of pairs is estimated over ``BINS`` bins, so pairs
+    within ``SKETCH_SLACK`` of the bound may fall on either side.
     """
     t0, t1 = content_key(F.col(f"`{text_col}`"))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), t0.alias("t0"), t1.alias("t1"),
@@ -252,14 +351,25 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = MIN_SIMILAR
         F.min_by("uid", F.struct(F.xxhash64("uid", "band"), "uid")).alias("hub")).filter("n > 1").drop("n")
     hubs = stage(hubs, "copy-hubs")
     pairs = banded.join(hubs, ["band", "key"]).filter("uid <> hub").select("uid", "hub").distinct()
-    fields = ["fp", "bins"]
-    left = nodes.select("uid", *fields)
-    right = nodes.select(F.col("uid").alias("hub"), *[F.col(f).alias(f"h_{f}") for f in fields])
-    both = stage(pairs, "copy-pairs").join(left, "uid").join(right, "hub")
-    close = both.filter(pivot_gap(pivot_table(F.col("fp")), pivot_table(F.col("h_fp"))) <= WIDE_RADIUS) \
-        .filter(hamming(F.col("fp"), F.col("h_fp")) <= WIDE_RADIUS)
-    edges = close.withColumn("sim", similarity_column(F.col("bins"), F.col("h_bins"))) \
-        .filter(F.col("sim") >= similarity - SKETCH_SLACK).select(F.col("uid").alias("a"), F.col("hub").alias("b"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        left = nodes.select("uid", "fp", "bins")
+        right = nodes.select(F.col("uid").alias("hub"), F.col("fp").alias("h_fp"), F.col("bins").alias("h_bins"))
+        both = stage(pairs, "copy-pairs").join(left, "uid").join(right, "hub")
+        close = both.filter(pivot_gap(pivot_table(F.col("fp")), pivot_table(F.col("h_fp"))) <= WIDE_RADIUS) \
+            .filter(hamming(F.col("fp"), F.col("h_fp")) <= WIDE_RADIUS)
+        return close.withColumn("sim", similarity_column(F.col("bins"), F.col("h_bins"))).filter(
+            F.col("sim") >= similarity - SKETCH_SLACK).select(F.col("uid").alias("a"), F.col("hub").alias("b"))
+
+    edges = stage(linked(pairs), "copy-edges")
+    labels = connected(edges)
+    few, cells = rest_of_buckets(banded, labels, light)
+    edges = edges.unionByName(linked(few))
+    cells = stage(cells, "copy-cells")
+    if not cells.isEmpty():
+        sets = stage(shingles_of(docs, cells.select("uid").distinct(), words, text_col), "copy-shingles")
+        edges = edges.unionByName(cells.join(sets, "uid").groupBy("band", "key", "i", "j").applyInArrow(
+            cell_edges(similarity), "a bigint, b bigint"))
     labels = connected(edges)
     grouped = stage(texts.select("t0", "t1", "first", uid).join(labels, F.col("uid") == F.col("node"), "left").select(
         "t0", "t1", "first", F.coalesce("label", "uid").alias("label")), "copy-groups")

@@ -114,6 +114,42 @@ def test_near_copies(spark):
     assert kept == {group.index(g) for g in group}
 
 
+def brute_kept(texts, k=5, least=0.8):
+    """Ids that stay and the similarities of all pairs."""
+    sets = [{tuple(w[i:i + k]) for i in range(len(w) - k + 1)} for w in (t.split() for t in texts)]
+    sims = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a)}
+    return {i for i, c in enumerate(closure(len(texts), [p for p, s in sims.items() if s >= least])) if i == c}, sims
+
+
+def test_common_counts():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 6000)).astype(np.uint64)) for _ in range(9)]
+    got = simhash.common_counts(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(9) for j in range(9) if i != j)
+
+
+def test_copies_inside_a_boilerplate_family(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    licence = [word() for _ in range(165)]
+    texts = []
+    for _ in range(60):  # pairs of copies; different pairs share the licence
+        own = [word() for _ in range(35)]
+        for _ in range(2):
+            copy = licence + own
+            if rng.random() < 0.8:
+                for _ in range(rng.choice([1, 2])):
+                    copy[rng.randrange(165, 200)] = word()
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    want, sims = brute_kept(texts)
+    assert sum(0.65 < s < 0.75 for s in sims.values()) > 0.9 * len(sims) and len(want) == 60
+    docs = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    monkeypatch.setattr(simhash, "CELL", 16)
+    for light in (simhash.LIGHT, 2, 1000):
+        assert {r.doc_id for r in simhash.near_copies(docs, light=light).collect()} <= want  # no copy stays
+
+
 def test_edges(spark):
     got = sorted(map(tuple, simhash.fingerprint_groups(edge_docs(spark)).collect()), key=str)
     assert got == brute([(i, t) for i, t, *_ in TEXTS])
