@@ -11,7 +11,8 @@ which links exactly the same pairs through at most 65 members per group.
 ``near_copies`` works at a similarity of 0.8, where a radius would have to be
 so wide that no bucket of fingerprint bits is selective. There min-wise keys of
 the shingles propose pairs, pivot tables and the Hamming distance discard
-them, and the similarity of the shingle sets is estimated for the rest. Members
+them, a sketch discards what is far below the bound, and the shingles that the
+rest have in common are counted. Members
 of a bucket meet one hub first; what the hubs do not link meets in pairs, in
 large buckets in cells of ``CELL`` members that count common shingles.
 """
@@ -40,7 +41,8 @@ CHUNK = 1 << 16
 BANDS, ROWS = 10, 3
 BINS = 256
 MIN_SIMILARITY = 0.8
-SKETCH_SLACK = 0.02
+#: Pairs whose sketches fall short by more than this are not counted: over five standard deviations.
+SKETCH_SLACK = 0.14
 WIDE_RADIUS = 26
 CELL = 128
 COLUMNS = 4096
@@ -230,6 +232,21 @@ def similarity_column(a: Column, b: Column) -> Column:
     return similar(a, b)
 
 
+def jaccard_column(a: Column, b: Column) -> Column:
+    """Share of common shingles of two sorted sets."""
+
+    @F.arrow_udf("double")
+    def share(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for s, t in zip(x, y):
+            u, v = (np.frombuffer(c.as_buffer(), np.uint64) for c in (s, t))
+            common = int((np.take(v, np.searchsorted(v, u), mode="clip") == u).sum())
+            out.append(common / (len(u) + len(v) - common))
+        return pa.array(out, pa.float64())
+
+    return share(a, b)
+
+
 def shingle_column(text: Column, words: int) -> Column:
     """The distinct shingle hashes of each text, sorted, eight bytes each."""
 
@@ -334,8 +351,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = MIN_SIMILAR
     Members of a bucket that this leaves in different groups are then all held
     against each other: in pairs in buckets of up to ``light`` members, else in
     cells, whose number grows with the square of the members outside the largest
-    group. The similarity of pairs is estimated over ``BINS`` bins, so pairs
-    within ``SKETCH_SLACK`` of the bound may fall on either side.
+    group. Sketches of ``BINS`` bins only discard pairs; links rest on the counted
+    shingles.
     """
     t0, t1 = content_key(F.col(f"`{text_col}`"))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), t0.alias("t0"), t1.alias("t1"),
@@ -358,8 +375,14 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = MIN_SIMILAR
         both = stage(pairs, "copy-pairs").join(left, "uid").join(right, "hub")
         close = both.filter(pivot_gap(pivot_table(F.col("fp")), pivot_table(F.col("h_fp"))) <= WIDE_RADIUS) \
             .filter(hamming(F.col("fp"), F.col("h_fp")) <= WIDE_RADIUS)
-        return close.withColumn("sim", similarity_column(F.col("bins"), F.col("h_bins"))).filter(
-            F.col("sim") >= similarity - SKETCH_SLACK).select(F.col("uid").alias("a"), F.col("hub").alias("b"))
+        near = stage(close.withColumn("sim", similarity_column(F.col("bins"), F.col("h_bins"))).filter(
+            F.col("sim") >= similarity - SKETCH_SLACK).select("uid", "hub"), "copy-near")
+        ends = near.select("uid").unionByName(near.select(F.col("hub").alias("uid"))).distinct()
+        sets = stage(shingles_of(docs, ends, words, text_col), "copy-shingles")
+        other = sets.select(F.col("uid").alias("hub"), F.col("shingles").alias("h_shingles"))
+        return near.join(sets, "uid").join(other, "hub").filter(
+            jaccard_column(F.col("shingles"), F.col("h_shingles")) >= similarity).select(
+                F.col("uid").alias("a"), F.col("hub").alias("b"))
 
     edges = stage(linked(pairs), "copy-edges")
     labels = connected(edges)

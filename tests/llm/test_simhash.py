@@ -147,7 +147,24 @@ def test_copies_inside_a_boilerplate_family(spark, monkeypatch):
     docs = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
     monkeypatch.setattr(simhash, "CELL", 16)
     for light in (simhash.LIGHT, 2, 1000):
-        assert {r.doc_id for r in simhash.near_copies(docs, light=light).collect()} <= want  # no copy stays
+        assert {r.doc_id for r in simhash.near_copies(docs, light=light).collect()} == want
+
+
+def test_bound_is_exact(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for g in range(150):  # an edit in the middle of n words costs five shingles
+        base = [word() for _ in range(rng.choice([60, 150, 400]))]
+        copy = list(base)
+        for _ in range(round(len(base) / 5 * rng.uniform(0.08, 0.16))):
+            copy[rng.randrange(len(copy))] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    want, sims = brute_kept(texts)
+    near = [s for s in sims.values() if s > 0]
+    assert sum(0.73 < s < 0.8 for s in near) > 20 and sum(0.8 <= s < 0.87 for s in near) > 20
+    docs = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    assert {r.doc_id for r in simhash.near_copies(docs).collect()} == want
 
 
 def test_edges(spark):
