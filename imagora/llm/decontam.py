@@ -4,9 +4,11 @@ Passages of all documents are TF-IDF vectors over hashed words. A randomised
 SVD finds the main directions of that matrix: every task multiplies its
 passages with a sparse random sign matrix from the left, the sums (a fixed size,
 whatever the corpus) are added up, and the right singular vectors of the result
-span the latent space. Sliding windows of the documents and the benchmark items
-are compared by cosine there; candidates are then checked word by word with the
-longest common subsequence, and the item's answer separately.
+span the latent space, in which a hit is scored by cosine. Candidates are the
+sliding windows with enough words of an item for any check to pass: they are
+counted for all windows and items, so no bound on the cosine can lose one. They
+are then checked word by word with the longest common subsequence, and the
+item's answer separately.
 """
 
 from __future__ import annotations
@@ -28,9 +30,6 @@ SKETCH_ROWS = 4
 COMMON = 8
 STEP = 8
 PASSAGE_STEPS = 6
-MIN_COSINE = 0.6
-#: In a space of fewer directions (a few texts, or always the same) every window is a candidate.
-MIN_RANK = 16
 MIN_COMMON = 0.8
 MIN_COMMON_WITH_ANSWER = 0.6
 SHORT = 5
@@ -38,7 +37,8 @@ ITEM_BLOCK = 4096
 BAG = 1 << 12
 CHUNK_BYTES = 2 << 20
 STEPS_AT_ONCE = 1 << 11
-WINDOWS_AT_ONCE = 1 << 13
+COUNTS_AT_ONCE = 1 << 21
+CANDIDATES_AT_ONCE = 1 << 10
 REDUCE = 64
 BLOCK_ROWS = 512
 
@@ -270,19 +270,49 @@ class Items:
     steps: np.ndarray
     bags: np.ndarray  # (items, BAG): which hashed words an item has
 
-    def bag_bound(self, item: np.ndarray, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray,
-                  width: int) -> np.ndarray:
-        """Whether enough words of each window are words of its item for any check to pass."""
+    def candidates(self, chosen: np.ndarray, place: np.ndarray, last: np.ndarray,
+                   length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(step, item) of the windows that hold enough words of the ``chosen`` items for any check to pass.
+
+        ``place``: hashed words, one column per step; ``last``: the step after each window.
+        """
+        table = np.zeros((BAG + 1, len(chosen)), dtype=np.uint8)  # the last row stands for no word
+        table[:BAG] = self.bags[chosen].T
+        need = self.least_words[chosen]
+        rows = max(length, COUNTS_AT_ONCE // len(chosen))
+        for i in range(0, len(last), rows):
+            part = place[:, i:i + rows + length]
+            counts = np.take(table, part[0], axis=0)
+            for j in range(1, STEP):
+                counts += np.take(table, part[j], axis=0)
+            upto = np.zeros((len(counts) + 1, len(chosen)), dtype=np.int32)
+            np.cumsum(counts, axis=0, out=upto[1:])
+            ends = last[i:i + rows] - i
+            at, col = np.nonzero(upto[ends] - upto[:len(ends)] >= need)
+            yield at + i, chosen[col]
+
+    def enough(self, item: np.ndarray, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray,
+               width: int) -> np.ndarray:
+        """Whether enough words of each item are in its window, every word of the item counted."""
         out = np.zeros(len(item), dtype=bool)
-        for i in range(0, len(item), STEPS_AT_ONCE):
-            rows = slice(i, i + STEPS_AT_ONCE)
-            at = begin[rows, None] + np.arange(width)
-            inside = at < end[rows, None]
-            place = (hashes[np.minimum(at, len(hashes) - 1)] & np.uint64(BAG - 1)).astype(np.int64)
-            shared = (self.bags[item[rows, None], place] & inside).sum(axis=1)
-            out[rows] = shared >= MIN_COMMON_WITH_ANSWER * self.lengths[item[rows]]
+        for which in np.unique(item).tolist():
+            words, mine = self.words[which], np.flatnonzero(item == which)
+            for i in range(0, len(mine), CANDIDATES_AT_ONCE):
+                rows = mine[i:i + CANDIDATES_AT_ONCE]
+                at = begin[rows, None] + np.arange(width)
+                window = hashes[np.minimum(at, end[rows, None] - 1)]
+                found = np.zeros(len(rows), dtype=np.int64)
+                for w, times in zip(*np.unique(words, return_counts=True)):
+                    found += np.where((window == w).any(axis=1), times, 0)
+                out[rows] = found >= self.least_words[which]
         return out
 
+    @property
+    def least_words(self) -> np.ndarray:
+        """Words of each item that a window must hold: all of a short one, else the lowest accepted share."""
+        n = self.lengths
+        return np.where(n < SHORT, n, np.ceil(MIN_COMMON_WITH_ANSWER * n - 1e-9).astype(np.int64))
+
     @property
     def lengths(self) -> np.ndarray:
         return np.array([len(w) for w in self.words])
@@ -396,6 +426,11 @@ def step_vectors(t: Tokens, step: np.ndarray, space: LatentSpace) -> np.ndarray:
     return out
 
 
+def cosine_of(words: np.ndarray, vector: np.ndarray, space: LatentSpace) -> float:
+    v = space.project((words >> np.uint64(50)).astype(np.int64)).sum(axis=0)
+    return float(v @ vector) / max(float(np.linalg.norm(v)), 1e-9)
+
+
 def find(column: pa.Array, space: LatentSpace, items: Items) -> dict[int, dict[int, tuple[float, float, int]]]:
     """{text: {item id: (share, cosine, first word)}} of the leaks in an array of texts."""
     t = tokens(column)
@@ -404,35 +439,23 @@ def find(column: pa.Array, space: LatentSpace, items: Items) -> dict[int, dict[i
         return found
     step, text_of, first = steps_of(t)
     n_steps = len(text_of)
-    single = step_vectors(t, step, space)
-    left = first[1:][text_of] - np.arange(n_steps)  # steps up to the end of the text
-    window = np.zeros_like(single)
-    for length in range(1, int(items.steps.max()) + 1):
-        # windows one step longer, as far as their text goes
-        grown = np.flatnonzero(left[:max(n_steps - length + 1, 0)] >= length)
-        window[grown] += single[grown + length - 1]
+    place = np.full((STEP, n_steps), BAG, dtype=np.int64)
+    starts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
+    place[np.arange(len(step)) - starts[step], step] = (t.hashes & np.uint64(BAG - 1)).astype(np.int64)
+    for length in np.unique(items.steps).tolist():
         chosen = np.flatnonzero(items.steps == length)
-        if not len(chosen):
-            continue
-        vectors = items.vectors[chosen].T
-        least = MIN_COSINE if space.basis.shape[1] >= MIN_RANK else -2.0
-        for i in range(0, n_steps, WINDOWS_AT_ONCE):
-            v = window[i:i + WINDOWS_AT_ONCE]
-            size = np.sqrt(np.einsum("ij,ij->i", v, v))
-            dots = v @ vectors
-            rows, cols = np.nonzero(dots >= least * np.maximum(size, 1e-9)[:, None])
-            cosine = dots[rows, cols] / np.maximum(size[rows], 1e-9)
-            item, at = chosen[cols], rows + i
+        last = np.minimum(np.arange(n_steps) + length, first[1:][text_of])
+        for at, item in items.candidates(chosen, place, last, length):
             text = text_of[at]
             begin = t.first[text] + (at - first[text]) * STEP
             end = np.minimum(begin + length * STEP, t.first[text + 1])
-            for k in np.flatnonzero(items.bag_bound(item, t.hashes, begin, end, length * STEP)).tolist():
+            for k in np.flatnonzero(items.enough(item, t.hashes, begin, end, length * STEP)).tolist():
                 which, window_words = item[k], t.hashes[begin[k]:end[k]]
                 share, answered = check_item(items.words[which], items.answers[which], window_words)
                 if is_leak(items.words[which], share, answered):
                     mine = found.setdefault(int(text[k]), {})
                     key = int(items.ids[which])
-                    hit = (share, float(cosine[k]), int(begin[k] - t.first[text[k]]))
+                    hit = (share, cosine_of(window_words, items.vectors[which], space), int(begin[k] - t.first[text[k]]))
                     if key not in mine or (hit[0], -hit[2]) > (mine[key][0], -mine[key][2]):
                         mine[key] = hit
     return found
@@ -458,7 +481,7 @@ class Decontaminator:
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, share, cosine, word): benchmark items found in documents.
 
-    An item is found where a window of its length holds at least ``MIN_COMMON`` of
+    An item is found wherever a window of its length holds at least ``MIN_COMMON`` of
     its words in order, or ``MIN_COMMON_WITH_ANSWER`` and its whole answer; items
     under ``SHORT`` words must be there in full. ``word`` is the first word of the
     best window (the first one of equals). Null and empty texts hold nothing, items

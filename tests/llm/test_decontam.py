@@ -68,6 +68,50 @@ def test_copies_and_paraphrases_are_found(spark):
     assert all(r.share == 1 for (i, _), r in got.items() if i % 12)
 
 
+def brute_leaks(texts, bench):
+    """All (text, item) of which some window passes the checks."""
+    out = set()
+    for d, text in enumerate(texts):
+        for i, (item, answer) in enumerate(bench):
+            width = -(-(len(item) + decontam.STEP - 1) // decontam.STEP) * decontam.STEP
+            for at in range(0, len(text), decontam.STEP):
+                window = text[at:at + width]
+                if len(set(item) & set(window)) > 2:
+                    share = lcs(item, window) / len(item)
+                    answered = len(answer) > 0 and lcs(answer, window) == len(answer)
+                    if share >= 0.8 or (answered and share >= 0.6):
+                        out.add((d, i))
+    return out
+
+
+def test_loose_paraphrases_and_short_items_are_found(spark):
+    rng = random.Random(18)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 8))) for _ in range(1500)]
+    words = lambda n: [rng.choice(vocab) for _ in range(n)]
+    bench = []
+    for i in range(40):
+        item = words(rng.choice([5, 6, 8, 10, 12, 15, 16, 39]))
+        bench.append((item, item[-2:]))
+    texts, planted = [], 0
+    for i in range(200):
+        item, answer = bench[i % 40]
+        copy, share = list(item), rng.choice([0.6, 0.7, 0.8, 1.0])
+        for at in rng.sample(range(len(item) - 2), int((1 - share) * len(item) + 1e-9)):
+            copy[at] = rng.choice(vocab)
+        if i % 3 == 0:
+            copy.insert(rng.randrange(len(copy)), rng.choice(vocab))
+        text = words(rng.randint(40, 200))
+        at = rng.randrange(len(text))
+        texts.append(text[:at] + copy + text[at:])
+        planted += share < 0.8
+    want = brute_leaks(texts, bench)
+    assert len(want) >= 200 and planted > 60
+    rows = [(i, f"{' '.join(item[:-2])}. {' '.join(answer)}") for i, (item, answer) in enumerate(bench)]
+    found = decontam.contaminated(documents(spark, [(i, " ".join(t), None, None) for i, t in enumerate(texts)]),
+                                  items(spark, rows))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
 def test_planted_passages(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
