@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imagora.llm import ann, decontam, htmltext, langid, linededup, mixing, separators, sharding, simhash, toolcalls
+from imagora.llm import (
+    ann, decontam, htmltext, langid, licenses, linededup, mixing, separators, sharding, simhash, toolcalls)
+from imagora.llm.licenserules import BASE, RULES, WINDOW
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -59,14 +61,21 @@ def op10_collision_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return ann.search(_table(spark, sf, "embeddings"))
 
 
+def op13_license_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """License labels of every document."""
+    return licenses.label_documents(_table(spark, sf, "documents")).withColumnRenamed("doc", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_rendezvous_shards, op2_tool_calls, op3_separator_scan, op4_simhash_groups, op5_mix_sources, op6_latent_leaks,
-    op7_byte_cnn_language, op8_style_tree_text, op9_line_runs, op10_collision_neighbours)}
+    op7_byte_cnn_language, op8_style_tree_text, op9_line_runs, op10_collision_neighbours, op13_license_rules)}
 
 # CRC-32 by bytes; the table k is made from the polynomial
 _CRC = ("xor(CAST(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'), "
         "lambda b: ('0x' || b)::BIGINT)), lambda c, d: xor(c >> 8, k[(xor(c, d) & 255) + 1])) AS BIGINT), 4294967295)")
 
+_VALUES = ", ".join(f"({r.number}, '{r.keyword}', '{r.pattern}', '{r.label}', {r.priority}, {r.weight}::DOUBLE)" for r in RULES)
+
 ORACLE = {
     "op1_rendezvous_shards": f"""
 WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
@@ -121,4 +130,25 @@ SELECT id AS call_id, tool, level, n AS n_results, tool = 'ask' AS valid,
     CASE WHEN tool = 'ask' THEN '' ELSE 'unknown n_chars' END AS errors,
     '{"arguments":' || arguments || ',"id":"' || id || '","level":' || level || ',"name":"' || tool || '","result":'
     || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json FROM j""",
+    "op13_license_rules": f"""
+WITH rules(number, keyword, pattern, label, priority, weight) AS (VALUES {_VALUES}),
+base(phrase, label) AS (VALUES {", ".join(f"('{phrase} ', '{label}')" for phrase, label in BASE)}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+places AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+wins AS (SELECT r, i - 1 AS start, w[i] AS word, array_to_string(w[i:i + {WINDOW - 1}], ' ') || ' ' AS win FROM places
+    WHERE w[i] IN (SELECT keyword FROM rules UNION SELECT split_part(phrase, ' ', 1) FROM base)),
+found AS (SELECT r, start, label, priority, weight, number, regexp_extract(win, '^(?:' || pattern || ') ') AS m
+    FROM wins JOIN rules ON word = keyword),
+det AS (SELECT *, start + length(m) - length(replace(m, ' ', '')) AS stop FROM found WHERE m <> ''),
+lost AS (SELECT DISTINCT a.r, a.start, a.number FROM det a JOIN det b ON a.r = b.r AND b.start <= a.start AND b.stop >= a.stop
+    AND (b.priority > a.priority OR b.priority = a.priority AND (b.start < a.start OR b.stop > a.stop OR b.number < a.number))),
+kept AS (SELECT det.* FROM det ANTI JOIN lost USING (r, start, number)),
+hits AS (SELECT r, start, label FROM wins JOIN base ON starts_with(win, phrase)),
+b AS (SELECT r, count(*) AS n, min(start) AS lo, max(start) AS hi, list_sort(list(DISTINCT label)) AS l FROM hits GROUP BY r),
+k AS (SELECT r, list_sort(list(DISTINCT label)) AS l, max(weight) AS top FROM (
+    SELECT r, label, weight FROM kept UNION ALL SELECT r, label, 0.6::DOUBLE FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word,
+    coalesce(array_to_string(b.l, ','), '') AS base_labels, coalesce(array_to_string(k.l, ','), '') AS labels,
+    coalesce(top, 0)::DOUBLE AS score FROM d LEFT JOIN b USING (r) LEFT JOIN k USING (r)""",
 }
