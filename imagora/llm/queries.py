@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imagora.llm import (
-    ann, decontam, htmltext, langid, licenses, linededup, mixing, separators, sharding, simhash, toolcalls)
+    ann, decontam, htmltext, langid, licenses, linededup, mixing, separators, sharding, simhash, spelling,
+    toolcalls)
 from imagora.llm.licenserules import BASE, RULES, WINDOW
 
 
@@ -61,6 +62,11 @@ def op10_collision_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return ann.search(_table(spark, sf, "embeddings"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every frequent word with its near words, its form and the end of its forms."""
+    return spelling.group_spellings(_table(spark, sf, "documents"))
+
+
 def op13_license_rules(spark: SparkSession, sf: str) -> DataFrame:
     """License labels of every document."""
     return licenses.label_documents(_table(spark, sf, "documents")).withColumnRenamed("doc", "doc_id")
@@ -68,7 +74,8 @@ def op13_license_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_rendezvous_shards, op2_tool_calls, op3_separator_scan, op4_simhash_groups, op5_mix_sources, op6_latent_leaks,
-    op7_byte_cnn_language, op8_style_tree_text, op9_line_runs, op10_collision_neighbours, op13_license_rules)}
+    op7_byte_cnn_language, op8_style_tree_text, op9_line_runs, op10_collision_neighbours, op11_spelling_variants,
+    op13_license_rules)}
 
 # CRC-32 by bytes; the table k is made from the polynomial
 _CRC = ("xor(CAST(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'), "
@@ -130,6 +137,29 @@ SELECT id AS call_id, tool, level, n AS n_results, tool = 'ask' AS valid,
     CASE WHEN tool = 'ask' THEN '' ELSE 'unknown n_chars' END AS errors,
     '{"arguments":' || arguments || ',"id":"' || id || '","level":' || level || ',"name":"' || tool || '","result":'
     || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json FROM j""",
+    # words one edit apart share what is left when one letter is taken out of one or of both
+    "op11_spelling_variants": f"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS k),
+r AS (SELECT id, run, count(*) AS m, id || ':' || run AS t FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY id, run),
+h AS (SELECT run, m, {_CRC} AS h FROM r, tab),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, m
+    FROM h),
+v AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+cut AS (SELECT DISTINCT word, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest
+    FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM v)),
+near AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+    UNION SELECT a.word, b.word FROM cut a JOIN v b ON a.rest = b.word
+    UNION SELECT b.word, a.word FROM cut a JOIN v b ON a.rest = b.word),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(other, (-v.n, other)) AS other, max(v.n) AS top
+    FROM near JOIN v ON v.word = other GROUP BY near.word),
+f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * n THEN other END AS form,
+    CASE WHEN top >= 5 * n THEN top END AS form_n FROM v LEFT JOIN best ON v.word = best.word),
+walk AS (SELECT word, word AS root, form AS next FROM f
+    UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON f.word = walk.next)
+SELECT f.word, n, n_near, form, form_n, root FROM f JOIN walk ON f.word = walk.word AND walk.next IS NULL""",
     "op13_license_rules": f"""
 WITH rules(number, keyword, pattern, label, priority, weight) AS (VALUES {_VALUES}),
 base(phrase, label) AS (VALUES {", ".join(f"('{phrase} ', '{label}')" for phrase, label in BASE)}),
