@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imagora.llm import (
-    ann, decontam, htmltext, langid, licenses, linededup, mixing, separators, sharding, simhash, spelling,
-    toolcalls)
+    ann, decontam, htmltext, langid, licenses, linededup, mixing, prefixtrie, separators, sharding, simhash,
+    spelling, toolcalls)
 from imagora.llm.licenserules import BASE, RULES, WINDOW
 
 
@@ -67,6 +67,11 @@ def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.group_spellings(_table(spark, sf, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Every prefix that rebuilt conversations share, or end at."""
+    return prefixtrie.conversation_trie(_table(spark, sf, "conversations"))
+
+
 def op13_license_rules(spark: SparkSession, sf: str) -> DataFrame:
     """License labels of every document."""
     return licenses.label_documents(_table(spark, sf, "documents")).withColumnRenamed("doc", "doc_id")
@@ -75,7 +80,7 @@ def op13_license_rules(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_rendezvous_shards, op2_tool_calls, op3_separator_scan, op4_simhash_groups, op5_mix_sources, op6_latent_leaks,
     op7_byte_cnn_language, op8_style_tree_text, op9_line_runs, op10_collision_neighbours, op11_spelling_variants,
-    op13_license_rules)}
+    op12_conversation_trie, op13_license_rules)}
 
 # CRC-32 by bytes; the table k is made from the polynomial
 _CRC = ("xor(CAST(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'), "
@@ -160,6 +165,31 @@ f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * n TH
 walk AS (SELECT word, word AS root, form AS next FROM f
     UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON f.word = walk.next)
 SELECT f.word, n, n_near, form, form_n, root FROM f JOIN walk ON f.word = walk.word AND walk.next IS NULL""",
+    "op12_conversation_trie": f"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS k),
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS m, CAST(conv_id AS VARCHAR) AS t FROM o GROUP BY conv_id),
+h AS (SELECT conv_id, m, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM c, tab),
+g AS (SELECT h.*, least(h.h, coalesce(b.m, 0)) AS got FROM h LEFT JOIN c b ON b.conv_id = base),
+r AS (SELECT g.conv_id, i AS pos, role, text FROM g JOIN o ON o.conv_id = base AND i < h
+    UNION ALL SELECT g.conv_id, i - h + got, role, text FROM g JOIN o ON o.conv_id = g.conv_id AND i >= h),
+path AS (SELECT conv_id, pos + 1 AS depth, length(text) AS size,
+    string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM r
+    UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+total AS (SELECT conv_id, max(depth) AS m FROM path GROUP BY conv_id),
+node AS (SELECT path, any_value(depth) AS depth, any_value(size) AS size, min(path.conv_id) AS conv_id, count(*) AS n,
+    coalesce(string_agg(path.conv_id::VARCHAR, ',' ORDER BY path.conv_id) FILTER (depth = m), '') AS ends
+    FROM path JOIN total USING (conv_id) GROUP BY path),
+kids AS (SELECT a.path, count(b.path) AS kids FROM node a LEFT JOIN node b
+    ON b.depth = a.depth + 1 AND left(b.path, 64 * a.depth::INT) = a.path GROUP BY a.path),
+sub AS (SELECT a.path, sum((b.n - 1) * b.size) AS saved, count(*) FILTER (kids = 0) AS leaves
+    FROM node a JOIN node b ON starts_with(b.path, a.path) JOIN kids ON kids.path = b.path GROUP BY a.path)
+SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n AS n_convs, kids AS n_children,
+    leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(node.ends) AS ends_sha256
+FROM node JOIN kids USING (path) JOIN sub USING (path)
+LEFT JOIN node up ON up.depth = node.depth - 1 AND left(node.path, 64 * up.depth::INT) = up.path""",
     "op13_license_rules": f"""
 WITH rules(number, keyword, pattern, label, priority, weight) AS (VALUES {_VALUES}),
 base(phrase, label) AS (VALUES {", ".join(f"('{phrase} ', '{label}')" for phrase, label in BASE)}),
