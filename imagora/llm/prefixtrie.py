@@ -284,8 +284,9 @@ def trie_nodes(found: DataFrame, batch_ends: tuple[int, ...] = BATCH_ENDS) -> Da
         trie.insert(classes.filter((F.col("len") > 0) & (part >= start) & (part < end)).select(
             "u0", "u1", "len", "k0", "k1", "cum"), longest or 0)
 
-    spark = found.sparkSession
-    root = spark.createDataFrame([(0, 0, 0, -1, None, None, 0, [], [], [])], _NODE).join(classes.select("n").limit(1)).drop("n")
+    at_root = {"p": F.lit(-1), "y0": F.lit(None), "y1": F.lit(None)}
+    root = classes.limit(1).select(*[at_root.get(f.name, F.array() if f.name in ("k0", "k1", "cum") else F.lit(0)).cast(
+        f.dataType).alias(f.name) for f in trie.nodes.schema.fields])
     kids = trie.nodes.groupBy(F.col("y0").alias("x0"), F.col("y1").alias("x1")).agg(F.count(F.lit(1)).alias("kids"))
     ends = classes.select(F.col("u0").alias("x0"), F.col("u1").alias("x1"), "n", "low")
     nodes = stage(trie.nodes.unionByName(root).join(kids, ["x0", "x1"], "left").join(ends, ["x0", "x1"], "left").withColumns(
