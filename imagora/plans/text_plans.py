@@ -130,15 +130,25 @@ def embed_text(spark, sf):
 SELECT p.token, f.df, f.cf::BIGINT AS cf, max(p.tf) AS max_tf, min(d.dl) AS min_dl
 FROM post p JOIN freq f USING (token) JOIN dl d USING (doc_id) GROUP BY ALL""")
 def bm25_index(spark, sf):
-    posts = lexical.postings(load(spark, sf, "documents"))
-    return posts.filter("token != ''").groupBy("token").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"),
-        F.min("dl").alias("min_dl"))
+    return ts.lexical_index(spark, sf).tokens.select("token", "df", "cf", "max_tf", "min_dl")
+
+
+# the leading bits of an id's digest part a long list into blocks of about 128
+@_register("bm25_blocks", f"""WITH {ts.SQL_BM25},
+bits AS (SELECT token, df, CASE WHEN df <= 128 THEN 0 ELSE length(bin(CAST(ceil(df / 128.0) AS BIGINT) - 1)) END AS bits FROM freq),
+placed AS (SELECT p.token, p.tf, d.dl, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT >> (32 - bits) AS block
+  FROM post p JOIN bits USING (token) JOIN dl d USING (doc_id), stat s WHERE bits = 0 OR 2 * df < s.n)
+SELECT token, CAST(block AS BIGINT) AS block, count(*) AS n,
+  round(max(tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / s.avgdl))), 9) AS peak
+FROM placed, stat s GROUP BY token, block""")
+def bm25_blocks(spark, sf):
+    """The stored blocks of postings and their maxima."""
+    return ts.lexical_index(spark, sf).blocks.select("token", "block", "n", F.round("peak", 9).alias("peak"))
 
 
 @_register("bm25_topk", f"WITH {ts.SQL_BM25} SELECT * FROM bm25 WHERE rank <= 50")
 def bm25_topk(spark, sf):
-    return lexical.bm25_topk(load(spark, sf, "documents"), ts.queries(spark, sf), fusion.TOP_K)
+    return ts.lexical_index(spark, sf).topk(ts.queries(spark, sf), fusion.TOP_K)
 
 
 @_register("bm25_topk_padded", f"""WITH {ts.SQL_BM25},
@@ -148,8 +158,10 @@ SELECT * FROM (SELECT instance_id, doc_id, score,
   row_number() OVER (PARTITION BY instance_id ORDER BY pad, score DESC, doc_id) AS rank FROM allp)
 WHERE rank <= 50""")
 def bm25_topk_padded(spark, sf):
-    return lexical.bm25_topk(load(spark, sf, "documents"), ts.queries(spark, sf), fusion.TOP_K,
-                             pad_zero=True)
+    asked = ts.queries(spark, sf)
+    ids = load(spark, sf, "documents").select("doc_id")
+    found = ts.lexical_index(spark, sf).topk(asked, fusion.TOP_K)
+    return lexical.pad_with_zero(found, asked.select("instance_id"), ids, fusion.TOP_K)
 
 
 _SQL_DENSE = f"""
@@ -186,7 +198,7 @@ _SQL_RRF = """SELECT instance_id, doc_id, round(score, 9) AS score, rank FROM (
 paths AS (SELECT instance_id, doc_id, rank FROM dense WHERE rank <= 100
           UNION ALL SELECT instance_id, doc_id, rank FROM bm25 WHERE rank <= 100) {_SQL_RRF}""")
 def hybrid_topk(spark, sf):
-    lex = lexical.bm25_topk(load(spark, sf, "documents"), ts.queries(spark, sf), fusion.PATH_DEPTH)
+    lex = ts.lexical_index(spark, sf).topk(ts.queries(spark, sf), fusion.PATH_DEPTH)
     out = fusion.rrf(fusion.union_paths(lex, _dense_text(spark, sf, fusion.PATH_DEPTH)))
     return out.select("instance_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
@@ -250,7 +262,7 @@ def fused_topk_text(spark, sf):
     """Four paths: meta, body and code centroids of the samples, and BM25."""
     paths = dense.search(_text_field_library(spark, sf), _text_field_queries(spark, sf),
                          fusion.PATH_DEPTH, ("instance_id",))
-    lex = lexical.bm25_topk(load(spark, sf, "documents"), ts.queries(spark, sf), fusion.PATH_DEPTH)
+    lex = ts.lexical_index(spark, sf).topk(ts.queries(spark, sf), fusion.PATH_DEPTH)
     out = fusion.rrf(fusion.union_paths(paths, lex))
     return out.select("instance_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
@@ -271,7 +283,7 @@ def fused_fallback_text(spark, sf):
     paths = dense.search(_text_field_library(spark, sf).unionByName(whole),
                          fields.select("instance_id", "field", "vec").unionByName(own),
                          fusion.PATH_DEPTH, ("instance_id",))
-    lex = lexical.bm25_topk(load(spark, sf, "documents"), ts.queries(spark, sf), fusion.PATH_DEPTH)
+    lex = ts.lexical_index(spark, sf).topk(ts.queries(spark, sf), fusion.PATH_DEPTH)
     out = fusion.rrf(fusion.union_paths(paths, lex))
     return out.select("instance_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
@@ -281,7 +293,7 @@ def fused_fallback_text(spark, sf):
 def _sentence_sides(spark, sf):
     """(instance_id, doc_id, cand, hyp): bounded sentence vectors of the top
     document and of the samples."""
-    top = lexical.bm25_topk(load(spark, sf, "documents"), ts.queries(spark, sf), 1)
+    top = ts.lexical_index(spark, sf).topk(ts.queries(spark, sf), 1)
     cand = top.join(load(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(
         "instance_id", "doc_id",
         F.slice(tx.sentences(F.col("text")), 1, gating.CANDIDATE_SENTENCES).alias("cand"))
@@ -365,7 +377,7 @@ def planted_gold(spark, sf):
 def bm25_quality(spark, sf):
     """Flagship: mean recall and nDCG of BM25 on the annotated queries."""
     gold = ts.gold(spark, sf)
-    run = lexical.bm25_topk(load(spark, sf, "documents"), ts.queries(spark, sf), fusion.TOP_K)
+    run = ts.lexical_index(spark, sf).topk(ts.queries(spark, sf), fusion.TOP_K)
     wanted = gold.select("instance_id").distinct().join(
         ts.queries(spark, sf).select("instance_id", "domain"), "instance_id")
     runs = run.join(wanted, "instance_id")

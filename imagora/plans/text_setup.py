@@ -3,14 +3,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imagora.functions import text as tx
-from imagora.operators import samples, sizing
-from imagora.plans.tables import load, staged
+from imagora.operators import block_index, samples, sizing
+from imagora.plans.tables import load, once, stage_path, staged
 
 K = 4
 OFFSET_STEP = 40
@@ -88,6 +89,14 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
                        lambda pairs: staged(spark, sf, "gold_pairs", lambda: pairs))
 
 
+def lexical_index(spark: SparkSession, sf: str) -> block_index.BlockIndex:
+    """The stored BM25 index of `documents`, made once."""
+    path = stage_path(spark, sf, "bm25_index")
+    table = "bm25_" + hashlib.md5(path.encode()).hexdigest()[:16]
+    once(path, lambda: block_index.build(load(spark, sf, "documents"), path, table))
+    return block_index.read(spark, path, table)
+
+
 def stand_in_samples(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
     """(instance_id, sample_index, md): offline samples, each from a later part of the task."""
     q = queries(spark, sf).select("instance_id", "query",

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -49,6 +50,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to a folder of its own in the shared folder and read back: lineage ends here."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the workers, once per application.
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from imagora.operators import dense, fusion, hypothesis, lexical, sizing
+from imagora.operators import block_index, dense, fusion, hypothesis, lexical, sizing
 
 DOCS = [("s0", "red green red blue"), ("s1", "green"), ("s2", "blue blue blue violet ochre umber"),
         ("s3", "ochre green grey grey"), ("s4", "teal"), ("s5", "umber violet grey teal teal red")]
@@ -69,6 +69,51 @@ def test_bm25_from_bucketed_index(spark):
     spark.sql("DROP TABLE posts_test")
 
 
+def zipf_docs(n, seed):
+    """Texts of a skewed vocabulary, each with a rare word now and then."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        words = [f"w{min(int(w), 400)}" for w in rng.zipf(1.3, rng.integers(1, 60))]
+        rows.append((i, " ".join(words + [f"rare{rng.integers(0, n // 8)}"] * int(rng.random() < 0.5))))
+    return rows
+
+
+def test_block_index_equals_the_scan_and_skips_blocks(spark, tmp_path):
+    rows = zipf_docs(3000, 1) + [(3000, None), (3001, ""), (3002, "w9 " * 500)]
+    corpus = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    rng = np.random.default_rng(2)
+    texts = [" ".join([f"w{min(int(w), 400)}" for w in rng.zipf(1.4, 12)] + [f"rare{r}" for r in rng.integers(0, 375, 2)])
+             for _ in range(12)] + ["w7 w7 w8", "rare3", "unknown words only", "", "w9"]
+    asked = queries(spark, *texts)
+    index = block_index.build(corpus, str(tmp_path), "block_index_test", block=16, buckets=8)
+    for k in (1, 10, 50):
+        got, first, second = index.search(asked, k)
+        assert ranked(got) == ranked(lexical.bm25_topk(corpus, asked, k))
+        if k == 10:
+            terms = lexical.query_terms(asked)
+            stored = index.weighted(terms).join(index.blocks, "token").count()
+            assert first.count() + second.count() < stored * 0.8, (first.count(), second.count(), stored)
+    # a scan that is not planned as bucketed opens the same files but does not say so
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    plan = index.named(lexical.query_terms(queries(spark, "rare3")))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert "SelectedBucketsCount: 1 out of 8" in plan
+    texts_read = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in texts_read
+    spark.sql("DROP TABLE block_index_test")
+
+
+def test_block_index_of_few_and_no_documents(spark, tmp_path):
+    index = block_index.build(docs(spark), f"{tmp_path}/a", "block_index_few", buckets=2)
+    qs = queries(spark, "violet ochre red", "teal teal umber", "mauve")
+    assert ranked(index.topk(qs, 5)) == ranked(lexical.bm25_topk(docs(spark), qs, 5))
+    none = block_index.build(docs(spark).limit(0), f"{tmp_path}/b", "block_index_none", buckets=2)
+    assert none.topk(qs, 5).collect() == [] and none.n_docs == 0
+    for name in ("few", "none"):
+        spark.sql(f"DROP TABLE block_index_{name}")
+
+
 def vectors(n, dim, seed, digits=1):
     # few digits, so that equal scores occur and ties must break by id
     return np.round(np.random.default_rng(seed).standard_normal((n, dim)), digits)
