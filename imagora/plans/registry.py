@@ -11,7 +11,7 @@ for _module in (text_plans, vector_plans, eval_plans, ablation_plans, ledger_pla
     ORACLE.update(_module.ORACLE)
 
 # columns that are INT here while SQL counts and row numbers are BIGINT
-_RANKED = ("bm25_topk bm25_topk_padded fused_fallback_text dense_topk_text hybrid_topk fused_topk_text dense_topk "
+_RANKED = ("bm25_topk bm25_topk_padded fused_fallback_text dense_topk_text hybrid_topk fused_topk_text dense_topk dense_topk_bounded "
            "hypo_topk_sentence hypo_topk_passage hypo_topk_skill field_paths fused_topk "
            "fused_fallback two_stage_topk rerank_cosine rrf routed_run gate_apply leaderboard "
            "scan_run scan_named_runs two_stage_topk_text").split()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from imagora.functions import vector as vx
-from imagora.operators import dense, fusion, hypothesis
+from imagora.operators import clustered, dense, fusion, hypothesis
 from imagora.plans import vector_setup as vs
 
 QUERIES: dict = {}
@@ -83,11 +83,21 @@ def agreement(spark, sf):
         "instance_id", F.round("agreement", 6).alias("agreement"), "n")
 
 
-@_register("dense_topk", f"""WITH {vs.sql_base()}
+_SQL_TOPK = f"""WITH {vs.sql_base()}
 SELECT * FROM (SELECT instance_id, doc_id, score,
   row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, doc_id) AS rank
 FROM (SELECT q.instance_id, e.vec_id AS doc_id, round(list_dot_product(q.v, e.v), 6) AS score FROM q, e))
-WHERE rank <= 50""")
+WHERE rank <= 50"""
+
+
+@_register("dense_topk_bounded", _SQL_TOPK)
+def dense_topk_bounded(spark, sf):
+    """The same rows out of a clustered library whose clusters are left out by bounds."""
+    lib = clustered.build(vs.library(spark, sf, ("full",)).select("doc_id", "vec"))
+    return lib.search(vs.queries(spark, sf).select("instance_id", "vec"), fusion.TOP_K, ["instance_id"])
+
+
+@_register("dense_topk", _SQL_TOPK)
 def dense_topk(spark, sf):
     qs = vs.queries(spark, sf).select("instance_id", F.lit("full").alias("field"), "vec")
     return dense.search(vs.library(spark, sf, ("full",)), qs, fusion.TOP_K,

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from imagora.operators import block_index, dense, fusion, hypothesis, lexical, sizing
+from imagora.operators import block_index, clustered, dense, fusion, hypothesis, lexical, sizing
 
 DOCS = [("s0", "red green red blue"), ("s1", "green"), ("s2", "blue blue blue violet ochre umber"),
         ("s3", "ochre green grey grey"), ("s4", "teal"), ("s5", "umber violet grey teal teal red")]
@@ -219,3 +219,48 @@ def test_blank_samples_count_and_keep_their_query(spark):
     out = {r.instance_id: r.vec for r in hypothesis.field_centroids(fields, anchors, drawn=drawn).collect()}
     assert set(out) == {1, 2} and out[2] == [0.0, 1.0]
     assert out[1] == pytest.approx([3 / math.sqrt(10), 1 / math.sqrt(10)])
+
+
+def clustered_vectors(n, groups, dim, seed, spread=0.05):
+    rng = np.random.default_rng(seed)
+    middle = rng.standard_normal((groups, dim))
+    return np.round(middle[rng.integers(0, groups, n)] + spread * rng.standard_normal((n, dim)), 3)
+
+
+def top_rows(spark, lib, asked, k):
+    """Both searches over the same rows, and the products of the clustered one."""
+    l = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(lib)], "doc_id bigint, vec array<double>").repartition(4)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "instance_id bigint, vec array<double>").repartition(3)
+    built = clustered.build(l, clusters=40)
+    got, routed = built.steps(q, k, ["instance_id"])
+    field = lambda df: df.withColumn("field", F.lit("full"))
+    want = dense.search(field(l), field(q), k, ("instance_id",))
+    per_chunk = built.vectors.groupBy("cluster", "chunk").count()
+    products = sum(r.join(per_chunk, ["cluster", "chunk"]).agg(F.sum("count")).first()[0] or 0 for r in routed)
+    return ranked(got), ranked(want), products
+
+
+@pytest.mark.parametrize("chunk", [8192, 37])
+def test_clustered_search_is_exact_and_leaves_clusters_out(spark, monkeypatch, chunk):
+    monkeypatch.setattr(clustered, "CHUNK", chunk)
+    lib = clustered_vectors(3000, 40, 16, 1)
+    asked = clustered_vectors(60, 40, 16, 1)
+    got, want, products = top_rows(spark, lib, asked, 10)
+    assert got == want and len(got) == 600
+    assert products < len(lib) * len(asked) / 3, products / (len(lib) * len(asked))
+
+
+def test_clustered_search_without_structure(spark, monkeypatch):
+    monkeypatch.setattr(clustered, "QUERY_BLOCK", 7)
+    lib, asked = vectors(300, 6, 3), vectors(25, 6, 4)
+    lib[10:60] = lib[9]
+    got, want, _ = top_rows(spark, lib, asked, 30)
+    assert got == want
+    # fewer documents than asked for, none at all, and queries without a vector
+    got, want, _ = top_rows(spark, lib[:5], asked, 30)
+    assert got == want and len(got) == 125
+    none = spark.createDataFrame([], "doc_id bigint, vec array<double>")
+    q = spark.createDataFrame([(1, [1.0, 2.0]), (2, []), (3, None)], "instance_id bigint, vec array<double>")
+    assert clustered.build(none).search(q, 5, ["instance_id"]).collect() == []
+    one = spark.createDataFrame([(4, [0.5, 0.5])], "doc_id bigint, vec array<double>")
+    assert [tuple(r) for r in clustered.build(one).search(q, 5, ["instance_id"]).collect()] == [(1, 4, 1.5, 1)]
