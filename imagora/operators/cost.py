@@ -45,14 +45,14 @@ def token_cost(totals: DataFrame, k: Column | int = 1) -> DataFrame:
         .withColumn("output_per_generation", tout / F.nullif(F.col("generations"), F.lit(0))))
 
 
-def routed_totals(router: DataFrame, totals: DataFrame) -> DataFrame:
-    """Totals of each domain's picked template, summed over domains.
+def routed_totals(router: DataFrame, totals: DataFrame, keys: Sequence[str] = ("domain",)) -> DataFrame:
+    """Totals of each domain's picked template.
 
-    ``router``: domain, pick; ``totals``: domain, template and the sums.
+    ``router``: keys, pick; ``totals``: keys, template and the sums.
     """
     template = F.create_map(*[F.lit(x) for kv in VARIANT_TEMPLATE.items() for x in kv])
-    picked = router.select("domain", F.element_at(template, F.col("pick")).alias("template"))
-    return picked.join(totals, ["domain", "template"])
+    picked = router.select(*keys, F.element_at(template, F.col("pick")).alias("template"))
+    return picked.join(totals, [*keys, "template"])
 
 
 def sum_totals(totals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

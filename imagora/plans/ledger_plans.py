@@ -235,11 +235,15 @@ def pack_samples(spark, sf):
 MODEL = "stand-in"
 
 
-def _grid(spark, sf, k=3):
+#: The largest K of the experiments: the grid of every audit and generation.
+GRID_K = max(vs.K_VALUES)
+
+
+def _grid(spark, sf, k=GRID_K):
     return samples.required_grid(ts.conversation_samples(spark, sf), k, MODEL)
 
 
-def _stored(spark, sf, k=3):
+def _stored(spark, sf, k=GRID_K):
     """Conversation answers keyed like the grid; short ones blank, long ones unreadable.
 
     Of several conversations with one query, the first one's answer stands.
@@ -255,7 +259,7 @@ def _stored(spark, sf, k=3):
 
 _SQL_GRIDQ = f"""WITH {ts.SQL_CONV}, {sql_templates()},
 grid AS (SELECT query, template, template_text, i AS sample_index, replace(template_text, '{{q}}', query) AS prompt
-  FROM (SELECT DISTINCT query FROM cs), tpl, range(3) r(i)),
+  FROM (SELECT DISTINCT query FROM cs), tpl, range({GRID_K}) r(i)),
 st AS (SELECT query, template, sample_index, arg_min(text, (instance_id, text)) AS text FROM cs GROUP BY ALL),
 st2 AS (SELECT query, template, sample_index, CASE WHEN length(text) < 200 THEN '' WHEN length(text) > 2500 THEN NULL ELSE text END AS text FROM st)"""
 
@@ -365,37 +369,46 @@ def reuse_audit(spark, sf):
 # ------------------------------------------------------------------ cost
 
 def _cost_rows(spark, sf):
-    """(instance_id, domain, template, query, prompt, texts) per conversation."""
-    p = samples.prefix_pack(ts.conversation_samples(spark, sf), 4, ("instance_id", "domain", "query"))
+    """(instance_id, domain, template, query, prompt, texts) per conversation, up to the largest K texts."""
+    p = samples.prefix_pack(ts.conversation_samples(spark, sf), GRID_K, ("instance_id", "domain", "query"))
     tpl = F.create_map(*[F.lit(x) for kv in prompts.TEMPLATES.items() for x in kv])
     return p.select("instance_id", "domain", "template", "query", "texts",
                     prompts.render(F.element_at(tpl, F.col("template")), F.col("query")).alias("prompt"))
 
 
+def _per_k(rows):
+    """The rows once for every K, with the first K texts."""
+    ks = rows.withColumn("k_samples", F.explode(F.array(*[F.lit(k).cast("bigint") for k in vs.K_VALUES])))
+    return ks.withColumn("texts", F.slice("texts", F.lit(1), F.col("k_samples").cast("int")))
+
+
 _SQL_COST = f"""WITH {ts.SQL_CONV}, {sql_templates()},
-cr AS (SELECT instance_id, domain, template, query, length(replace(any_value(template_text), '{{q}}', query)) AS prompt_chars,
+kk(k_samples) AS (VALUES {', '.join(f'({k}::BIGINT)' for k in vs.K_VALUES)}),
+cr AS (SELECT k_samples, instance_id, domain, template, query, length(replace(any_value(template_text), '{{q}}', query)) AS prompt_chars,
     sum(length(text)) AS output_chars, count(*) AS generations
-  FROM cs JOIN tpl USING (template) WHERE sample_index < 4 GROUP BY instance_id, domain, template, query),
+  FROM cs JOIN tpl USING (template) JOIN kk ON sample_index < k_samples GROUP BY k_samples, instance_id, domain, template, query),
 fo AS (SELECT cr.* FROM cr JOIN (SELECT query, min(instance_id) AS instance_id FROM cr GROUP BY 1) USING (query, instance_id)),
-tt AS (SELECT 'template' AS scope, '' AS domain, template, count(*) AS queries, sum(prompt_chars)::BIGINT AS prompt_chars,
-    sum(output_chars)::BIGINT AS output_chars, sum(generations)::BIGINT AS generations FROM cr GROUP BY template
-  UNION ALL SELECT 'domain_template', domain, template, count(*), sum(prompt_chars)::BIGINT, sum(output_chars)::BIGINT, sum(generations)::BIGINT FROM cr GROUP BY domain, template
-  UNION ALL SELECT 'unique_queries', '', template, count(*), sum(prompt_chars)::BIGINT, sum(output_chars)::BIGINT, sum(generations)::BIGINT FROM fo GROUP BY template)"""
+tt AS (SELECT k_samples, 'template' AS scope, '' AS domain, template, count(*) AS queries, sum(prompt_chars)::BIGINT AS prompt_chars,
+    sum(output_chars)::BIGINT AS output_chars, sum(generations)::BIGINT AS generations FROM cr GROUP BY k_samples, template
+  UNION ALL SELECT k_samples, 'domain_template', domain, template, count(*), sum(prompt_chars)::BIGINT, sum(output_chars)::BIGINT, sum(generations)::BIGINT
+    FROM cr GROUP BY k_samples, domain, template
+  UNION ALL SELECT k_samples, 'unique_queries', '', template, count(*), sum(prompt_chars)::BIGINT, sum(output_chars)::BIGINT, sum(generations)::BIGINT
+    FROM fo GROUP BY k_samples, template)"""
 
 
 @_register("text_totals", _SQL_COST + " SELECT * FROM tt")
 def text_totals(spark, sf):
     rows = _cost_rows(spark, sf)
-    per = cost.text_totals(rows, ["domain", "template"]).withColumn("scope", F.lit("domain_template"))
-    total = cost.sum_totals(per, ["template"]).select(
+    per = cost.text_totals(_per_k(rows), ["k_samples", "domain", "template"]).withColumn("scope", F.lit("domain_template"))
+    total = cost.sum_totals(per, ["k_samples", "template"]).select(
         "*", F.lit("").alias("domain"), F.lit("template").alias("scope"))
-    uniq = cost.text_totals(samples.first_occurrence(rows, "query", ["instance_id"]), ["template"]).select(
+    uniq = cost.text_totals(_per_k(samples.first_occurrence(rows, "query", ["instance_id"])), ["k_samples", "template"]).select(
         "*", F.lit("").alias("domain"), F.lit("unique_queries").alias("scope"))
     return per.unionByName(total).unionByName(uniq)
 
 
-_SQL_TOK = ("round(prompt_chars * {k} / 3.8::DOUBLE, 6) AS input_tokens, round(output_chars / 3.8::DOUBLE, 6) AS output_tokens, "
-            "round((prompt_chars * {k} / 3.8::DOUBLE + output_chars / 3.8::DOUBLE) / queries, 6) AS total_per_query, "
+_SQL_TOK = ("round(prompt_chars * k_samples / 3.8::DOUBLE, 6) AS input_tokens, round(output_chars / 3.8::DOUBLE, 6) AS output_tokens, "
+            "round((prompt_chars * k_samples / 3.8::DOUBLE + output_chars / 3.8::DOUBLE) / queries, 6) AS total_per_query, "
             "round(output_chars / 3.8::DOUBLE / generations, 6) AS output_per_generation")
 
 
@@ -404,22 +417,26 @@ def _tok_cols(df, *keys):
         F.round(c, 6).alias(c) for c in ("input_tokens", "output_tokens", "total_per_query", "output_per_generation")])
 
 
-@_register("token_cost", _SQL_COST + f" SELECT template, queries, generations, {_SQL_TOK.format(k=4)} FROM tt WHERE scope = 'template'")
+@_register("token_cost", _SQL_COST + f" SELECT k_samples, template, queries, generations, {_SQL_TOK} FROM tt WHERE scope = 'template'")
 def token_cost(spark, sf):
-    return _tok_cols(cost.token_cost(cost.text_totals(_cost_rows(spark, sf), ["template"]), 4), "template")
+    """Tokens of every K: the prompt is paid once a sample."""
+    totals = cost.text_totals(_per_k(_cost_rows(spark, sf)), ["k_samples", "template"])
+    return _tok_cols(cost.token_cost(totals, F.col("k_samples")), "k_samples", "template")
 
 
 @_register("routed_cost", _SQL_COST + f""",
-rt AS (SELECT domain, arg_max(template, output_chars) AS template FROM tt WHERE scope = 'domain_template' GROUP BY 1),
-s AS (SELECT sum(queries)::BIGINT AS queries, sum(prompt_chars) AS prompt_chars, sum(output_chars) AS output_chars, sum(generations)::BIGINT AS generations
-  FROM tt JOIN rt USING (domain, template) WHERE scope = 'domain_template')
-SELECT queries, generations, {_SQL_TOK.format(k=4)} FROM s""")
+rt AS (SELECT k_samples, domain, arg_max(template, output_chars) AS template FROM tt WHERE scope = 'domain_template' GROUP BY ALL),
+s AS (SELECT k_samples, sum(queries)::BIGINT AS queries, sum(prompt_chars) AS prompt_chars, sum(output_chars) AS output_chars,
+    sum(generations)::BIGINT AS generations
+  FROM tt JOIN rt USING (k_samples, domain, template) WHERE scope = 'domain_template' GROUP BY k_samples)
+SELECT k_samples, queries, generations, {_SQL_TOK} FROM s""")
 def routed_cost(spark, sf):
-    """Each domain routed to the template with the most text."""
-    per = cost.text_totals(_cost_rows(spark, sf), ["domain", "template"])
-    router = per.groupBy("domain").agg(
+    """Each domain routed to the template with the most text, for every K."""
+    per = cost.text_totals(_per_k(_cost_rows(spark, sf)), ["k_samples", "domain", "template"])
+    router = per.groupBy("k_samples", "domain").agg(
         F.concat(F.lit("hypo_"), F.max_by("template", "output_chars")).alias("pick"))
-    return _tok_cols(cost.token_cost(cost.sum_totals(cost.routed_totals(router, per)), 4))
+    routed = cost.sum_totals(cost.routed_totals(router, per, ["k_samples", "domain"]), ["k_samples"])
+    return _tok_cols(cost.token_cost(routed, F.col("k_samples")), "k_samples")
 
 
 @_register("cost_audit", _SQL_COST + """,

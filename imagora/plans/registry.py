@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from imagora.plans import ablation_plans, check_plans, eval_plans, ledger_plans, text_plans, vector_plans
 
 QUERIES: dict = {}
@@ -30,4 +32,9 @@ for _name, _cols in _INT_COLUMNS.items():
     _casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in _cols)
     ORACLE[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLE[_name]}) _t"
 
+# long chains whose tables are read again and again
+for _name in ("routed_run", "gate_apply", "reuse_audit"):
+    ORACLE[_name] = re.sub(r"(?<=[\s,])(\w+(?:\(\w+(?:, ?\w+)*\))?) AS \((?=\s*(?:SELECT|VALUES|WITH|FROM))",
+                           r"\1 AS MATERIALIZED (", ORACLE[_name])
+
 flagship = text_plans.bm25_quality
