@@ -221,7 +221,8 @@ def hierarchical(cells: DataFrame, group: Sequence[str], outer: str, inner: str,
                  replicates: int, seed: int | str = 0) -> DataFrame:
     """Resample outer units, then inner units within each sampled outer unit.
 
-    ``cells``: group, outer, inner, a, b over a full outer x inner matrix.
+    ``cells``: group, outer, inner, a, b over a full outer x inner matrix; the matrix of a
+    group (models x domains) is held as one array.
     """
     diff = cells.withColumn("_d", F.col("a") - F.col("b"))
     units = ranking.hashed_rank(diff.select(*group, outer).distinct(), group, [outer], seed,
@@ -231,16 +232,27 @@ def hierarchical(cells: DataFrame, group: Sequence[str], outer: str, inner: str,
     sizes = units.select(*group, "_on").distinct().join(
         inners.select(*group, "_in").distinct(), list(group))
     key = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in group])
-    slots = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))) \
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), (F.col("_on") - 1).cast("int")))) \
-        .withColumn("_oi", draw(key, F.col("replicate"), F.col("_i"), F.col("_on"))) \
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), (F.col("_in") - 1).cast("int")))) \
-        .withColumn("_ii", draw(F.concat_ws(":", key, F.col("_i").cast("string")),
-                                F.col("replicate"), F.col("_j"), F.col("_in")))
-    indexed = diff.join(units.drop("_on"), [*group, outer]).join(inners.drop("_in"), [*group, inner])
-    hit = slots.select(*group, "replicate", "_oi", "_ii").join(
-        indexed.select(*group, "_oi", "_ii", "_d"), [*group, "_oi", "_ii"])
-    means = hit.groupBy(*group, "replicate").agg(F.round(F.avg("_d"), MEAN_DIGITS).alias("mean"))
+    # a group's matrix is one array, so draws look cells up in their own row and nothing is joined per draw
+    indexed = diff.join(units.drop("_on"), [*group, outer]).join(inners.drop("_in"), [*group, inner]).join(sizes, list(group))
+    place = (F.col("_oi") * F.col("_in") + F.col("_ii")).cast("int")
+    cells_at = indexed.select(*group, "_on", "_in", place.alias("_p"), "_d").groupBy(*group, "_on", "_in", "_p").agg(
+        F.sum("_d").alias("_s"), F.count("_d").alias("_c"))
+    matrix = cells_at.groupBy(*group, "_on", "_in").agg(
+        F.map_from_entries(F.collect_list(F.struct("_p", F.struct("_s", "_c")))).alias("_m")).select(
+        *group, "_on", "_in", F.transform(F.sequence(F.lit(0), (F.col("_on") * F.col("_in") - 1).cast("int")),
+                                          lambda p: F.try_element_at("_m", p)).alias("_m"))
+    upto = lambda n: F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
+    row = lambda i, at: F.transform(upto("_in"), lambda j: F.get("_m", (
+        at * F.col("_in") + draw(F.concat_ws(":", key, i.cast("string")), F.col("replicate"), j, F.col("_in"))).cast("int")))
+    drawn = F.flatten(F.transform(upto("_on"), lambda i: F.flatten(F.transform(
+        F.array(draw(key, F.col("replicate"), i, F.col("_on"))), lambda at: row(i, at)))))
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = matrix.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(parts, "replicate")
+    so_far = lambda total, count: F.struct(total.alias("total"), count.alias("count"))
+    mean = F.aggregate(drawn, so_far(F.lit(0.0), F.lit(0).cast("bigint")), lambda t, x: so_far(
+        t["total"] + F.coalesce(x["_s"], F.lit(0.0)), t["count"] + F.coalesce(x["_c"], F.lit(0).cast("bigint"))),
+        lambda t: t["total"] / F.nullif(t["count"], F.lit(0).cast("bigint")))
+    means = each.select(*group, "replicate", F.round(mean, MEAN_DIGITS).alias("mean"))
     obs = cells.groupBy(*group).agg(
         F.count_distinct(outer).alias("n_outer"), F.count_distinct(inner).alias("n_inner"),
         F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"),
