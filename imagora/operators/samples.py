@@ -163,6 +163,31 @@ def prefix_violations(big: DataFrame, small: DataFrame, k: int,
     return joined.select(*on, problem.alias("problem")).filter(F.col("problem").isNotNull())
 
 
+def chained_digests(packs: DataFrame, ks: Sequence[int], keys: Sequence[str] = ("instance_id",)) -> DataFrame:
+    """(keys, template, k_samples, n, digest) for every K: a digest of the first K texts of a pack.
+
+    Each link hashes the digest before it and the length-prefixed text, so one pass
+    over a pack proves the prefixes of every K, and equal digests mean equal
+    texts in equal order. A pack of fewer texts ends with its last link.
+    """
+    link = lambda before, t: F.sha2(F.concat_ws(":", before, F.octet_length(F.coalesce(t, F.lit(""))).cast("string"),
+                                                F.when(t.isNull(), F.lit("0")).otherwise(F.lit("1")), t).cast("binary"), 256)
+    chain = F.aggregate("texts", F.array(F.lit("")), lambda done, t: F.concat(done, F.array(link(F.element_at(done, -1), t))))
+    linked = packs.select(*keys, "template", chain.alias("_chain")).withColumn(
+        "k_samples", F.explode(F.array(*[F.lit(k) for k in ks])))
+    n = F.least(F.col("k_samples"), F.size("_chain") - 1)
+    return linked.select(*keys, "template", "k_samples", n.alias("n"), F.get("_chain", n).alias("digest"))
+
+
+def prefix_proofs(big: DataFrame, small: DataFrame, keys: Sequence[str] = ("instance_id",)) -> DataFrame:
+    """(template, k_samples, same, differs, absent, extra): two tables of chained digests compared for every K."""
+    on = [*keys, "template", "k_samples"]
+    joined = big.select(*on, F.col("digest").alias("_b")).join(small.select(*on, F.col("digest").alias("_s")), on, "full_outer")
+    return joined.groupBy("template", "k_samples").agg(
+        F.count_if(F.col("_b") == F.col("_s")).alias("same"), F.count_if(F.col("_b") != F.col("_s")).alias("differs"),
+        F.count_if(F.col("_s").isNull()).alias("absent"), F.count_if(F.col("_b").isNull()).alias("extra"))
+
+
 def query_differences(big: DataFrame, small: DataFrame) -> DataFrame:
     """(instance_id, problem): queries absent, extra, or with another text in the smaller pack."""
     a = big.groupBy("instance_id").agg(F.min("query").alias("_b"), F.lit(True).alias("_in_b"))

@@ -335,6 +335,39 @@ def prefix_check(spark, sf):
     return samples.prefix_violations(samples.prefix_pack(s), samples.prefix_pack(altered, 2), 2)
 
 
+def _chain_sql(name, source):
+    """CTE of chained digests of every K of (instance_id, template, sample_index, text) rows."""
+    return f"""{name}t AS (SELECT instance_id, template, list_transform(list_sort(list({{'i': sample_index, 't': text}})), lambda x: x.t) AS texts
+  FROM {source} WHERE sample_index < {GRID_K} GROUP BY ALL),
+{name} AS (SELECT instance_id, template, k_samples::INTEGER AS k_samples, least(k_samples, len(texts))::INTEGER AS n,
+    list_reduce(list_prepend('', texts[1:k_samples]), lambda d, t: sha256(d || ':' || strlen(t) || ':1:' || t)) AS digest
+  FROM {name}t, (VALUES {', '.join(f'({k})' for k in vs.K_VALUES)}) kk(k_samples))"""
+
+
+@_register("prefix_digests", f"""WITH {ts.SQL_CONV}, {_chain_sql('ch', 'cs')}
+SELECT instance_id, template, k_samples, n, digest FROM ch""")
+def prefix_digests(spark, sf):
+    """The digest of the first K samples of every query, for every K."""
+    return samples.chained_digests(samples.prefix_pack(ts.conversation_samples(spark, sf), GRID_K), vs.K_VALUES)
+
+
+@_register("prefix_proofs", f"""WITH {ts.SQL_CONV},
+al AS MATERIALIZED (SELECT CASE WHEN domain = 'long' THEN -1 - instance_id ELSE instance_id END AS instance_id, template, sample_index,
+    CASE WHEN template = 'skill' AND sample_index = 2 THEN text || '!' ELSE text END AS text FROM cs),
+{_chain_sql('ch', 'cs')}, {_chain_sql('ca', 'al')}
+SELECT template, k_samples, count(CASE WHEN a.digest = b.digest THEN 1 END) AS same, count(CASE WHEN a.digest <> b.digest THEN 1 END) AS differs,
+  count(CASE WHEN b.digest IS NULL THEN 1 END) AS absent, count(CASE WHEN a.digest IS NULL THEN 1 END) AS extra
+FROM ch a FULL JOIN ca b USING (instance_id, template, k_samples) GROUP BY ALL""")
+def prefix_proofs(spark, sf):
+    """Packs of every K against packs with long queries under other ids and the third skill sample altered."""
+    s = ts.conversation_samples(spark, sf)
+    third = (F.col("template") == "skill") & (F.col("sample_index") == 2)
+    altered = s.withColumn("text", F.when(third, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).withColumn(
+        "instance_id", F.when(F.col("domain") == "long", -1 - F.col("instance_id")).otherwise(F.col("instance_id")))
+    digests = lambda rows: samples.chained_digests(samples.prefix_pack(rows, GRID_K), vs.K_VALUES)
+    return samples.prefix_proofs(digests(s), digests(altered))
+
+
 @_register("dup_query_check", f"""WITH {ts.SQL_CONV},
 w AS (SELECT lower(string_split_regex(query, '\\s+')[1]) AS query, template, instance_id, sample_index, text FROM cs),
 p AS (SELECT query, template, instance_id, string_agg(sample_index || ':' || text, chr(1) ORDER BY sample_index) AS sig FROM w GROUP BY ALL)

@@ -144,6 +144,19 @@ def sample_rows(spark, rows):
     return spark.createDataFrame(rows, "instance_id int, template string, sample_index int, text string")
 
 
+def test_chained_digests_prove_every_prefix(spark):
+    pack = lambda rows: samples.prefix_pack(sample_rows(spark, rows), 10)
+    digests = lambda rows: {(r.instance_id, r.k_samples): r.digest for r in samples.chained_digests(pack(rows), [1, 2, 4]).collect()}
+    a = digests([(1, "t", i, f"x{i}") for i in range(4)] + [(2, "t", 0, "ab"), (2, "t", 1, "c")])
+    b = digests([(1, "t", 0, "x0"), (1, "t", 1, "x1"), (1, "t", 2, "y"), (1, "t", 3, "x3"), (2, "t", 0, "a"), (2, "t", 1, "bc")])
+    assert [a[1, k] == b[1, k] for k in (1, 2, 4)] == [True, True, False]
+    # borders cannot shift, and a short pack ends with its last sample
+    assert not any(a[2, k] == b[2, k] for k in (1, 2, 4)) and a[2, 2] == a[2, 4] != a[2, 1]
+    same = samples.chained_digests(pack([(1, "t", 0, "x"), (2, "t", 0, None)]), [1])
+    more = samples.chained_digests(pack([(1, "t", 0, "x"), (2, "t", 0, ""), (3, "t", 0, "z")]), [1])
+    assert [tuple(r) for r in samples.prefix_proofs(same, more).collect()] == [("t", 1, 1, 1, 0, 1)]
+
+
 def test_prefix_pack_and_check(spark):
     big = samples.prefix_pack(sample_rows(spark, [(1, "t", i, f"x{i}") for i in range(4)]
                                           + [(2, "t", 0, "y"), (2, "t", 1, " ")]), 4)
