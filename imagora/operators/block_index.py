@@ -173,24 +173,26 @@ def build(corpus: DataFrame, path: str, table: str, *, doc_id: str = "doc_id", t
     n_docs, avgdl = int(marks["n"]), float(marks["dl"] or 0) / max(int(marks["n"]), 1)
     real = posts.filter(F.col("token") != lexical._DOC_MARK)
     part = impact(F.col("tf"), F.col("dl"), avgdl, k1, b)
-    tokens = written(real.groupBy("token").agg(
+    real.groupBy("token").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
-        F.max(part).alias("peak")).withColumn("bits", bits_of(F.col("df"), block)), "bm25-tokens")
+        F.max(part).alias("peak")).withColumn("bits", bits_of(F.col("df"), block)).write.mode("overwrite").parquet(f"{path}/tokens")
+    tokens = corpus.sparkSession.read.parquet(f"{path}/tokens")
     # only long lists have more than one block
     long = sizing.checked_broadcast(tokens.filter("bits > 0").select("token", "bits", "df"))
     placed = real.join(long, "token", "left").filter((F.lit(2) * F.coalesce("df", F.lit(0)) < n_docs) | F.col("df").isNull())
     number = F.when(F.col("bits").isNull(), F.lit(0).cast("bigint")).otherwise(block_of(doc_hash(F.col("doc_id")), F.col("bits")))
-    blocks = placed.withColumn("block", number).groupBy("token", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.max(part).alias("peak"),
-        F.sort_array(F.collect_list(F.struct("doc_id", "dl", "tf"))).alias("postings"))
     spark = corpus.sparkSession
     buckets = buckets or max(8, math.ceil(sizing.measure(tokens)[0] / 50_000))
+    # postings move once: by token, as the table is bucketed, which also serves the grouping
+    blocks = placed.withColumn("block", number).select("token", "block", "doc_id", "dl", "tf").repartition(
+        buckets, "token").groupBy("token", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.max(part).alias("peak"),
+        F.sort_array(F.collect_list(F.struct("doc_id", "dl", "tf"))).alias("postings"))
     spark.sql(f"DROP TABLE IF EXISTS {table}")
-    blocks.repartition(buckets, "token").write.mode("overwrite").option("path", f"{path}/blocks").bucketBy(
+    blocks.write.mode("overwrite").option("path", f"{path}/blocks").bucketBy(
         buckets, "token").sortBy("token", "block").saveAsTable(table)
     numbers = spark.createDataFrame([(n_docs, avgdl, k1, b)], "n_docs bigint, avgdl double, k1 double, b double")
     numbers.write.mode("overwrite").parquet(f"{path}/numbers")
-    tokens.write.mode("overwrite").parquet(f"{path}/tokens")
     return read(spark, path, table)
 
 
