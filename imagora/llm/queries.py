@@ -88,6 +88,22 @@ _CRC = ("xor(CAST(list_reduce(list_prepend(4294967295, list_transform(regexp_ext
 
 _VALUES = ", ".join(f"({r.number}, '{r.keyword}', '{r.pattern}', '{r.label}', {r.priority}, {r.weight}::DOUBLE)" for r in RULES)
 
+
+
+def _rounds(name: str, start: str, docs: str) -> str:
+    """The rounds that fill the gaps of ``start`` (source, gap, slack) with rows of ``docs``, as a recursive table."""
+    took = "gap - coalesce(max(cum) FILTER (cum <= gap), 0)"
+    return f"""{name} AS (SELECT source, 0 AS i, CAST(gap AS BIGINT) AS gap, slack, CAST(NULL AS BIGINT) AS lim, '' AS cut,
+    9223372036854775807 AS top, true AS more FROM {start}
+    UNION ALL SELECT source, i + 1, {took}, slack, top, CASE WHEN bool_or(cum > gap)
+      THEN coalesce(max(key) FILTER (cum <= gap), cut) ELSE '~' END, ({took}) // 2, coalesce(bool_or(cum > gap), false)
+    FROM (SELECT {name}.*, d.key, CAST(sum(d.size) OVER (PARTITION BY {name}.source ORDER BY d.key) AS BIGINT) AS cum
+      FROM {name} LEFT JOIN {docs} d ON d.source IS NOT DISTINCT FROM {name}.source AND d.size <= {name}.top AND d.key > {name}.cut
+      WHERE more AND gap > slack) GROUP BY source, i, gap, slack, top, cut),
+{name}_end AS (SELECT source, min(gap) AS gap, coalesce(list(struct_pack(lim := lim, cut := cut)) FILTER (i > 0), []) AS steps
+    FROM {name} GROUP BY source)"""
+
+
 ORACLE = {
     "op1_rendezvous_shards": f"""
 WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
@@ -101,8 +117,8 @@ placed AS (SELECT doc_id, CAST(strlen(t) + 8 AS BIGINT) AS size, {_CRC} AS text_
     ('0x' || substr(md5(key), 1, 8))::BIGINT % 4096 AS bucket FROM scored, tab)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (
     PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM placed""",
-    "op5_mix_sources": """
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+    "op5_mix_sources": f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
     md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
     FROM d GROUP BY source),
@@ -112,14 +128,27 @@ lam AS (SELECT *, 2 * s / w AS r, 1.5::DOUBLE * sum(s) OVER () - 2 * coalesce(su
 level AS (SELECT arg_min(rest / ws, r) FILTER (r >= rest / ws) AS l FROM lam),
 tgt AS (SELECT source, s, round(least(2.0::DOUBLE * s, w * l), 6) AS target FROM lam, level),
 plan AS (SELECT *, CASE WHEN s = 0 THEN 0 ELSE least(2, CAST(round(target) AS BIGINT) // s) END AS copies FROM tgt),
-want AS (SELECT *, CAST(round(target) AS BIGINT) - copies * s AS rest FROM plan),
-run AS (SELECT d.*, s, target, copies, rest, sum(size) OVER (PARTITION BY d.source ORDER BY key) AS cum
-    FROM d JOIN want ON d.source IS NOT DISTINCT FROM want.source),
-gap AS (SELECT source, any_value(rest) - coalesce(max(cum) FILTER (cum <= rest), 0) AS gap FROM run GROUP BY source),
-extra AS (SELECT run.source, arg_min(key, (abs(size - gap), key)) AS extra FROM run
-    JOIN gap ON run.source IS NOT DISTINCT FROM gap.source WHERE cum > rest AND abs(size - gap) < gap GROUP BY run.source)
-SELECT doc_id, size, s AS source_size, target, CAST(size * (copies + CASE WHEN cum <= rest OR key = extra THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM run LEFT JOIN extra ON run.source IS NOT DISTINCT FROM extra.source""",
+want AS (SELECT *, CASE WHEN copies < 2 THEN CAST(round(target) AS BIGINT) - copies * s ELSE 0 END AS gap,
+    CAST(round(target) AS BIGINT) // 1000 AS slack FROM plan),
+{_rounds("fill", "want", "d")},
+run AS (SELECT d.*, s, target, copies, slack, want.gap AS rest, f.gap,
+      len(list_filter(steps, lambda x: size <= x.lim AND key <= x.cut)) > 0 AS hit
+    FROM d JOIN want ON d.source IS NOT DISTINCT FROM want.source JOIN fill_end f ON d.source IS NOT DISTINCT FROM f.source),
+rest AS (SELECT source, key, size, gap, slack, rest, count(*) * size AS total FROM run WHERE NOT hit AND size > 0
+    GROUP BY source, key, size, gap, slack, rest),
+near AS (SELECT source, arg_min(struct_pack(key := key, size := size), (abs(total - gap), key, size)) AS x FROM rest
+    WHERE abs(total - gap) < gap GROUP BY source),
+pivot AS (SELECT source, any_value(slack) AS slack, any_value(gap) AS was, CAST(min(total - gap) AS BIGINT) AS gap,
+    arg_min(struct_pack(key := key, size := size), (total, key, size)) AS x FROM rest
+    WHERE gap > slack AND total > gap AND total < gap + rest GROUP BY source),
+hits AS (SELECT source, key, size FROM run WHERE hit),
+{_rounds("back", "pivot", "hits")},
+swap AS (SELECT p.source, x, steps FROM pivot p JOIN back_end b ON p.source IS NOT DISTINCT FROM b.source WHERE b.gap < was),
+pick AS (SELECT run.*, coalesce(swap.x, near.x) AS x, steps FROM run LEFT JOIN swap ON run.source IS NOT DISTINCT FROM swap.source
+    LEFT JOIN near ON run.source IS NOT DISTINCT FROM near.source)
+SELECT doc_id, size, s AS source_size, target, CAST(size * (copies + CASE WHEN x.key = key AND x.size = size OR hit AND
+    coalesce(len(list_filter(steps, lambda y: size <= y.lim AND key <= y.cut)), 0) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM pick""",
     "op9_line_runs": """
 WITH l AS (SELECT doc_id, md5(coalesce(text, '')) AS r, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),

@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 import sys
@@ -65,6 +66,88 @@ def test_documents_reach_targets(spark):
         assert abs(taken[s] - target[s]) <= 2, s
 
 
+@pytest.mark.parametrize("where,share", [(0, 1.5), (700, 1.1), (2900, 1.1), (1500, 0.8)])
+def test_a_document_of_half_its_source(spark, where, share):
+    """The long document may come early or late in the seeded order: shorter ones fill what it leaves."""
+    order = sorted(range(3001), key=lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest())
+    words = dict.fromkeys(order, 2)
+    words[order[where]] = 3000
+    rows = [(i, "w " * n, None, "b") for i, n in words.items()] + [(5000 + i, "w w", None, "a") for i in range(1000)]
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix_documents(documents(spark, rows).repartition(3), share=share).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken in (0, r["size"], 2 * r["size"])
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 0.01 * target[s], (s, taken[s], target[s])
+
+
+def in_rounds(docs, gap, slack):
+    """The (key, size) documents that the rounds take one after the other, and what is then missing."""
+    took, top, more = set(), None, True
+    while more and gap > slack:
+        more = False
+        for d in sorted(docs):
+            if d in took or top is not None and d[1] > top:
+                continue
+            if d[1] > gap:
+                more = True
+                break
+            took.add(d)
+            gap -= d[1]
+        top = gap // 2
+    return took, gap
+
+
+def taken_of(docs, rest, slack):
+    took, gap = in_rounds(docs, rest, slack)
+    left = [(size, key) for key, size in docs if (key, size) not in took and gap < size < gap + rest]
+    if gap > slack and left:
+        size, key = min(left)
+        back, over = in_rounds(took, size - gap, slack)
+        if over < gap:
+            return took - back | {(key, size)}
+    near = [(abs(size - gap), key, size) for key, size in docs if (key, size) not in took and abs(size - gap) < gap]
+    return took | {min(near)[1:]} if near else took
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    docs = [(hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), int(rng.paretovariate(0.6))) for i in range(400)]
+    total = sum(size for _, size in docs)
+    parts = {f"p{i}": int(total * share) for i, share in enumerate((0.0, 0.03, 0.3, 0.5, 0.77, 0.99))}
+    sized = spark.createDataFrame([(p, *d) for p in parts for d in docs], "pattern string, key string, size bigint")
+    wanted = spark.createDataFrame([(p, 0, rest, rest // 1000) for p, rest in parts.items()],
+                                   "pattern string, copies int, rest bigint, slack bigint")
+    for r in mixing.cut_points(sized.repartition(4), wanted).collect():
+        reached = lambda d, limits, cuts: any(d[1] <= limit and d[0] <= cut for limit, cut in zip(limits, cuts))
+        got = {d for d in docs if d == (r.extra_key, r.extra_size)
+               or reached(d, r.limits, r.cuts) and not reached(d, r.drop_limits, r.drop_cuts)}
+        assert got == taken_of(docs, parts[r.pattern], parts[r.pattern] // 1000), r.pattern
+
+
+def test_many_sources(spark, monkeypatch):
+    """A source per host, one of them with a third of the rows; the plan is too large to broadcast."""
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    rows = [(i, "w " * (i % 9 + 1), None, f"host{i % 2000}" if i % 3 else "hot") for i in range(9000)]
+    taken, target, most = defaultdict(int), {}, defaultdict(int)
+    for r in mixing.mix_documents(documents(spark, rows)).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        most[r.source] = max(most[r.source], r["size"])
+    assert len(target) == len({r[3] for r in rows})
+    assert all(abs(taken[s] - target[s]) <= max(most[s], 0.001 * target[s]) for s in target)
+    assert abs(taken["hot"] - target["hot"]) <= 0.001 * target["hot"]
+
+
+def test_columns_that_clash(spark):
+    rows = [(i, "w w w", None, "a", 7, 8) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, limits int, row int")
+    got = mixing.Mix(docs, F.col("source"), share=1.0).copies(docs, "n")
+    assert got.columns == [*docs.columns, "n"] and {(r.limits, r.row, r.n) for r in got.collect()} == {(7, 8, 1)}
+
+
 def test_overlapping_sources(spark):
     rows = [(i, "w w w w", None, s) for i, s in enumerate(["a"] * 30 + ["a,b"] * 60 + ["b"] * 10)]
     docs = documents(spark, rows)
