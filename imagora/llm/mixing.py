@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from imagora.llm.common import BROADCAST_BYTES, small, stage, word_count
-from imagora.operators.sizing import measured_bytes, salted_join
+from imagora.operators.sizing import measure, salted_join
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -117,11 +117,15 @@ def draw_key(id_col: Column, seed: str = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
 
 
-def _meet(rows: DataFrame, table: DataFrame, on: list[str], spread: Column) -> DataFrame:
-    """Rows with those of a table of one row per key: broadcast if small, else salted."""
-    if measured_bytes(table) <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(table), on)
-    return salted_join(rows, table, on, spread)
+def _meet(rows: DataFrame, table: DataFrame, on: list[str], fits: bool) -> DataFrame:
+    """Rows with those of a table of one row per pattern: broadcast if it fits, else salted by the rows' keys."""
+    return rows.join(F.broadcast(table), on) if fits else salted_join(rows, table, on, F.col("key"))
+
+
+def _fits(wanted: DataFrame) -> bool:
+    """Whether plans of these patterns may be broadcast: a plan holds at most ``ROUNDS`` limits and cuts, twice."""
+    count, size = measure(wanted)
+    return size + count * (2 * ROUNDS * 64 + 256) <= BROADCAST_BYTES
 
 
 def _reached(limits: Column, cuts: Column, size: Column, key: Column) -> Column:
@@ -130,7 +134,7 @@ def _reached(limits: Column, cuts: Column, size: Column, key: Column) -> Column:
                     lambda r: (size <= r["limit"]) & (key <= r["cut"]))
 
 
-def _round(sized: DataFrame, active: DataFrame) -> DataFrame:
+def _round(sized: DataFrame, active: DataFrame, fits: bool) -> DataFrame:
     """(pattern, cut, gap, open): how far the order is taken, what is then missing.
 
     ``active``: (pattern, gap, top, last). Documents of at most ``top`` tokens
@@ -140,16 +144,16 @@ def _round(sized: DataFrame, active: DataFrame) -> DataFrame:
     put in order.
     """
     upto = Window.partitionBy("pattern").orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rest = _meet(sized, active, ["pattern"], F.col("key")).filter("size <= top AND key > last") \
+    rest = _meet(sized, active, ["pattern"], fits).filter("size <= top AND key > last") \
         .withColumn("prefix", F.substring("key", 1, PREFIX))
     sums = rest.groupBy("pattern", "prefix", "gap").agg(F.sum("size").alias("s")).withColumn("cum", F.sum("s").over(upto))
     over = F.when(F.col("cum") > F.col("gap"), F.struct("prefix", (F.col("gap") - F.col("cum") + F.col("s")).alias("room")))
     edge = stage(sums.groupBy("pattern").agg(F.max("cum").alias("total"), F.min(over).alias("e")).select(
         "pattern", "total", "e.prefix", "e.room"), "mix-edge")
     inside = Window.partitionBy("pattern").orderBy("key")  # rows of one key together
-    fits = F.when(F.col("cum") <= F.col("room"), F.struct("cum", "key"))
-    last = _meet(rest, edge.filter("prefix IS NOT NULL").drop("total"), ["pattern", "prefix"], F.col("key")) \
-        .withColumn("cum", F.sum("size").over(inside)).groupBy("pattern").agg(F.max(fits).alias("t"))
+    taken = F.when(F.col("cum") <= F.col("room"), F.struct("cum", "key"))
+    last = _meet(rest, edge.filter("prefix IS NOT NULL").drop("total"), ["pattern", "prefix"], fits) \
+        .withColumn("cum", F.sum("size").over(inside)).groupBy("pattern").agg(F.max(taken).alias("t"))
     full = F.col("prefix").isNotNull()
     missing = F.when(full, F.col("room") - F.coalesce("t.cum", F.lit(0))).otherwise(
         F.col("gap") - F.coalesce("total", F.lit(0)))
@@ -158,7 +162,7 @@ def _round(sized: DataFrame, active: DataFrame) -> DataFrame:
         missing.alias("gap"), full.alias("open"))
 
 
-def _fill(sized: DataFrame, wanted: DataFrame) -> DataFrame:
+def _fill(sized: DataFrame, wanted: DataFrame, fits: bool) -> DataFrame:
     """(pattern, slack, gap, limits, cuts): what the rounds take of each pattern, and what is then missing.
 
     ``wanted``: (pattern, gap, slack). The first round has no limit; the limit of
@@ -172,7 +176,7 @@ def _fill(sized: DataFrame, wanted: DataFrame) -> DataFrame:
         active = plan.filter("open AND gap > slack").select("pattern", "gap", "top", "last")
         if active.isEmpty():
             break
-        done = _round(sized, active).withColumnsRenamed({"cut": "_cut", "gap": "_gap", "open": "_open"})
+        done = _round(sized, active, fits).withColumnsRenamed({"cut": "_cut", "gap": "_gap", "open": "_open"})
         ran = F.col("_cut").isNotNull()
         gap = F.coalesce("_gap", "gap")
         plan = stage(plan.join(done, "pattern", "left").select(
@@ -200,11 +204,12 @@ def cut_points(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     that comes nearest to the gap, if it helps. ``sized``: (pattern, key, size);
     ``wanted``: (pattern, copies, rest, slack), one row per pattern.
     """
-    plan = _fill(sized, wanted.select("pattern", "slack", F.col("rest").alias("gap"))).join(
+    fits = _fits(wanted)
+    plan = _fill(sized, wanted.select("pattern", "slack", F.col("rest").alias("gap")), fits).join(
         wanted.select("pattern", "copies", "rest"), "pattern")
     short = plan.filter("gap > 0")
     row = [F.col("size"), F.col("key")]
-    met = _meet(sized, short, ["pattern"], F.col("key")).withColumn(
+    met = _meet(sized, short, ["pattern"], fits).withColumn(
         "hit", _reached(F.col("limits"), F.col("cuts"), *row))
     left = met.filter("NOT hit AND size > 0 AND size < gap + rest").groupBy("pattern", "gap", "slack", "rest", "key", "size") \
         .agg((F.count(F.lit(1)) * F.col("size")).alias("total"))
@@ -212,7 +217,7 @@ def cut_points(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     near = _least(left.filter(off < F.col("gap")), off).drop("order")
     pivot = stage(_least(left.filter("gap > slack AND total > gap AND total < gap + rest"), F.col("total") - F.col("gap"))
                   .join(plan.select("pattern", "slack", F.col("gap").alias("gap_before")), "pattern"), "mix-pivot")
-    back = _fill(met.filter("hit").select("pattern", "key", "size"), pivot.select("pattern", "slack", F.col("order").alias("gap")))
+    back = _fill(met.filter("hit").select("pattern", "key", "size"), pivot.select("pattern", "slack", F.col("order").alias("gap")), fits)
     swap = back.join(pivot.drop("slack", "order"), "pattern").filter("gap < gap_before").select(
         "pattern", F.col("limits").alias("drop_limits"), F.col("cuts").alias("drop_cuts"),
         F.col("key").alias("swap_key"), F.col("size").alias("swap_size"))
@@ -266,10 +271,16 @@ class Mix:
             # with no further copy to give, nothing is missing
             plan.append((p, copies, tokens - copies * cap if copies < max_copies else 0, tokens // SLACK))
         wanted_rows = spark.createDataFrame(plan, "pattern string, copies int, rest bigint, slack bigint")
+        self.fits = _fits(wanted_rows)
         self.plan = cut_points(sized.drop("own"), wanted_rows)
 
     def copies(self, docs: DataFrame, name: str = "copies") -> DataFrame:
         """The rows of ``docs`` with the number of times that the mix takes each."""
+        found = self.counted(docs)
+        return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("times").alias(name))
+
+    def counted(self, docs: DataFrame) -> DataFrame:
+        """(row, times): whole rows, and the number of times that the mix takes each."""
         own = [F.col(f"`{c}`") for c in docs.columns]
         row = docs.select(F.struct(*own).alias("row"), self.pattern.alias("pattern"), self.key.alias("key"),
                           self.size.alias("size"))
@@ -277,8 +288,8 @@ class Mix:
         once_more = (_reached(F.col("limits"), F.col("cuts"), size, key)
                      & ~_reached(F.col("drop_limits"), F.col("drop_cuts"), size, key)) | (
             key.eqNullSafe(F.col("extra_key")) & size.eqNullSafe(F.col("extra_size")))
-        return _meet(row, self.plan, ["pattern"], F.col("key")).select(
-            *[F.col(f"row.`{c}`").alias(c) for c in docs.columns], (F.col("copies") + once_more.cast("int")).alias(name))
+        return _meet(row, self.plan, ["pattern"], self.fits).select(
+            "row", (F.col("copies") + once_more.cast("int")).alias("times"))
 
 
 def mix_documents(docs: DataFrame, share: float = SHARE, max_copies: int = MAX_COPIES, id_col: str = "doc_id",

@@ -138,12 +138,12 @@ rest AS (SELECT source, key, size, gap, slack, rest, count(*) * size AS total FR
     GROUP BY source, key, size, gap, slack, rest),
 near AS (SELECT source, arg_min(struct_pack(key := key, size := size), (abs(total - gap), key, size)) AS x FROM rest
     WHERE abs(total - gap) < gap GROUP BY source),
-pivot AS (SELECT source, any_value(slack) AS slack, any_value(gap) AS was, CAST(min(total - gap) AS BIGINT) AS gap,
+longer AS (SELECT source, any_value(slack) AS slack, any_value(gap) AS was, CAST(min(total - gap) AS BIGINT) AS gap,
     arg_min(struct_pack(key := key, size := size), (total, key, size)) AS x FROM rest
     WHERE gap > slack AND total > gap AND total < gap + rest GROUP BY source),
 hits AS (SELECT source, key, size FROM run WHERE hit),
-{_rounds("back", "pivot", "hits")},
-swap AS (SELECT p.source, x, steps FROM pivot p JOIN back_end b ON p.source IS NOT DISTINCT FROM b.source WHERE b.gap < was),
+{_rounds("back", "longer", "hits")},
+swap AS (SELECT p.source, x, steps FROM longer p JOIN back_end b ON p.source IS NOT DISTINCT FROM b.source WHERE b.gap < was),
 pick AS (SELECT run.*, coalesce(swap.x, near.x) AS x, steps FROM run LEFT JOIN swap ON run.source IS NOT DISTINCT FROM swap.source
     LEFT JOIN near ON run.source IS NOT DISTINCT FROM near.source)
 SELECT doc_id, size, s AS source_size, target, CAST(size * (copies + CASE WHEN x.key = key AND x.size = size OR hit AND

@@ -141,6 +141,24 @@ def test_many_sources(spark, monkeypatch):
     assert abs(taken["hot"] - target["hot"]) <= 0.001 * target["hot"]
 
 
+def test_sql_where_long_documents_decide(spark):
+    """The recursive SQL gives the rows of the operator on sources that need rounds and a swap."""
+    duckdb = pytest.importorskip("duckdb")
+    from imagora.llm import queries
+
+    rng = random.Random(11)
+    rows = [(i, "w " * int(min(4000, rng.paretovariate(0.5))), None, rng.choice(["a", "b", "b", "c", None])) for i in range(600)]
+    rows += [(1000 + i, "w w " if i < 300 else "w " * 400, None, "d") for i in range(301)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    cur = con.execute(queries.ORACLE["op5_mix_sources"])
+    at = [[d[0] for d in cur.description].index(c) for c in ("doc_id", "size", "source_size", "target", "taken")]
+    want = sorted(tuple(r[i] for i in at) for r in cur.fetchall())
+    got = mixing.mix_documents(documents(spark, rows)).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_columns_that_clash(spark):
     rows = [(i, "w w w", None, "a", 7, 8) for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, limits int, row int")

@@ -2,6 +2,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import oracle
@@ -51,3 +52,12 @@ def test_edges(spark):
                 assert out.columns == docs.columns
                 docs = out
         assert (out.count() == 0) == (make is empty_docs)
+
+
+def test_names_of_inner_columns_stay_the_users(spark):
+    names = ["row", "guess", "i0", "t0", "t1", "hits", "times", "copy", "limits", "cuts", "_cut", "_gap", "_guess", "_copies"]
+    docs = edge_docs(spark)
+    docs = docs.select(*[c for c in docs.columns if c not in names], *[F.lit(f"own {n}").alias(n) for n in names])
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = stage(step(spark, docs, SF), name)
+        assert docs.count() and {tuple(r) for r in docs.select(*names).collect()} == {tuple(f"own {n}" for n in names)}, name
