@@ -4,15 +4,17 @@ The pages of a host are merged into one tree: a node stands for a path of
 elements (tag and class words), its styles are the different child sequences
 seen there, its content the different blocks of text. A node is important if its
 pages differ in presentation or in content; a branch that looks and reads the
-same on most pages of its host is template and is removed. The role that markup
-states (nav, footer, an advert's class; article, main) is settled importance: 0
-or 1, whatever the counts.
+same on the pages of its host is template and is removed, inside stated main
+content (article, main) as well. What markup states of itself comes first: nav,
+footer or an advert's class is noise, and where main content is stated, only
+that is looked at.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,11 +29,19 @@ from imagora.llm.common import small, stage
 MIN_PAGES = 4
 MIN_IMPORTANCE = 0.2
 DECAY = 0.9
+#: A template node is on this share of its host's pages at least, so that a host has at most
+#: 1 / share times as many of them as a page has nodes; inside main content on the larger share.
+MIN_SHARE = 0.125
+MAIN_SHARE = 0.5
+#: Elements below this depth open no element of their own, as in browsers; their text stays.
+OPEN_DEPTH = 512
+#: Elements below this depth belong to the tree node above them.
+TREE_DEPTH = 64
 
 # fixed values: element names and class words of HTML practice
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = set("script style noscript template svg math iframe object canvas audio video head title "
-              "button select textarea option".split())
+RAW = set("script style noscript textarea title iframe".split())
+SKIPPED = set("template svg math object canvas audio video head button select option".split())
 NOISE_TAGS = set("nav header footer aside form dialog menu".split())
 MAIN_TAGS = {"article", "main"}
 BLOCKS = set("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure "
@@ -44,64 +54,143 @@ NOISE_WORDS = set("ad ads advert adverts advertisement advertising banner sponso
                   "newsletter subscribe subscription login signup search pagination pager toolbar skip widget".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 MAIN_WORDS = set("article content post story main entry".split())
+PLAIN_WORDS = set("area bar block body bottom box column container inner item items left links list outer page panel "
+                  "primary right secondary section site slot text top unit wrap wrapper".split())
 P_CLOSERS = BLOCKS - {"br", "html", "body", "tr", "td", "th", "tbody", "thead", "tfoot", "li", "dd", "dt"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-            "th": {"td", "th"}, "option": {"option"}}
+            "th": {"td", "th"}}
+P_LIMITS = {"td", "th", "li", "div", "article", "section"}
+SIBLING_LIMITS = {"ul", "ol", "dl", "table", "select"}
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-    r"(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORD = re.compile(r"[a-z]+")
-_CUT_TAG = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r">|=\s*([\"'])")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_PART = re.compile(r"[a-z]+")
+
+NOISE, GONE = 1, 2
 
 
 @dataclass
-class Node:
+class Element:
+    """An open or closed element; ``stated``: nothing (0), NOISE, or GONE for what is never shown."""
+
     tag: str
+    above: int
+    depth: int
     path: int
-    noise: bool
-    main: bool
+    stated: int = 0
+    main: bool = False
     children: list[str] = field(default_factory=list)
 
 
 @dataclass
-class Block:
-    """Text of one block: the paths of its open elements, and what they state."""
-
-    text: str
-    paths: tuple[int, ...]
-    noise: bool
-    main: bool
-
-
-def signature(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """(name in the tree, stated as noise, stated as main content)."""
-    names, noise, main = "", tag in NOISE_TAGS, tag in MAIN_TAGS
+class Tree:
+    """The elements of a page, the root first and parents before children, and (text, element) of its blocks."""
+
+    elements: list[Element]
+    blocks: list[tuple[str, int]]
+
+    def nodes_above(self, at: int) -> Iterator[int]:
+        """The paths from an element up to the root, without the root's."""
+        while at:
+            if self.elements[at].depth <= TREE_DEPTH:
+                yield self.elements[at].path
+            at = self.elements[at].above
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where a tag ends, with ``>`` in quoted values passed over; -1 if it does not."""
+    while True:
+        m = _STOP.search(page, at)
+        if m is None:
+            return -1
+        if m[1] is None:
+            return m.end()
+        at = page.find(m[1], m.end()) + 1
+        if at == 0:
+            return -1
+
+
+def tags(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before it, name, whether it closes, attributes) of each tag; the last has no name.
+
+    Every character is looked at a fixed number of times: a tag whose quotes do
+    not close ends the reading of quotes, and nothing after the last ``>`` is
+    searched for an end. A tag that is cut off at the end of the page is left out.
+    """
+    begin = at = 0
+    last, quoted = page.rfind(">"), True
+    while (at := page.find("<", at)) >= 0:
+        name, closing, attrs = "", page.startswith("/", at + 1), ""
+        m = _NAME.match(page, at + 1 + closing)
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+        elif m is None and not page.startswith(("<!", "<?"), at):
+            at += 1
+            continue
+        elif at > last:
+            if page.find("<", at + 1) < 0:
+                yield page[begin:at], "", False, ""
+                return
+            at += 1
+            continue
+        elif m is None:
+            end = page.find(">", at) + 1
+        else:
+            end = _tag_end(page, m.end()) if quoted else -1
+            if end < 0:
+                quoted, end = False, page.find(">", m.end()) + 1
+            name, attrs = m[0].lower(), page[m.end():end - 1]
+        yield page[begin:at], name, closing, attrs
+        if name in RAW and not closing:
+            close = _RAW_END[name].search(page, end)
+            end = close.start() if close else len(page)
+        begin = at = end
+    yield page[begin:], "", False, ""
+
+
+def _stated(token: str, words: set[str]) -> bool:
+    """Whether a class token is made of these words and plain ones only."""
+    parts = set(_PART.findall(token))
+    return not parts.isdisjoint(words) and parts <= words | PLAIN_WORDS
+
+
+def signature(tag: str, attrs: str) -> tuple[str, int, bool]:
+    """(name in the tree, what is stated, stated as main content).
+
+    A class or id counts by whole tokens: ``no-sidebar`` or ``ad-free`` state nothing.
+    """
+    names, stated, main = "", NOISE if tag in NOISE_TAGS else 0, tag in MAIN_TAGS
     if attrs.strip():
         for name, *values in _ATTR.findall(attrs):
-            value = next((v for v in values if v), "").lower()
-            name = name.lower()
+            name, value = name.lower(), next((v for v in values if v), "").lower()
             if name == "role":
-                noise |= value in NOISE_ROLES
+                stated = max(stated, NOISE * (value in NOISE_ROLES))
                 main |= value in ("main", "article")
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-                noise = True
-            else:
-                words = set(_WORD.findall(value))
-                noise |= bool(words & NOISE_WORDS)
-                main |= tag in ("div", "section") and bool(words & MAIN_WORDS) and not words & NOISE_WORDS
+                stated = GONE
+            elif name in ("class", "id"):
+                tokens = value.split()
+                if any(_stated(t, NOISE_WORDS) for t in tokens):
+                    stated = max(stated, NOISE)
+                elif tag in ("div", "section"):
+                    main |= any(_stated(t, MAIN_WORDS) for t in tokens)
                 if name == "class":
-                    names = ".".join(sorted(words))
-    return (f"{tag}.{names}" if names else tag), noise, main and not noise
-
-
-def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
-    """The blocks of a page in order, and (path, child sequence) of its nodes."""
-    stack = [Node("", 0, False, False)]
-    blocks: list[Block] = []
-    styles: list[tuple[int, str]] = []
+                    names = ".".join(sorted({p for t in tokens for p in _PART.findall(t)}))
+    if tag in ("html", "body"):
+        stated = 0
+    return (f"{tag}.{names}" if names else tag), stated, main and not stated
+
+
+def parse(page: str) -> Tree:
+    """The elements and blocks of a page. Takes time in proportion to its length."""
+    elements = [Element("", -1, 0, 0)]
+    stack = [0]
+    held: Counter = Counter()  # open elements by tag
+    deep: Counter = Counter()  # those below OPEN_DEPTH, which have no element
+    blocks: list[tuple[str, int]] = []
     text: list[str] = []
 
     def flush() -> None:
@@ -109,80 +198,80 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
             joined = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if joined:
-                top = stack[-1]
-                blocks.append(Block(joined, tuple(n.path for n in stack[1:]), top.noise, top.main))
-
-    def close(depth: int) -> None:
-        flush()
-        while len(stack) > depth:
-            node = stack.pop()
-            styles.append((node.path, " ".join(node.children)))
-
-    at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            text.append(page[at:m.start()])
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m.group(2):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(depth)
-                    break
-            else:
-                if tag in BLOCKS:
-                    flush()
+                blocks.append((joined, stack[-1]))
+
+    def close(wanted: set[str], limits: set[str] = frozenset()) -> None:
+        """Close the nearest open element of these tags that lies within the limits."""
+        if not any(held[tag] for tag in wanted):
+            return
+        for depth in range(len(stack) - 1, 0, -1):
+            tag = elements[stack[depth]].tag
+            if tag in wanted:
+                flush()
+                for at in stack[depth:]:
+                    held[elements[at].tag] -= 1
+                del stack[depth:]
+                return
+            if tag in limits:
+                return
+
+    def open_(tag: str, attrs: str, shown: bool) -> None:
+        if len(stack) > OPEN_DEPTH:
+            deep[tag] += 1
+            return
+        name, stated, main = signature(tag, attrs)
+        above = elements[stack[-1]]
+        above.children.append(name)
+        depth, path = above.depth + 1, above.path
+        if depth <= TREE_DEPTH:
+            path = xxhash.xxh64_intdigest(f"{path}/{name}")
+            path -= (path >> 63) << 64
+        elements.append(Element(tag, stack[-1], depth, path, stated if shown else GONE, main and shown))
+        stack.append(len(elements) - 1)
+        held[tag] += 1
+
+    for before, tag, closing, attrs in tags(page):
+        if before:
+            text.append(before)
+        if not tag or tag in RAW:
             continue
-        if tag not in BLOCKS:
-            if tag in SKIPPED and tag not in VOID:
+        if closing:
+            if tag in BLOCKS:
                 flush()
-                push(stack, tag, m.group(4), True)
-            continue  # inline: its text belongs to the block around it
-        flush()
-        if tag in P_CLOSERS:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    close(depth)
-                    break
-                if stack[depth].tag in ("td", "th", "li", "div", "article", "section"):
-                    break
-        if tag in SIBLINGS:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in SIBLINGS[tag]:
-                    close(depth)
-                    break
-                if stack[depth].tag in ("ul", "ol", "dl", "table", "select"):
-                    break
-        if tag not in VOID and not m.group(4).rstrip().endswith("/"):
-            push(stack, tag, m.group(4), False)
-    if at < len(page):
-        text.append(_CUT_TAG.sub("", page[at:]))
-    close(1)
-    return blocks, styles
-
-
-def push(stack: list[Node], tag: str, attrs: str, skipped: bool) -> None:
-    above = stack[-1]
-    name, noise, main = signature(tag, attrs)
-    if noise and tag in IN_ARTICLE and above.main:
-        noise = False  # the heading of the article itself
-    above.children.append(name)
-    path = xxhash.xxh64_intdigest(f"{above.path}/{name}")
-    path -= (path >> 63) << 64
-    stack.append(Node(tag, path, above.noise or noise or skipped, above.main or main))
+            if deep[tag]:
+                deep[tag] -= 1
+            else:
+                close({tag})
+        elif tag in BLOCKS:
+            flush()
+            if tag in P_CLOSERS:
+                close({"p"}, P_LIMITS)
+            if tag in SIBLINGS:
+                close(SIBLINGS[tag], SIBLING_LIMITS)
+            if tag not in VOID and not attrs.rstrip().endswith("/"):
+                open_(tag, attrs, True)
+        elif tag in SKIPPED and not (tag in ("svg", "math") and attrs.rstrip().endswith("/")):
+            flush()
+            open_(tag, attrs, False)
+        # other tags are inline: their text belongs to the block around them
+    flush()
+    return Tree(elements, blocks)
 
 
 def observations(column: pa.Array) -> Iterator[tuple[int, int, int, int]]:
-    """(row, path, kind, hash): what each page adds to its host's tree; kind 0 style, 1 content."""
+    """(row, path, kind, hash): what each page adds to its host's tree; kind 0 style, 1 content.
+
+    The root (path 0) has one style on every page: it counts the pages.
+    """
     for i, page in enumerate(column.to_pylist()):
-        blocks, styles = parse(page or "")
-        seen = {(path, 0, xxhash.xxh64_intdigest(style) >> 1) for path, style in styles}
-        for b in blocks:
-            digest = xxhash.xxh64_intdigest(b.text) >> 1
-            seen.update((path, 1, digest) for path in b.paths)
+        tree = parse(page or "")
+        seen = {(0, 0, 0)}
+        for e in tree.elements[1:]:
+            if e.depth <= TREE_DEPTH:
+                seen.add((e.path, 0, xxhash.xxh64_intdigest(" ".join(e.children)) >> 1))
+        for text, at in tree.blocks:
+            digest = xxhash.xxh64_intdigest(text) >> 1
+            seen.update((path, 1, digest) for path in tree.nodes_above(at))
         for path, kind, digest in sorted(seen):
             yield i, path, kind, digest
 
@@ -192,13 +281,13 @@ def host_of(url: Column) -> Column:
 
 
 def tree_nodes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, path, pages, presentation, content): the importance of every node.
+    """(host, path, pages, share, presentation, content): the importance of every node.
 
     With k of m pages sharing a style or a text, presentation is the entropy of
     the styles to the base m, content the mean over texts of 1 - log k / log m;
-    both are 1 for a node of one page. Counts are taken per (host, node, hash)
-    before anything is gathered per node, so a host with a third of all pages
-    spreads over many tasks.
+    both are 1 for a node of one page. ``share`` is m over the pages of the host.
+    Counts are taken per (host, node, hash) before anything is gathered per node,
+    so a host with a third of all pages spreads over many tasks.
     """
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,45 +305,99 @@ def tree_nodes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     seen = rows.mapInArrow(observe, "host string, path bigint, kind int, digest bigint")
     counts = seen.groupBy("host", "path", "kind", "digest").agg(F.count(F.lit(1)).alias("k"))
     style, content = F.col("kind") == 0, F.col("kind") == 1
-    nodes = counts.groupBy("host", "path").agg(
+    nodes = stage(counts.groupBy("host", "path").agg(
         F.sum(F.when(style, F.col("k"))).alias("m"),
         F.sum(F.when(style, F.col("k") * F.log("k"))).alias("k_log_k"),
-        F.avg(F.when(content, F.log("k"))).alias("log_k"))
+        F.avg(F.when(content, F.log("k"))).alias("log_k")), "style-tree")
     m = F.col("m")
-    return nodes.filter("m IS NOT NULL").select(
-        "host", "path", m.alias("pages"),
+    roots = nodes.filter("path = 0").select("host", m.alias("all"))
+    return nodes.filter("path != 0").join(small(roots), "host").select(
+        "host", "path", m.alias("pages"), (m / F.col("all")).alias("share"),
         F.when(m > 1, 1 - F.col("k_log_k") / m / F.log(m)).otherwise(1.0).alias("presentation"),
         F.when(F.col("log_k").isNull(), 0.0).when(m > 1, F.greatest(1 - F.col("log_k") / F.log(m), F.lit(0.0)))
         .otherwise(1.0).alias("content"))
 
 
 def template_nodes(nodes: DataFrame, min_pages: int = MIN_PAGES, least: float = MIN_IMPORTANCE) -> DataFrame:
-    """(host, paths): nodes of low importance on hosts with enough pages."""
+    """(host, low, common): nodes of low importance on hosts with enough pages; common ones count in main content.
+
+    Each is on a stated share of the host's pages, so the arrays of a host hold at
+    most a fixed multiple of the nodes of one of its pages.
+    """
     importance = (1 - DECAY) * F.col("presentation") + DECAY * F.col("content")
-    return nodes.filter((F.col("pages") >= min_pages) & (importance < least)).groupBy("host").agg(
-        F.sort_array(F.collect_list("path")).alias("paths"))
+    return nodes.filter((F.col("pages") >= min_pages) & (F.col("share") >= MIN_SHARE) & (importance < least)).groupBy("host").agg(
+        F.sort_array(F.collect_list("path")).alias("low"),
+        F.sort_array(F.collect_list(F.when(F.col("share") >= MAIN_SHARE, F.col("path")))).alias("common"))
 
 
-def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The blocks that are left, one per line.
+def settle(elements: list[Element], lifted: set[int] = frozenset()) -> tuple[list[bool], list[int]]:
+    """Per element: whether it is noise, and the outermost element that states it as main content (0: none).
 
-    Where a page states its main content, that is what is looked at, and only what
-    is stated as noise inside it is removed; elsewhere low branches go too.
+    ``lifted`` elements are not noise whatever their markup states.
     """
-    blocks, _ = parse(page or "")
-    kept = [b for b in blocks if b.main and not b.noise]
-    if not any(b.main for b in blocks):
-        kept = [b for b in blocks if not b.noise and template.isdisjoint(b.paths)]
-    return "\n".join(b.text for b in kept)
-
+    noise, home = [False], [0]
+    for i, e in enumerate(elements[1:], 1):
+        inside = home[e.above]
+        own = e.stated == GONE or (e.stated == NOISE and i not in lifted and not (inside and e.tag in IN_ARTICLE))
+        noise.append(noise[e.above] or own)
+        home.append(inside or (i if e.main else 0))
+    return noise, home
+
+
+def around_main(elements: list[Element]) -> set[int]:
+    """The elements that hold main content."""
+    found: set[int] = set()
+    for e in elements[1:]:
+        at = e.above if e.main else 0
+        while at and at not in found:
+            found.add(at)
+            at = elements[at].above
+    return found
+
+
+def main_text(page: str | None, low: frozenset[int] = frozenset(), common: frozenset[int] = frozenset()) -> str:
+    """The blocks that are left, one per line.
 
-def text_column(page: Column, template: Column) -> Column:
+    Where a page states its main content, that is what is looked at; a noise
+    element around all of it does not count if more text is gained than lies
+    outside. Of that, branches of the template go: ``low`` paths, or inside
+    main content ``common`` ones, unless the main element as a whole is low (the
+    pages of the host repeat one text). The tree never takes all of a page.
+    """
+    tree = parse(page or "")
+    elements, blocks = tree.elements, tree.blocks
+
+    def shown(noise: list[bool], home: list[int]) -> list[tuple[str, int]]:
+        return [b for b in blocks if home[b[1]] and not noise[b[1]]]
+
+    noise, home = settle(elements)
+    kept = shown(noise, home)
+    if not kept:
+        kept, home = [b for b in blocks if not noise[b[1]]], [0] * len(elements)
+        around = around_main(elements)
+        if around:
+            _, inner = lifted = settle(elements, around)
+            found = shown(*lifted)
+            if sum(len(t) for t, _ in found) > sum(len(t) for t, _ in kept):
+                kept, home = found, inner
+    gone = [False]
+    for i, e in enumerate(elements[1:], 1):
+        main = home[i]
+        if not main:
+            gone.append(gone[e.above] or e.path in low)
+        else:
+            gone.append(i != main and elements[main].path not in low and (gone[e.above] or e.path in common))
+    left = [b for b in kept if not gone[b[1]]]
+    return "\n".join(t for t, _ in left or kept)
+
+
+def text_column(page: Column, low: Column, common: Column) -> Column:
     @F.arrow_udf("string")
-    def extract(pages: pa.Array, paths: pa.Array) -> pa.Array:
-        return pa.array([main_text(p, frozenset(t or ())) for p, t in zip(pages.to_pylist(), paths.to_pylist())],
-                        pa.string())
+    def extract(pages: pa.Array, low: pa.Array, common: pa.Array) -> pa.Array:
+        return pa.array([main_text(p, frozenset(a or ()), frozenset(b or ()))
+                         for p, a, b in zip(pages.to_pylist(), low.to_pylist(), common.to_pylist())], pa.string())
 
-    return extract(page, template)
+    return extract(page, low, common)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -263,14 +406,15 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null and empty pages have an empty text; pages without a host form one host.
     Text before, between and after elements counts like any other; a page cut off
-    in the middle ends where it is cut. Repeated rows give repeated results and
-    count as so many pages. Other columns are not read. An empty table gives an
-    empty result.
+    in the middle ends where it is cut. Very long or deeply nested pages are read
+    whole, in time in proportion to their length. Repeated rows give repeated
+    results and count as so many pages. Other columns are not read. An empty table
+    gives an empty result.
     """
-    low = stage(template_nodes(tree_nodes(pages, url_col, html_col)), "style-tree").select(
-        F.col("host").alias("_host"), "paths")
+    template = stage(template_nodes(tree_nodes(pages, url_col, html_col)), "style-template").select(
+        F.col("host").alias("_host"), "low", "common")
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"),
                         F.col(f"`{html_col}`").alias("html"))
-    both = rows.join(small(low), host_of(F.col("url")) == F.col("_host"), "left")
-    text = both.select("page_id", "url", text_column(F.col("html"), F.col("paths")).alias("text"))
+    both = rows.join(small(template), host_of(F.col("url")) == F.col("_host"), "left")
+    text = both.select("page_id", "url", text_column(F.col("html"), F.col("low"), F.col("common")).alias("text"))
     return text.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
