@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from imagora.functions import prompts
-from imagora.operators import checks, gating, metrics, routing, samples, splits
+from imagora.operators import checks, file_checks, gating, metrics, routing, samples, splits
 from imagora.plans import eval_plans, ledger_plans
 from imagora.plans import eval_setup as es
 from imagora.plans import text_setup as ts
@@ -254,6 +254,41 @@ def manifest_digests(spark, sf):
     return checks.reconcile(items(told, altered), items(docs, prompts.TEMPLATES), ["item"], ["digest", "bytes"])
 
 
+@_register("json_digests", """
+SELECT doc_id, sha256(concat('{"doc_id":', doc_id, ',"lang":', coalesce(to_json(lang)::VARCHAR, 'null'), ',"n_chars":', coalesce(n_chars::VARCHAR, 'null'),
+  ',"source":', coalesce(to_json(source)::VARCHAR, 'null'), ',"text":', coalesce(to_json(text)::VARCHAR, 'null'), '}')) AS digest FROM documents""")
+def json_digests(spark, sf):
+    """Digest of each document's canonical JSON."""
+    docs = load(spark, sf, "documents")
+    cols = ["text", "source", "n_chars", "lang", "doc_id"]
+    return docs.select("doc_id", file_checks.json_digest(docs, cols).alias("digest"))
+
+
+@_register("file_problems", """
+WITH f AS (SELECT item_id, 'item_id=' || item_id AS path, strlen(text) + 1 AS bytes, sha256(text || chr(10)) AS sha256 FROM benchmark)
+SELECT path, 'unlisted' AS problem, NULL::VARCHAR AS recorded, bytes::VARCHAR AS found FROM f WHERE item_id % 6 IN (0, 1)
+UNION ALL SELECT '../' || path, 'outside', '../' || path, NULL FROM f WHERE item_id % 6 = 0
+UNION ALL SELECT 'new/' || path, 'missing', bytes::VARCHAR, NULL FROM f WHERE item_id % 6 = 1
+UNION ALL SELECT path, 'bytes', (bytes + 1)::VARCHAR, bytes::VARCHAR FROM f WHERE item_id % 6 = 2
+UNION ALL SELECT path, 'sha256', sha256(sha256), sha256 FROM f WHERE item_id % 6 = 3
+UNION ALL SELECT path, 'repeated', '2', NULL FROM f WHERE item_id % 6 = 4""")
+def file_problems(spark, sf):
+    """One file per benchmark item against a manifest whose records go wrong in five ways."""
+    root = stage_path(spark, sf, "benchmark-files")
+    items = load(spark, sf, "benchmark").select("item_id", "text")
+    once(root, lambda: items.repartition("item_id").write.mode("overwrite").partitionBy("item_id").text(root))
+    # a folder holds one part; its name is the item's, whatever the part is called
+    files = file_checks.file_digests(spark, root).withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
+    rest, path = F.col("item_id") % 6, F.concat(F.lit("item_id="), F.col("item_id").cast("string"))
+    told = F.when(rest == 0, F.concat(F.lit("../"), path)).when(rest == 1, F.concat(F.lit("new/./"), path)).otherwise(path)
+    digest = F.sha2(F.concat("text", F.lit("\n")), 256)
+    manifest = items.select(
+        F.explode(F.when(rest == 4, F.array(told, F.concat(F.lit("x/../"), told))).otherwise(F.array(told))).alias("path"),
+        (F.octet_length("text") + 1 + (rest == 2).cast("int")).cast("bigint").alias("bytes"),
+        F.when(rest == 3, F.sha2(digest, 256)).otherwise(digest).alias("sha256"))
+    return file_checks.file_problems(manifest, files)
+
+
 @_register("restamp_evidence", f"""
 WITH b AS (SELECT event_type AS file, event_id, event_type AS rev, CASE event_type WHEN 'click' THEN 'view' ELSE event_type END AS rev2 FROM events),
 {sql_digest('bd', 'b', 'file', ('event_id', 'rev'))}, {sql_digest('ad', 'b', 'file', ('event_id', 'rev2'))}

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from imagora.operators import checks, gating, metrics, samples
+from imagora.operators import checks, file_checks, gating, metrics, samples
 from imagora.sources import json_files, vector_store
 
 
@@ -83,3 +83,46 @@ def test_repeated_append_stores_each_content_once(spark, tmp_path):
     assert vector_store.stored(spark, path, "hashed64").count() == 3
     assert vector_store.vectors_of(more, path, "hashed64").count() == 4
     assert vector_store.stored(spark, path, "other").select(F.count_distinct("content_digest")).first()[0] == 2
+
+
+def test_settled_paths(spark):
+    told = ["a/b", "a//./b", "a/../b", "../b", "a/../../b", "/b", "file:/b", "", ".", "a/b/..", "..a/b", None]
+    want = [("a/b", False), ("a/b", False), ("b", False), ("b", True), ("b", True), ("b", True), ("file:/b", True),
+            ("", False), ("", False), ("a", False), ("..a/b", False), ("", True)]
+    rows = spark.createDataFrame(list(enumerate(told)), "i int, p string")
+    got = rows.select("i", file_checks.settled_path(F.col("p")).alias("s")).orderBy("i").collect()
+    assert [(r.s.path, r.s.outside) for r in got] == want
+
+
+def test_files_against_their_manifest(spark, tmp_path):
+    import hashlib
+
+    content = {"a.txt": b"one", "sub dir/b.bin": bytes(range(256)), "sub dir/c": b"", "d": b"four"}
+    for name, data in content.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    digest = {n: hashlib.sha256(d).hexdigest() for n, d in content.items()}
+    files = file_checks.file_digests(spark, str(tmp_path))
+    held = {n: (len(d), digest[n]) for n, d in content.items() if d}  # the scan skips empty files
+    assert {r.path: (r.bytes, r.sha256) for r in files.collect()} == held
+    rows = [("a.txt", 3, digest["a.txt"]), ("./sub dir/b.bin", 255, digest["a.txt"]), ("d", 4, None), ("x/../d", 4, None),
+            ("gone", 1, ""), ("sub dir/c", 0, digest["sub dir/c"]), ("../a.txt", 3, digest["a.txt"]), (None, None, None)]
+    manifest = spark.createDataFrame(rows, "path string, bytes bigint, sha256 string")
+    got = sorted(map(tuple, file_checks.file_problems(manifest, files).collect()), key=str)
+    assert got == sorted([
+        ("sub dir/b.bin", "bytes", "255", "256"), ("sub dir/b.bin", "sha256", digest["a.txt"], digest["sub dir/b.bin"]),
+        ("d", "repeated", "2", None), ("d", "sha256", None, digest["d"]), ("gone", "missing", "1", None),
+        ("sub dir/c", "missing", "0", None), ("../a.txt", "outside", "../a.txt", None), (None, "outside", None, None)], key=str)
+    assert file_checks.file_problems(manifest.limit(0), files).count() == 3
+
+
+def test_json_digest_is_canonical(spark):
+    import hashlib
+    import json
+
+    rows = [(1, 'a"\\\n\té', None, {"z": 1, "b": 2}), (2, "", 0.5, None)]
+    df = spark.createDataFrame(rows, "k int, t string, v double, m map<string,int>")
+    got = {r.k: r.d for r in df.select("k", file_checks.json_digest(df, ["v", "t", "m", "k"]).alias("d")).collect()}
+    for k, t, v, m in rows:
+        line = json.dumps({"k": k, "t": t, "v": v, "m": m}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert got[k] == hashlib.sha256(line.encode()).hexdigest()
