@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from imagora.functions import prompts
 from imagora.functions import text as tx
 from imagora.functions import vector as vx
-from imagora.operators import dense, encode, fusion, gating, hypothesis, lexical, metrics
+from imagora.operators import dense, encode, fusion, gating, hypothesis, lexical, metrics, retrievers
 from imagora.plans import text_setup as ts
 from imagora.plans.tables import load
 
@@ -203,6 +203,24 @@ def hybrid_topk(spark, sf):
     return out.select("instance_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
+@_register("named_retrievers", f"""WITH {ts.SQL_QUERIES}, {_SQL_DENSE}, {ts.SQL_BM25},
+paths AS (SELECT instance_id, doc_id, rank FROM dense WHERE rank <= 100
+          UNION ALL SELECT instance_id, doc_id, rank FROM bm25 WHERE rank <= 100),
+hyb AS ({_SQL_RRF})
+SELECT 'bm25' AS retriever, instance_id, doc_id, score, rank::INTEGER AS rank FROM bm25 WHERE rank <= 10
+UNION ALL SELECT 'dense', instance_id, doc_id, score, rank::INTEGER FROM dense WHERE rank <= 10
+UNION ALL SELECT 'hybrid', instance_id, doc_id, score, rank::INTEGER FROM hyb WHERE rank <= 10""")
+def named_retrievers(spark, sf):
+    """Top 10 of the retrievers, each looked up by its name."""
+    corpus, queries = load(spark, sf, "documents").select("doc_id", "text"), ts.queries(spark, sf)
+    lexical_one = retrievers.named("bm25", stored=ts.lexical_index(spark, sf))
+    made = {"bm25": lexical_one, "dense": retrievers.named("dense"),
+            "hybrid": retrievers.named("hybrid", of=(lexical_one, retrievers.named("dense")))}
+    parts = [r.index(corpus).topk(queries, 10).select(
+        F.lit(name).alias("retriever"), "instance_id", "doc_id", F.round("score", 9).alias("score"), "rank") for name, r in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _text_field_library(spark, sf):
     parsed = ts.corpus(spark, sf).select("doc_id", tx.fields(
         F.col("name"), F.col("description"), F.col("content")).alias("f"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from imagora.operators import block_index, clustered, dense, fusion, hypothesis, lexical, sizing
+from imagora.operators import block_index, clustered, dense, fusion, hypothesis, lexical, retrievers, sizing
 
 DOCS = [("s0", "red green red blue"), ("s1", "green"), ("s2", "blue blue blue violet ochre umber"),
         ("s3", "ochre green grey grey"), ("s4", "teal"), ("s5", "umber violet grey teal teal red")]
@@ -264,3 +264,17 @@ def test_clustered_search_without_structure(spark, monkeypatch):
     assert clustered.build(none).search(q, 5, ["instance_id"]).collect() == []
     one = spark.createDataFrame([(4, [0.5, 0.5])], "doc_id bigint, vec array<double>")
     assert [tuple(r) for r in clustered.build(one).search(q, 5, ["instance_id"]).collect()] == [(1, 4, 1.5, 1)]
+
+
+def test_retrievers_by_name(spark):
+    assert {"bm25", "dense", "hybrid"} <= set(retrievers.names())
+    with pytest.raises(KeyError, match="bm25"):
+        retrievers.named("none")
+    with pytest.raises(ValueError):
+        retrievers.register("bm25")(retrievers.Bm25)
+    qs = queries(spark, "blue violet", "teal")
+    for name in ("bm25", "dense", "hybrid"):
+        got = ranked(retrievers.named(name).index(docs(spark)).topk(qs, 2))
+        assert got[0, 1][0] == "s2" and got[1, 1][0] == "s4" and max(r for _, r in got) <= 2
+    want = ranked(lexical.bm25_topk(docs(spark), qs, 3))
+    assert ranked(retrievers.named("bm25").index(docs(spark)).topk(qs, 3)) == want
