@@ -14,7 +14,7 @@ SHORT = ("parse_generated embed_text bm25_topk_padded fused_topk_text gate_s2_te
          "gate_calibrate loading_arms k_curve bootstrap_arms bootstrap_hier scan_run cache_audit "
          "routed_cost table_digest validate_run scan_payload scan_named_runs value_rules "
          "router_block_check route_levels signal_misses two_stage_topk_text bm25_blocks "
-         "dense_topk_bounded prefix_proofs text_totals").split()
+         "dense_topk_bounded prefix_proofs text_totals json_digests file_problems routed_run gate_apply reuse_audit").split()
 NAMES = list(registry.QUERIES) if os.environ.get("IMAGORA_ALL_QUERIES") else SHORT
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
