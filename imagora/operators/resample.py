@@ -13,8 +13,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from imagora.functions.hashing import MULTIPLIERS, SHIFTS, WORD_MASK, draw, mix_word, seed_word
 from imagora.operators import ranking, sizing
@@ -25,6 +28,9 @@ REPLICATE_BLOCK = 1024
 SLAB_CELLS = 1 << 22
 # draws a task holds at a time; they stay in the processor's cache
 DRAW_CELLS = 1 << 16
+# ranks whose values a task holds, and slots it draws for
+DRAW_CHUNK = 1 << 21
+DRAW_SLOTS = 1 << 20
 
 
 def named_seed(key: str, base_seed: int = 0) -> int:
@@ -45,7 +51,7 @@ def hashed_means(values: DataFrame, group: Sequence[str], value: str, replicates
         *group, "draw_rank", "group_n", "_v", seed_word(key).alias("_k"),
         mix_word(F.col("draw_rank").cast("bigint")).alias("_slot"))
     # a measured table of this size bounds every group in it
-    draws = _array_draws if sizing.fits_broadcast(rows) else _joined_draws
+    draws = _array_draws if sizing.fits_broadcast(rows) else _chunked_draws
     return draws(worded, group, replicates).withColumn("mean", F.round("mean", MEAN_DIGITS))
 
 
@@ -83,18 +89,83 @@ def _array_draws(worded: DataFrame, group: Sequence[str], replicates: int) -> Da
         means, f"{fields}, replicate int, mean double")
 
 
-def _joined_draws(worded: DataFrame, group: Sequence[str], replicates: int) -> DataFrame:
-    """Draws of groups of any size as rows that look up their values by a join."""
-    each = sizing.fan_out(worded, *group, "draw_rank").select(
-        *group, "group_n", "_k", "_slot",
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    words = each.select(
-        *group, "group_n", "replicate",
-        F.col("_slot").bitwiseXOR(mix_word((F.col("_k") + F.col("replicate")).bitwiseAND(F.lit(WORD_MASK))))
-        .alias("_word"))
-    drawn = words.select(*group, "replicate", (mix_word(F.col("_word")) % F.col("group_n")).alias("draw_rank"))
-    return drawn.join(worded.select(*group, "draw_rank", "_v"), [*group, "draw_rank"]).groupBy(
-        *group, "replicate").agg(F.avg("_v").alias("mean"))
+def _mixed(word: np.ndarray) -> np.ndarray:
+    """`hashing.mix_word` in 32-bit words, which hold all the bits it keeps; changes its argument."""
+    for factor, shift in zip(MULTIPLIERS, SHIFTS):
+        word *= np.uint32(factor)
+        word &= np.uint32(WORD_MASK)
+        word ^= word >> np.uint32(shift)
+    return word
+
+
+def _draw_sums(v: np.ndarray, low: int, n: int, slots: range, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every replicate word: sum and number of the values that the slots draw out of
+    ``v``, which holds ranks ``low`` and following of a group of ``n``."""
+    known = ~np.isnan(v)
+    whole = low == 0 and len(v) == n
+    plain = bool(known.all())
+    v = np.where(known, v, 0.0)
+    sums, counts = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64)
+    size, start = np.uint32(n), np.uint32(low)
+    for first in range(slots.start, slots.stop, DRAW_CELLS):
+        slot = _mixed(np.arange(first, min(slots.stop, first + DRAW_CELLS), dtype=np.uint32))
+        for b, word in enumerate(words):
+            at = _mixed(slot ^ word)
+            at -= at // size * size
+            if not whole:
+                at -= start
+                at = at[at < len(v)]
+            sums[b] += v.take(at).sum()
+            counts[b] += len(at) if plain else int(known.take(at).sum())
+    return sums, counts
+
+
+def _chunked_draws(worded: DataFrame, group: Sequence[str], replicates: int) -> DataFrame:
+    """Draws of groups of any size: a task holds the values of one chunk of ranks and one
+    block of replicates, draws the slots itself and keeps those that fall into its chunk,
+    so only a sum and a count per replicate leave it and no draw becomes a row."""
+    g = list(group)
+    key_fields = [worded.schema[c] for c in g]
+    long, whole = T.LongType(), T.IntegerType()
+    packed_type = T.StructType([*key_fields, T.StructField("_chunk", long), T.StructField("group_n", long),
+                                T.StructField("_k", long), T.StructField("_values", T.BinaryType())])
+    packed_arrow = to_arrow_schema(packed_type)
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("draw_rank")
+        values = rows.column("_v").to_numpy().astype(np.float64)
+        return rows.slice(0, 1).drop_columns(["draw_rank", "_v"]).append_column(
+            "_values", pa.array([values.tobytes()], pa.binary())).select(packed_arrow.names).cast(packed_arrow)
+
+    chunk = F.floor(F.col("draw_rank") / F.lit(DRAW_CHUNK)).cast("bigint")
+    packed = worded.select(*g, chunk.alias("_chunk"), F.col("draw_rank").cast("bigint").alias("draw_rank"),
+                           F.col("group_n").cast("bigint").alias("group_n"), "_k", "_v").groupBy(
+        *g, "_chunk").applyInArrow(pack, packed_type)
+    blocks = -(-replicates // REPLICATE_BLOCK)
+    parts = F.ceil(F.col("group_n") / F.lit(DRAW_SLOTS)).cast("int")
+    cells = packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), parts - F.lit(1))))
+    out_type = T.StructType([*key_fields, T.StructField("replicate", whole), T.StructField("_s", T.DoubleType()),
+                             T.StructField("_c", long)])
+    out_arrow = to_arrow_schema(out_type)
+
+    def cell(rows: pa.Table) -> pa.Table:
+        row = {name: rows.column(name)[0].as_py() for name in ("_chunk", "group_n", "_k", "_block", "_part", "_values")}
+        first, slot = row["_block"] * REPLICATE_BLOCK, row["_part"] * DRAW_SLOTS
+        reps = np.arange(first, min(replicates, first + REPLICATE_BLOCK), dtype=np.int64)
+        words = _mixed(((row["_k"] + reps) & WORD_MASK).astype(np.uint32))
+        sums, counts = _draw_sums(np.frombuffer(row["_values"]), row["_chunk"] * DRAW_CHUNK, row["group_n"],
+                                  range(slot, min(row["group_n"], slot + DRAW_SLOTS)), words)
+        keys = rows.select(g).take(pa.array(np.zeros(len(reps), dtype=np.int64)))
+        for name, column in (("replicate", reps), ("_s", sums), ("_c", counts)):
+            keys = keys.append_column(name, pa.array(column))
+        return keys.cast(out_arrow)
+
+    # cells, not bytes, are the work
+    spread = int(worded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    on = [*g, "_chunk", "_block", "_part"]
+    return cells.repartition(spread, *on).groupBy(*on).applyInArrow(cell, out_type).groupBy(*g, "replicate").agg(
+        (F.sum("_s") / F.nullif(F.sum("_c"), F.lit(0).cast("bigint"))).alias("mean"))
 
 
 def multinomial_means(values: DataFrame, group: Sequence[str], value: str, replicates: int,

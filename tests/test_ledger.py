@@ -359,3 +359,17 @@ def test_package_reaches_workers_and_shared_folder_is_asked_for(spark):
     far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://h:1"))
     with pytest.raises(ValueError):
         session.shared_dir(far)
+
+
+def test_large_groups_draw_without_a_row_per_draw(spark, monkeypatch):
+    monkeypatch.setattr(resample.sizing, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(resample, "DRAW_CHUNK", 3, raising=False)
+    monkeypatch.setattr(resample, "DRAW_SLOTS", 4, raising=False)
+    groups = {"x": [0, 1, 1, -1, 0.5, 2, 7], "y": [2, 3]}
+    means = resample.hashed_means(diffs(spark, groups), ["g"], "v", 1500, 9)
+    got = {(r.g, r.replicate): r["mean"] for r in means.collect()}
+    for g, vs in groups.items():
+        assert [got[(g, b)] for b in range(1500)] == pytest.approx(brute_means(g, vs, 1500, 9))
+    # only the ranks of rows are joined, never the draws
+    plan = means._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
