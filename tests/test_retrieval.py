@@ -152,6 +152,39 @@ def test_search_small_blocks_keep_every_tie(spark, monkeypatch):
     assert [r.doc_id for r in out] == [1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("chunks", [1, 5])
+def test_grid_ranks_repeated_keys_and_many_queries(spark, monkeypatch, chunks):
+    monkeypatch.setattr(dense, "BLOCK_QUERIES", 4)
+    if chunks > 1:
+        monkeypatch.setattr(dense, "GRID_BYTES", 1 << 11)
+    lib, qs = vectors(60, 3, 5), vectors(40, 3, 6)
+    lib[:20] = lib[20]
+    ldf = spark.createDataFrame([(i, "f", v.tolist()) for i, v in enumerate(lib)], "doc_id bigint, field string, vec array<double>")
+    # every key is asked twice, with vectors of its own
+    rows = [(i // 2 if i > 1 else None, f, v.tolist()) for i, v in enumerate(qs) for f in ("f", "absent")]
+    qdf = spark.createDataFrame(rows, "instance_id int, field string, vec array<double>")
+    out = dense.search(ldf, qdf, 7, ["instance_id"], query_bytes=0)
+    got = {(r.instance_id, r["rank"]): (r.doc_id, r.score) for r in out.collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        mine = [v for i, v in enumerate(qs) if (i // 2 if i > 1 else None) == key]
+        hits = sorted((-round(float(x @ v), 6) + 0.0, j) for v in mine for j, x in enumerate(lib))
+        for rank, (s, d) in enumerate(hits[:7], 1):
+            want[key, rank] = (d, -s + 0.0)
+    assert got == want
+
+
+def test_grid_copies_of_the_library_do_not_grow_with_the_queries(spark):
+    def copies(n):
+        held, asked = {"f": n}, {"f": (n, n * 536)}
+        return dense._grid_shape(spark, held, asked, 50)["f"]
+
+    cores = spark.sparkContext.defaultParallelism
+    assert copies(10_000) == (1, 2 * cores) and copies(100_000) == (1, 2 * cores)
+    chunks, blocks = copies(600_000)
+    assert chunks == -(-600_000 * 536 // dense.GRID_BYTES) and blocks <= 2 * cores
+
+
 def test_rrf_hand_example(spark):
     paths = spark.createDataFrame(
         [(7, "x", 4), (7, "x", 4), (7, "x", 4), (7, "y", 2), (7, "z", 1), (7, "z", 5)], "instance_id int, doc_id string, rank int")
