@@ -81,3 +81,22 @@ def test_render(spark):
 def test_stand_in_keeps_first_characters(spark):
     md = one(spark, tx.stand_in_document(F.col("q")), q="y" * 200)
     assert "description: " + "y" * 120 + "\n---" in md and tx.STAND_IN_CODE in md
+
+
+def test_encoder_sees_a_bounded_number_of_tokens(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from imagora.operators import encode
+
+    monkeypatch.setattr(encode, "TOKENS_AT_ONCE", 40, raising=False)
+    encoder = encode.HashedEncoder(8)
+
+    def bounded(lists, most=40):
+        assert len(lists) == 1 or sum(len(t) for t in lists) <= most
+        return encoder(lists)
+
+    words = [["a", "b"] * (i % 7) + (["long"] * 90 if i == 5 else []) for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(words)), "doc_id int, words array<string>").coalesce(1)
+    got = {r.doc_id: r.vec for r in rows.select("doc_id", encode.encode_tokens(F.col("words"), bounded).alias("vec")).collect()}
+    want = encode._unit_rows(encoder(words))
+    assert all(got[i] == pytest.approx(want[i].tolist()) for i in range(60))
