@@ -8,7 +8,9 @@ span the latent space, in which a hit is scored by cosine. Candidates are the
 sliding windows with enough words of an item for any check to pass: they are
 counted for all windows and items, so no bound on the cosine can lose one. They
 are then checked word by word with the longest common subsequence, and the
-item's answer separately.
+item's answer separately. Where the words of an item are there in another order,
+the cosine decides: common words alone do not lift it, those that tell the
+item from other texts do.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ STEP = 8
 PASSAGE_STEPS = 6
 MIN_COMMON = 0.8
 MIN_COMMON_WITH_ANSWER = 0.6
+# latent cosine from which an item's words count in any order
+MIN_COSINE = 0.9
 SHORT = 5
 ITEM_BLOCK = 4096
 BAG = 1 << 12
@@ -383,6 +387,17 @@ def check_item(item: np.ndarray, answer: np.ndarray, window: np.ndarray) -> tupl
     return share, found
 
 
+def is_reordered(item: np.ndarray, window: np.ndarray, cosine: float) -> bool:
+    """Whether ``MIN_COMMON`` of the item's words are in the window, in any order, each as often
+    as it is used, and the window is near the item in the latent space."""
+    if len(item) < SHORT or cosine < MIN_COSINE:
+        return False
+    words, times = np.unique(item, return_counts=True)
+    held, found = np.unique(window, return_counts=True)
+    at = np.minimum(np.searchsorted(held, words), len(held) - 1)
+    return int(np.minimum(times, np.where(held[at] == words, found[at], 0)).sum()) >= MIN_COMMON * len(item)
+
+
 def is_leak(item: np.ndarray, share: float, answered: bool) -> bool:
     if len(item) < SHORT:
         return share == 1.0 and answered
@@ -452,10 +467,11 @@ def find(column: pa.Array, space: LatentSpace, items: Items) -> dict[int, dict[i
             for k in np.flatnonzero(items.enough(item, t.hashes, begin, end, length * STEP)).tolist():
                 which, window_words = item[k], t.hashes[begin[k]:end[k]]
                 share, answered = check_item(items.words[which], items.answers[which], window_words)
-                if is_leak(items.words[which], share, answered):
+                cosine = cosine_of(window_words, items.vectors[which], space)
+                if is_leak(items.words[which], share, answered) or is_reordered(items.words[which], window_words, cosine):
                     mine = found.setdefault(int(text[k]), {})
                     key = int(items.ids[which])
-                    hit = (share, cosine_of(window_words, items.vectors[which], space), int(begin[k] - t.first[text[k]]))
+                    hit = (share, cosine, int(begin[k] - t.first[text[k]]))
                     if key not in mine or (hit[0], -hit[2]) > (mine[key][0], -mine[key][2]):
                         mine[key] = hit
     return found
@@ -482,7 +498,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(doc_id, item_id, share, cosine, word): benchmark items found in documents.
 
     An item is found wherever a window of its length holds at least ``MIN_COMMON`` of
-    its words in order, or ``MIN_COMMON_WITH_ANSWER`` and its whole answer; items
+    its words in order, or ``MIN_COMMON_WITH_ANSWER`` and its whole answer, or
+    ``MIN_COMMON`` in any order at a latent cosine of ``MIN_COSINE``; items
     under ``SHORT`` words must be there in full. ``word`` is the first word of the
     best window (the first one of equals). Null and empty texts hold nothing, items
     without words or id are never found. Repeated rows give repeated results.

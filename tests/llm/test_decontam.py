@@ -112,6 +112,27 @@ def test_loose_paraphrases_and_short_items_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
 
 
+def test_the_cosine_tells_reordered_items_from_common_words(spark):
+    rng = random.Random(28)
+    rare = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    common = ["".join(rng.choice("klmnop") for _ in range(3)) for _ in range(12)]
+    words = lambda n: [rng.choice(rare if i % 2 else common) for i in range(n)]
+    bench = [words(32) for _ in range(8)]
+    rows = []
+    for i in range(160):
+        text = words(120)
+        if i < 8:  # the second half of the item before the first, where a window begins
+            text[40:72] = bench[i][16:] + bench[i][:16]
+        rows.append((i, " ".join(text), None, None))
+    found = decontam.contaminated(documents(spark, rows), items(spark, [(i, " ".join(w)) for i, w in enumerate(bench)]))
+    got = {(r.doc_id, r.item_id): r for r in found.collect()}
+    assert set(got) == {(i, i) for i in range(8)}
+    assert all(r.share < decontam.MIN_COMMON and r.cosine >= decontam.MIN_COSINE - 1e-6 for r in got.values())
+    item, window = np.arange(10, dtype=np.uint64), np.arange(10, dtype=np.uint64)[::-1]
+    assert decontam.is_reordered(item, window, 0.95) and not decontam.is_reordered(item, window, 0.5)
+    assert not decontam.is_reordered(np.repeat(item[:2], 5), window, 0.95)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
 def test_planted_passages(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
