@@ -207,11 +207,68 @@ def test_rerank_is_subset_and_keeps_first_order_on_ties(spark):
     assert [r.doc_id for r in out] == ["c", "b"]
 
 
+@pytest.mark.parametrize("chunked", [False, True])
+def test_rerank_moves_no_vector_with_a_candidate(spark, monkeypatch, chunked):
+    rng = np.random.default_rng(3)
+    if chunked:
+        monkeypatch.setattr(fusion, "CHUNK_BYTES", 1 << 10)
+    vec = lambda n=4: rng.normal(size=n).round(3).tolist()
+    docs = [(i, vec()) for i in range(40)] + [(7, vec()), (41, None), (42, [0.5, None, 0.1, 0.2]), (43, vec(3)), (None, vec())]
+    asked = [(q, vec()) for q in range(12)] + [(3, vec()), (12, None), (None, vec())]
+    cands = [(q, d, r) for q in [*range(13), None] for r, d in enumerate([7, q or 0, 41, 42, 43, None, 99, 20, 21], 1)]
+    cdf = spark.createDataFrame(cands, "instance_id int, doc_id int, rank int")
+    qdf = spark.createDataFrame(asked, "instance_id int, vec array<double>")
+    ddf = spark.createDataFrame(docs, "doc_id int, vec array<double>")
+    out = fusion.rerank_cosine(cdf, qdf, ddf, 50)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert ("FlatMapCoGroupsInArrow" in plan) == chunked and plan.count("Join") == 1 + chunked, plan
+    def dot(a, b):
+        if a is None or b is None or None in a + b or len(a) != len(b):
+            return None
+        return sum(x * y for x, y in zip(a, b))
+    want = {}
+    for q, d, r in cands:
+        for v in [v for i, v in asked if i == q and q is not None]:
+            for w in [w for i, w in docs if i == d and d is not None]:
+                s = dot(v, w)
+                want.setdefault(q, []).append((-1e9 if s is None else round(s, 6) + 0.0, -r, d, s is None))
+    got = {}
+    for row in sorted(out.collect(), key=lambda x: (x.instance_id, x["rank"])):
+        got.setdefault(row.instance_id, []).append((row.doc_id, row.score))
+    assert set(got) == set(want)
+    for q, rows in want.items():
+        order = sorted(rows, reverse=True)
+        assert [d for d, _ in got[q]] == [d for _, _, d, _ in order]
+        assert all((s is None) == none and (none or abs(s - x) < 2e-6) for (_, s), (x, _, _, none) in zip(got[q], order))
+
+
 def unit(v):
     n = np.linalg.norm(v)
     return v / n if n else v
 
 
+def test_centroids_over_k_move_a_sample_once(spark):
+    rng = np.random.default_rng(5)
+    ks = (1, 2, 4)
+    smp = spark.createDataFrame(
+        [(q, i, rng.normal(size=3).tolist()) for q in range(6) for i in range(5) if (q + i) % 3 and q != 4] + [(2, 0, [1.0, 2.0, 3.0])] * 2,
+        "instance_id int, sample_index int, vec array<double>")
+    qv = spark.createDataFrame([(q, rng.normal(size=3).tolist()) for q in [*range(6), 1]], "instance_id int, vec array<double>")
+    fields = smp.select("instance_id", "sample_index", F.explode(F.array(F.lit("meta"), F.lit("body"))).alias("field"), "vec").filter(
+        "field = 'body' OR sample_index <> 1")
+    rows = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    got = hypothesis.centroids_over_k(smp, qv, ks)
+    want = [hypothesis.centroid_with_query(smp, qv, k).select(F.lit(k), "instance_id", "vec") for k in ks]
+    assert rows(got.select("k_samples", "instance_id", "vec")) == sorted(x for w in want for x in rows(w))
+    cols = ("instance_id", "field", "vec")
+    got = hypothesis.field_centroids_over_k(fields, qv, ks).select("k_samples", *cols)
+    want = [hypothesis.field_centroids(fields, qv, k).select(F.lit(k), *cols) for k in ks]
+    assert rows(got) == sorted(x for w in want for x in rows(w))
+    # the rows that move are samples, not samples of every K
+    plan = hypothesis.centroids_over_k(smp, qv, ks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan[plan.index("Join"):], plan
+
+
 def test_centroids(spark):
     smp = spark.createDataFrame(
         [(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (1, 2, [0.0, -5.0])],
@@ -311,3 +368,21 @@ def test_retrievers_by_name(spark):
         assert got[0, 1][0] == "s2" and got[1, 1][0] == "s4" and max(r for _, r in got) <= 2
     want = ranked(lexical.bm25_topk(docs(spark), qs, 3))
     assert ranked(retrievers.named("bm25").index(docs(spark)).topk(qs, 3)) == want
+
+
+def test_blocks_asked_for_by_nobody_do_not_move(spark, tmp_path):
+    corpus = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} v{i}") for i in range(80)], "doc_id bigint, text string")
+    index = block_index.build(corpus, str(tmp_path / "index"), "bm25_not_moved", block=4)
+    weights = spark.createDataFrame([(0, "w1", 1.0, 2), (0, "v3", 1.0, 0)], "instance_id int, token string, w double, bits int")
+    found = spark.createDataFrame([(0, 1), (0, 3)], "instance_id int, doc_id bigint")
+    read = index.second_read(index.blocks, weights, found)
+    physical = read._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in physical and "SortMergeJoin" not in physical
+    assert read.filter("token = 'v3'").count() == 1
+    spark.sql("DROP TABLE bm25_not_moved")
+
+
+def test_buckets_grow_with_the_postings(spark, monkeypatch):
+    tokens = spark.createDataFrame([("a", 10_000_000), ("b", 90_000_000)], "token string, df bigint")
+    assert block_index._buckets(tokens) == -(-100_000_000 // block_index.BUCKET_POSTINGS)
+    assert block_index._buckets(tokens.limit(0)) == 8
