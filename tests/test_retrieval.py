@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -6,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from imagora.operators import block_index, clustered, dense, fusion, hypothesis, lexical, retrievers, sizing
+from imagora.plans import ablation_setup, eval_setup
+from imagora.plans.tables import stage_path
 
 DOCS = [("s0", "red green red blue"), ("s1", "green"), ("s2", "blue blue blue violet ochre umber"),
         ("s3", "ochre green grey grey"), ("s4", "teal"), ("s5", "umber violet grey teal teal red")]
@@ -185,6 +188,44 @@ def test_grid_copies_of_the_library_do_not_grow_with_the_queries(spark):
     assert chunks == -(-600_000 * 536 // dense.GRID_BYTES) and blocks <= 2 * cores
 
 
+def test_search_of_many_queries_shuffles_no_library_and_no_hits(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(dense, "GRID_BYTES", 1 << 10)
+    lib, qs = vectors(2000, 2, 7, 2), vectors(30, 2, 8, 2)
+    ldf = spark.createDataFrame([(i, "f", v.tolist()) for i, v in enumerate(lib)], "doc_id bigint, field string, vec array<double>")
+    # ranks beyond a query's depth may be left out
+    qdf = spark.createDataFrame([(i, "f", v.tolist(), 3 if i % 2 else 9) for i, v in enumerate(qs)],
+                                "instance_id int, field string, vec array<double>, depth int")
+    out = dense.search(ldf.repartition(5), qdf, 7, ["instance_id"], query_bytes=0)
+    got = {}
+    for r in out.filter("rank <= if(instance_id % 2 = 1, 3, 7)").collect():
+        got.setdefault(r.instance_id, []).append((r["rank"], r.score, r.doc_id))
+    for i, v in enumerate(qs):
+        best = sorted((-round(float(x @ v), 6) + 0.0, j) for j, x in enumerate(lib))[:3 if i % 2 else 7]
+        assert sorted(got[i]) == [(n, -s + 0.0, j) for n, (s, j) in enumerate(best, 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "Exchange" not in plan and "Window" not in plan
+
+
+def test_hits_are_ordered_by_query_score_and_id():
+    rng = np.random.default_rng(3)
+    q, d = rng.integers(0, 9, 4000), rng.integers(0, 50, 4000)
+    for s in (np.round(rng.standard_normal(4000), 1), np.round(1e9 * rng.standard_normal(4000), 6), np.r_[np.inf, np.zeros(3999)]):
+        order, want = dense._best_first(q, s, d, 6), np.lexsort((d, -s, q))
+        assert all((x[order] == x[want]).all() for x in (q, s, d))
+
+
+def test_scores_that_reach_the_bar_are_all_found():
+    scores = np.round(np.random.default_rng(4).standard_normal((5, 2048)), 1).astype(np.float32)
+    scores[1, 7] = scores[3, 2000] = np.nan
+    for bar in (np.full(5, 2.5), np.array([3.0, -np.inf, 0.0, 9.0, 1.0])):
+        want = np.nonzero(scores >= bar.astype(np.float32)[:, None])
+        for finite in (False, not np.isnan(scores).any()):
+            row, at = dense._reaching(scores, bar.astype(np.float32), finite)
+            assert sorted(zip(row.tolist(), at.tolist())) == sorted(zip(*[x.tolist() for x in want]))
+        scores = np.nan_to_num(scores)
+
+
 def test_rrf_hand_example(spark):
     paths = spark.createDataFrame(
         [(7, "x", 4), (7, "x", 4), (7, "x", 4), (7, "y", 2), (7, "z", 1), (7, "z", 5)], "instance_id int, doc_id string, rank int")
@@ -269,6 +310,32 @@ def test_centroids_over_k_move_a_sample_once(spark):
     assert "Generate" not in plan[plan.index("Join"):], plan
 
 
+def test_queries_that_are_alike_at_some_k_are_one_row(spark):
+    rng = np.random.default_rng(6)
+    ks = (1, 2, 4)
+    smp = spark.createDataFrame([(q, i, rng.normal(size=3).tolist()) for q in range(6) for i in (0, 3)[:q % 3]],
+                                "instance_id int, sample_index int, vec array<double>")
+    qv = spark.createDataFrame([(q, rng.normal(size=3).tolist()) for q in [*range(6), 1]], "instance_id int, vec array<double>")
+    whole = hypothesis.centroids_over_k(smp, qv, ks)
+    rows = lambda df: sorted(str(tuple(r)) for r in df.select("k_samples", "instance_id", "vec").collect())
+    for some in (hypothesis.centroids_over_k(smp, qv, ks, shared=True),
+                 hypothesis.shared_over_k(whole.withColumn("field", F.lit("f")), ["instance_id"], ks)):
+        assert rows(some.withColumn("k_samples", F.explode(hypothesis.ks_of(F.col("k_class"), ks)))) == rows(whole)
+        # queries with no or one sample have one row, those with two samples have two
+        assert some.count() == 2 + 3 + 4
+
+
+def test_runs_at_every_k_do_not_search_twice(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist(), int(rng.integers(0, 10))) for i, v in enumerate(rng.standard_normal((60, 64)))]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sf = str(tmp_path)
+    val = {tuple(r) for r in ablation_setup.k_validation(spark, sf).collect()}
+    assert ablation_setup.k_router(spark, sf).count() == 5 * len({d for d, *_ in val})
+    assert not os.path.exists(stage_path(spark, sf, "vector_run"))
+    assert val == {tuple(r) for r in eval_setup.validation(spark, sf).collect()}
+
+
 def test_centroids(spark):
     smp = spark.createDataFrame(
         [(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (1, 2, [0.0, -5.0])],
