@@ -8,8 +8,9 @@ holds for every vector, however the centres were found.
 
 A query first meets the clusters nearest to it that hold k vectors together. Their
 k-th score is what a document must reach; only clusters whose bound reaches it
-are met in a second step. Work is cells of one chunk of a cluster and one block
-of its queries: a hot cluster is many cells, and no query meets what it need not.
+are met in a second step. A task holds a block of queries and reads the stored
+chunks of clusters through, so neither queries nor vectors are copied to cells,
+and no query meets what it need not.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from imagora.operators import ranking
-from imagora.operators.dense import _blocks, _matrix, _score_batches
+from imagora.operators import ranking, sizing
+from imagora.operators.dense import (BLOCK_QUERIES, CELL_HITS, GRID_BYTES, _best_of, _Docs, _matrix, _sortable, packet_rows,
+                                     query_blocks, read_through, table_of, write_packets)
 from imagora.session import written
 
 MOST_CLUSTERS = 4096
@@ -36,6 +38,8 @@ CENTRE_BYTES = 16 << 20
 ROUNDS = 6
 CHUNK = 8192
 QUERY_BLOCK = 4096
+#: Queries times clusters that a task keeps track of.
+MET_BYTES = 64 << 20
 #: Rounded scores and sums of doubles may differ by this much.
 SLACK = 2e-6
 
@@ -64,14 +68,29 @@ def nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nd
     return own, np.sqrt(((vectors - centres[own]) ** 2).sum(1))
 
 
+def meets(q: np.ndarray, known: tuple, k: int, floor: np.ndarray | None) -> np.ndarray:
+    """Which clusters each query meets: the nearest that hold k vectors together, or with a
+    ``floor``, the score to reach, the others whose bound reaches it."""
+    centres, radius, counts = known
+    near = q @ centres.T
+    order = np.argsort(-near, axis=1, kind="stable")
+    held = np.cumsum(counts[order], axis=1) - counts[order]
+    begun = np.zeros(near.shape, dtype=bool)
+    np.put_along_axis(begun, order, held < k, axis=1)
+    if floor is None:
+        return begun
+    return ~begun & (near + np.sqrt((q ** 2).sum(1))[:, None] * radius[None, :] >= floor[:, None])
+
+
 @dataclass
 class ClusteredLibrary:
-    """Stored vectors (cluster, chunk, doc_id, vec) and what is known of each cluster."""
+    """Stored vectors (cluster, chunk, doc_id, vec), their packets by chunk, and what is known of each cluster."""
 
     vectors: DataFrame
     centres: np.ndarray
     radius: np.ndarray
     counts: np.ndarray
+    packets: DataFrame
 
     def chunks(self) -> np.ndarray:
         return np.maximum(1, -(-self.counts // CHUNK))
@@ -79,35 +98,24 @@ class ClusteredLibrary:
     # ------------------------------------------------------------ routing
 
     def _routed(self, queries: DataFrame, keys: Sequence[str], k: int, first: bool) -> DataFrame:
-        """(keys, vec, cluster, chunk): queries with every chunk they meet in one of the two steps.
+        """(keys, cluster, chunk): queries with every chunk they meet in one of the two steps.
 
         The second step needs the column ``floor``, the score to reach.
         """
         spark = queries.sparkSession
-        shared = spark.sparkContext.broadcast((self.centres, self.radius, self.counts, self.chunks()))
-        out = T.StructType([*[queries.schema[c] for c in keys], queries.schema["vec"],
+        shared = spark.sparkContext.broadcast(((self.centres, self.radius, self.counts), self.chunks()))
+        out = T.StructType([*[queries.schema[c] for c in keys],
                             T.StructField("cluster", T.IntegerType()), T.StructField("chunk", T.IntegerType())])
         arrow = to_arrow_schema(out)
-        names = [*keys, "vec"]
+        names = [*keys]
 
         def task(batches):
-            centres, radius, counts, chunks = shared.value
+            known, chunks = shared.value
             for batch in batches:
-                if not batch.num_rows or not len(centres):
+                if not batch.num_rows or not len(known[0]):
                     continue
-                q = _matrix(batch.column("vec"))
-                near = q @ centres.T
-                bound = near + np.sqrt((q ** 2).sum(1))[:, None] * radius[None, :]
-                order = np.argsort(-near, axis=1, kind="stable")
-                held = np.cumsum(counts[order], axis=1) - counts[order]
-                begun = np.zeros(near.shape, dtype=bool)
-                np.put_along_axis(begun, order, held < k, axis=1)
-                if first:
-                    met = begun
-                else:
-                    floor = batch.column("floor").to_numpy(zero_copy_only=False)
-                    met = ~begun & (bound >= floor[:, None])
-                row, cluster = np.nonzero(met)
+                floor = None if first else batch.column("floor").to_numpy(zero_copy_only=False)
+                row, cluster = np.nonzero(meets(_matrix(batch.column("vec")), known, k, floor))
                 many = chunks[cluster]
                 row, cluster = np.repeat(row, many), np.repeat(cluster, many)
                 chunk = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
@@ -119,26 +127,39 @@ class ClusteredLibrary:
 
         return queries.mapInArrow(task, out)
 
-    def _scored(self, routed: DataFrame, keys: list[str], k: int, digits: int, blocks: int) -> DataFrame:
-        """(keys, field, doc_id, score): the k best of every cell."""
-        block = F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int")
-        asked = routed.withColumn("_q", block).withColumn("field", F.lit(""))
-        # only cells that some query meets are built
-        cells = written(asked.select("cluster", "chunk", "_q").distinct(), "clustered-cells")
-        docs = self.vectors.join(cells, ["cluster", "chunk"]).withColumn("field", F.lit(""))
-        out = T.StructType([*[routed.schema[c] for c in keys], T.StructField("field", T.StringType()),
-                            T.StructField("doc_id", self.vectors.schema["doc_id"].dataType),
-                            T.StructField("score", T.DoubleType())])
+    def _scored(self, asked: DataFrame, keys: list[str], k: int, digits: int, blocks: int) -> DataFrame:
+        """(keys, doc_id, score): the k best of every query (keys, vec[, floor]) among what it meets in a step."""
+        spark = asked.sparkSession
+        shared = spark.sparkContext.broadcast((self.centres, self.radius, self.counts))
+        out = T.StructType([*[asked.schema[c] for c in keys], self.vectors.schema["doc_id"], T.StructField("score", T.DoubleType())])
         arrow = to_arrow_schema(out)
 
-        def cell(docs: pa.Table, block: pa.Table) -> pa.Table:
-            found = []
-            if docs.num_rows and block.num_rows:
-                found = list(_score_batches(iter(docs.combine_chunks().to_batches()), _blocks(block, keys), k, digits, arrow, keys))
-            return pa.Table.from_batches(found, schema=arrow)
-
-        on = ["cluster", "chunk", "_q"]
-        return docs.groupBy(*on).cogroup(asked.groupBy(*on)).applyInArrow(cell, out)
+        def begin(rows: pa.Table) -> list:
+            vecs = _matrix(rows.column("vec"))
+            floor = rows.column("floor").to_numpy() if "floor" in rows.column_names else None
+            state = []
+            for lo, acc in _best_of(vecs, k, digits):
+                low = None if floor is None else floor[lo:lo + len(acc.floor)]
+                met = meets(acc.queries, shared.value, k, low)
+                if low is not None:
+                    acc.floor = low.copy()
+                state.append((acc, met, rows.select(keys).slice(lo, len(acc.floor)).combine_chunks()))
+            return state
+
+        def take(state: list, row, found: pa.Table) -> None:
+            docs = None
+            for acc, met, _ in state:
+                rows = np.flatnonzero(met[:, row["_f"]])
+                if len(rows):
+                    docs = docs or _Docs(_sortable(found.column("doc_id")), _matrix(found.column("vec")), k)
+                    acc.offer(docs, None if len(rows) == len(met) else rows)
+
+        def end(state: list):
+            for acc, _, names in state:
+                for batch in acc.hits(names, "", arrow):
+                    yield pa.Table.from_batches([batch])
+
+        return table_of(spark, [read_through(query_blocks(asked, blocks, keys), self.packets, begin, take, end)], out)
 
     def search(self, queries: DataFrame, k: int, keys: Sequence[str], digits: int = ranking.SCORE_DIGITS) -> DataFrame:
         """(keys, doc_id, score, rank) of the k best by inner product; ties go to the smaller id."""
@@ -149,15 +170,17 @@ class ClusteredLibrary:
         """The ranked rows, and the queries as routed in the two steps."""
         keys = list(keys)
         asked = written(queries.filter(F.size("vec") > 0).select(*keys, "vec"), "clustered-queries")
-        blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+        n, size = sizing.measure(asked)
+        blocks = max(1, -(-n * k // CELL_HITS), -(-2 * size // GRID_BYTES), -(-n * len(self.centres) // MET_BYTES),
+                     min(2 * asked.sparkSession.sparkContext.defaultParallelism, -(-n // BLOCK_QUERIES)))
         first = self._routed(asked, keys, k, True)
-        near = written(self._scored(first, keys, k, digits, blocks), "clustered-near")
+        near = written(self._scored(asked, keys, k, digits, blocks), "clustered-near")
         last = ranking.top_k(near, keys, k, [F.desc("score"), F.asc("doc_id")]).filter(F.col("rank") == k)
         lowest = F.coalesce(F.col("score") - F.lit(SLACK), F.lit(float("-inf")))
         floors = asked.join(last.select(*keys, "score"), keys, "left").select(*keys, "vec", lowest.alias("floor"))
         second = self._routed(floors, keys, k, False)
-        whole = near.unionByName(self._scored(second, keys, k, digits, blocks))
-        return ranking.top_k(whole, keys, k, [F.desc("score"), F.asc("doc_id")]).drop("field"), [first, second]
+        whole = near.unionByName(self._scored(floors, keys, k, digits, blocks))
+        return ranking.top_k(whole, keys, k, [F.desc("score"), F.asc("doc_id")]), [first, second]
 
 
 def build(library: DataFrame, clusters: int | None = None, seed: int = 7) -> ClusteredLibrary:
@@ -195,4 +218,11 @@ def build(library: DataFrame, clusters: int | None = None, seed: int = 7) -> Clu
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     stored = written(dealt.join(F.broadcast(sizes), "cluster").select("cluster", chunk.alias("chunk"), "doc_id", "vec"),
                      "clustered-vectors")
-    return ClusteredLibrary(stored, centres, radius, counts)
+    packed = T.StructType([T.StructField("packet", T.BinaryType()), T.StructField("_f", T.IntegerType())])
+
+    def pack(rows: pa.Table) -> pa.Table:
+        number = rows.column("cluster")[0].as_py()
+        return pa.Table.from_batches(list(packet_rows(rows.select(["doc_id", "vec"]), number)), to_arrow_schema(packed))
+
+    packets = write_packets(stored.groupBy("cluster", "chunk").applyInArrow(pack, packed), "clustered-packets")
+    return ClusteredLibrary(stored, centres, radius, counts, packets)

@@ -407,6 +407,18 @@ def test_clustered_search_is_exact_and_leaves_clusters_out(spark, monkeypatch, c
     assert products < len(lib) * len(asked) / 3, products / (len(lib) * len(asked))
 
 
+def test_clustered_search_copies_no_query_to_clusters(spark):
+    lib, asked = vectors(500, 6, 5), vectors(40, 6, 6)
+    frame = lambda name, rows: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], f"{name} bigint, vec array<double>")
+    got, steps = clustered.build(frame("doc_id", lib), clusters=20).steps(frame("instance_id", asked), 10, ["instance_id"])
+    met = sum(s.count() for s in steps)
+    assert met > 5 * len(asked) and all("vec" not in s.columns for s in steps)
+    # only hits are shuffled, by query; queries and vectors meet where the library is read
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "Join" not in plan
+    assert got.count() == 400
+
+
 def test_clustered_search_without_structure(spark, monkeypatch):
     monkeypatch.setattr(clustered, "QUERY_BLOCK", 7)
     lib, asked = vectors(300, 6, 3), vectors(25, 6, 4)
