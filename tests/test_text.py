@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,28 @@ def test_encoder_sees_a_bounded_number_of_tokens(spark, monkeypatch):
     got = {r.doc_id: r.vec for r in rows.select("doc_id", encode.encode_tokens(F.col("words"), bounded).alias("vec")).collect()}
     want = encode._unit_rows(encoder(words))
     assert all(got[i] == pytest.approx(want[i].tolist()) for i in range(60))
+
+
+def test_tokens_break_at_white_space_alone(spark):
+    kept = ["a", "!", "~", "\x7f", "\x00", "​", "é", "漢", "\U0001f600"]
+    text = "".join(f"{w}{c}" for c in tx.WHITESPACE for w in kept) + "B"
+    got = one(spark, tx.tokens(F.col("q")), q=text)
+    for i in range(len(tx.WHITESPACE)):
+        assert got[i * len(kept):(i + 1) * len(kept)] == kept
+    assert got[-1] == "b" and len(got) == len(kept) * len(tx.WHITESPACE) + 1
+    assert one(spark, tx.tokens(F.col("q")), q=" " + tx.WHITESPACE) == []
+
+
+def test_encoder_makes_strings_of_distinct_tokens_alone():
+    import pyarrow as pa
+
+    from imagora.operators import encode
+
+    lists = [["a", "b", "a"], None, [], ["é", "b"] * 5, ["a"]]
+    encoder = encode.HashedEncoder(8)
+    whole = pa.array(lists, pa.list_(pa.string()))
+    want = encoder([t or [] for t in lists])
+    assert (encoder.of_lists(whole) == want).all()
+    parts = list(encode._slices(whole, 4))
+    assert [len(p) for p in parts] == [3, 1, 1]
+    assert (np.concatenate([encoder.of_lists(p) for p in parts]) == want).all()
